@@ -70,14 +70,14 @@ def re_pair(ids: np.ndarray, rounds: int = 5, least: int = 4) -> tuple[np.ndarra
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    size = np.ones(BASE + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        size[BASE + i] = size[a] + size[b]
-    return size[BASE:]
+    size = [1] * BASE
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    return np.array(size[BASE:], np.uint32)
 
 
-def expanded(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids of a run of symbols: all nonterminals are unfolded at once, level by level."""
+def _unfolded(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Level by level; for the rules themselves."""
     out = symbols.astype(np.uint16)
     while True:
         big = out >= BASE
@@ -91,6 +91,18 @@ def expanded(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
         out = new
 
 
+def expanded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of a run of symbols, copied from the unfolded rules by length."""
+    flat = np.concatenate([np.arange(BASE, dtype=np.uint16), _unfolded(np.arange(BASE, BASE + len(rules), dtype=np.uint32).astype(np.uint16), rules)])
+    size = np.concatenate([np.ones(BASE, np.int32), lengths.astype(np.int32)])
+    first = np.concatenate([np.arange(BASE, dtype=np.int32), BASE + np.cumsum(lengths, dtype=np.int32) - lengths.astype(np.int32)])
+    n = size[symbols]
+    ends = np.cumsum(n, dtype=np.int32)
+    at = np.repeat(first[symbols] - ends + n, n)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
 def packed_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     symbols, rules = re_pair(ids)
     return b"".join(
@@ -131,10 +143,10 @@ class Shard:
         ends = self.ends()
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + n, "left"))
         before = int(ends[first - 1]) if first else 0
-        return expanded(self.symbols[first : last + 1], self.rules)[start - before : start - before + n].astype("<u4")
+        return expanded(self.symbols[first : last + 1], self.rules, self.lengths)[start - before : start - before + n].astype("<u4")
 
     def all_ids(self) -> np.ndarray:
-        return expanded(self.symbols, self.rules).astype("<u4")
+        return expanded(self.symbols, self.rules, self.lengths).astype("<u4")
 
 
 def written_shards(docs: DataFrame, path: str | None = None, end: int = END, shard: int = SHARD) -> DataFrame:
@@ -152,8 +164,8 @@ def written_shards(docs: DataFrame, path: str | None = None, end: int = END, sha
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 for doc, ids in zip(some.column(0).to_pylist(), coder.ids([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end))
                     names.append(doc)

@@ -106,8 +106,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def cut(batches):
         ids_of = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 out = []
                 for doc, ids in zip(some.column(0).to_pylist(), ids_of.ids([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")

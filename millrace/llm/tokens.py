@@ -2,24 +2,27 @@
 
 A text is cut before spaces that are followed by something else than white space and around single line ends; the
 vocabulary's own pattern always cuts there, and between a letter and a punctuation mark, so the ids of a text are those
-of its pieces in order. The library encodes each piece that a worker doesn't remember; the memory is bounded and keeps
-the pieces met first, which are the frequent ones. Texts where a cut isn't safe are encoded whole."""
+of its pieces in order. The library encodes each piece that a worker doesn't remember; the memory is bounded and takes
+pieces that come twice in a batch of texts. Texts where a cut isn't safe are encoded whole."""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
-from itertools import islice
+from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Pieces that a worker remembers, at most.
-REMEMBERED = 400_000
-_UNSAFE = re.compile(r" (?:\s|\Z)|\0")
-_UNSAFE_LINES = re.compile(r"\n\s|\s\n")
-_MARKS = frozenset(".,;:!?")
+REMEMBERED = 800_000
+_GAP = 0xFFFFFFFF
+_GAP_BYTES = b"\xff\xff\xff\xff"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A lone mark after a letter, at the end of a piece, is a piece of its own.
+_MARK = re.compile(r"([.,;:!?])(?=\0|\Z)(?<=[^\W\d_].)")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -29,6 +32,16 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+class _Known(dict):
+    """Piece -> ids as bytes; a piece that isn't known is noted, and a gap stands for it."""
+
+    missed: list[str]
+
+    def __missing__(self, piece: str) -> bytes:
+        self.missed.append(piece)
+        return _GAP_BYTES
+
+
 class Encoder:
     """ids(texts): for each text its ids as an array of little-endian unsigned 32-bit integers."""
 
@@ -38,45 +51,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learned(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't remembered; remembers them while there is room."""
+        """The ids of pieces that aren't remembered."""
         got: dict[str, bytes] = {}
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             got.update(zip(part, [array("I", i).tobytes() for i in self._encoded(part)]))
-        room = REMEMBERED - len(self.known)
-        self.known.update(got if len(got) <= room else islice(got.items(), max(room, 0)))
         return got
 
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        """The pieces of a text, None if it must be encoded whole."""
+        if "  " in text or " \n" in text or text.endswith(" ") or "\0" in text or _OTHER_SPACE.search(text):
+            return None
+        s = text.replace(" ", "\0 ")
+        if "\n" in text and "\n\n" not in text and "\n " not in text:
+            s = s.replace("\n", "\0\n\0")
+        return _MARK.sub("\0\\1", s).split("\0")
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known, cut = self.known, []
+        known = self.known
+        get, data, gaps = known.__getitem__, [], []
         for t in texts:
-            if _UNSAFE.search(t):
-                cut.append(None)
-                continue
-            s = t.replace(" ", "\0 ")
-            if "\n" in t and not _UNSAFE_LINES.search(t):
-                s = s.replace("\n", "\0\n\0")
-            cut.append(s.split("\0"))
-        missing = {p for c in cut if c for p in c if p not in known}
-        # A mark after a letter is a piece of its own.
-        marked = {p for p in missing if len(p) > 2 and p[-1] in _MARKS and p[-2].isalpha()}
-        parts = {x for p in marked for x in (p[:-1], p[-1])}
-        fresh = self._learned([p for p in (missing - marked) | parts if p not in known])
-        for p in marked:
-            head, mark = p[:-1], p[-1]
-            fresh[p] = (fresh.get(head) or known[head]) + (fresh.get(mark) or known[mark])
+            known.missed = []
+            c = self._cut(t)
+            data.append(None if c is None else b"".join(map(get, c)))
+            gaps.append(known.missed)
+        counts = Counter(chain.from_iterable(gaps))
+        fresh = self._learned(list(counts))
+        # The first half of the memory takes all pieces, the second what occurs twice in a batch.
+        some = fresh.items() if 2 * len(known) < REMEMBERED else ((p, fresh[p]) for p, n in counts.items() if n > 1)
+        known.update(islice(some, max(REMEMBERED - len(known), 0)))
         out = []
-        for text, c in zip(texts, cut):
-            if c is None:
+        for text, d, g in zip(texts, data, gaps):
+            if d is None:
                 out.append(np.array(self._encoded([text])[0], "<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([known[p] if p in known else fresh[p] for p in c]), "<u4"))
+                continue
+            ids = np.frombuffer(d, "<u4")
+            if g:  # the pieces that weren't known stand as gaps, in order
+                at, last = [], 0
+                for i, p in zip((4 * np.flatnonzero(ids == _GAP)).tolist(), g):
+                    at += (d[last:i], fresh[p])
+                    last = i + 4
+                at.append(d[last:])
+                ids = np.frombuffer(b"".join(at), "<u4")
+            out.append(ids)
         return out
 
 
