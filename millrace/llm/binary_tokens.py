@@ -30,7 +30,7 @@ END = 2
 SHARD = 1 << 20
 BASE = 50_304  # first nonterminal: above every id of the vocabulary
 MOST_RULES = 65_536 - BASE
-SLOTS = 18
+SLOTS = 17
 MAGIC = b"MRP1"
 
 
@@ -42,7 +42,7 @@ def re_pair(ids: np.ndarray, rounds: int = 5, least: int = 4) -> tuple[np.ndarra
         if len(seq) < 2 or not room:
             break
         key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slot = (key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
+        slot = ((key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)).astype(np.intp)
         counts = np.bincount(slot, minlength=1 << SLOTS)
         holder = np.zeros(1 << SLOTS, np.uint32)
         holder[slot] = key  # one pair holds each slot; others of the slot wait for another round
@@ -53,7 +53,7 @@ def re_pair(ids: np.ndarray, rounds: int = 5, least: int = 4) -> tuple[np.ndarra
         weight = np.zeros(1 << SLOTS, np.int32)
         weight[top] = counts[top]
         w = weight[slot]
-        w[holder[slot] != key] = 0
+        w *= holder[slot] == key
         # A pair is replaced where it outweighs both its neighbours; of equals the left one goes first.
         pick = w > 0
         pick[1:] &= w[1:] > w[:-1]
