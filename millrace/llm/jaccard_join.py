@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
@@ -419,3 +420,11 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of_node = nodes.join(least, "root").select("node", "component_id")
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return own.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its component, one row of equal ones; rows of one doc_id are one document."""
+    kept = similar_documents(docs.select("doc_id", "text"), percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")

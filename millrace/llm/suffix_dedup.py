@@ -371,7 +371,7 @@ def _resolved(posts: np.ndarray, texts: dict[int, bytes], window: int):
             yield posts["node"][p], posts["low"][p] + (a[ok] - head[i[ok]]).astype(np.uint32), (b[ok] - a[ok]).astype(np.uint32)
 
 
-def _lots(some: np.ndarray, group: np.ndarray, k: np.ndarray, most: int = 1 << 20):
+def _lots(some: np.ndarray, group: np.ndarray, k: np.ndarray, most: int = 1 << 17):
     """Runs of whole groups with about so many starts, to bound the arrays."""
     if not len(some):
         return
@@ -499,3 +499,43 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         pick(F.lit(1), F.col("_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(F.lit(EMPTY_SHA), F.col("_sha"), F.col("sha")).alias("kept_sha256"),
     )
+
+
+def _whole_characters(text: bytes, runs: np.ndarray) -> bytes:
+    """text without the runs, each shrunk to whole characters."""
+    out, at = [], 0
+    for a, b in runs.tolist():
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(text[at:a])
+        at = b
+    out.append(text[at:])
+    return b"".join(out)
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with the repeated bytes (shrunk to whole characters) taken out of text, and n_chars to match where it is a column.
+
+    Documents that lose every word go. Rows without a repeat are unchanged."""
+    own, runs = removed_runs(docs, window, gram)
+
+    def cleaned(batches):
+        for batch in batches:
+            rows = [(x, _whole_characters(t, np.frombuffer(r, "<i8").reshape(-1, 2)).decode("utf-8", "replace")) for x, t, r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            if rows:
+                yield _record(["node", "_new"], [pa.int64(), pa.string()], rows)
+
+    texts = written(runs.mapInArrow(cleaned, "node long, _new string"), "sa-texts")
+    of_node = own.groupBy("node").agg(F.count("*").alias("_copies")).join(texts, "node", "left")
+    gone = (F.col("_copies") > 1) & (F.col("n_bytes") >= window)
+    changed = own.join(of_node, "node").where(gone | F.col("_new").isNotNull())
+    changed = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.when(gone, "").otherwise(F.col("_new")).alias("_new")).dropDuplicates(["_id", "_of"])
+    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    out = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_of")), "left")
+    out = out.where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
