@@ -44,11 +44,13 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST
     w = w.withColumns(
         {
             "_full": full,
+            "_nth": F.row_number().over(by),
             "_level": (F.sum("source_size").over(every) - F.coalesce(F.sum(full).over(before), F.lit(0.0)))
             / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
         }
     )
-    w = w.withColumn("_lambda", F.min(F.when(F.col("_full") / F.col("weight") > F.col("_level"), F.col("_level"))).over(every))
+    # The first that isn't stopped has the level of all behind it.
+    w = w.withColumn("_lambda", F.min(F.when(F.col("_full") / F.col("weight") > F.col("_level"), F.struct("_nth", "_level"))).over(every)["_level"])
     return w.select("source", "source_size", "weight", F.least("_full", F.coalesce(F.col("_lambda") * F.col("weight"), F.col("_full"))).alias("target"))
 
 
