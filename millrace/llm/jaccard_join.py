@@ -11,7 +11,7 @@
    are counted for each fragment on its own and summed per pair; the sets of a hot member are dealt out by a salt.
 4. Components of the links by large-star / small-star rounds.
 
-Only sets that a fixed-size Bloom filter of the grouped nodes lets through are sent for step 3 (false hits cost bytes, not
+Only sets that a fixed-size Bloom filter of the paired nodes lets through are sent for step 3 (false hits cost bytes, not
 results). Null texts and texts without words have no shingles and are linked with nothing; null doc_ids are carried and
 never the least; repeated rows are copies; an empty table gives no rows; extra columns are ignored."""
 
@@ -238,17 +238,17 @@ def _filter_part(node: np.ndarray) -> np.ndarray:
     return (K.mixed(node.view(np.uint64)) >> np.uint64(56)).astype(np.int64)
 
 
-def node_filter(groups: DataFrame) -> np.ndarray:
-    """A Bloom filter of the grouped nodes: FILTER_BITS bits whatever the input, made in parts on the executors."""
+def node_filter(pairs: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes of pairs (a, b): FILTER_BITS bits whatever the input, made in parts on the executors."""
 
     def by_part(batches):
         for batch in batches:
-            for x in batch.column(0):
-                node = np.unique(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 4)[:, 1])
-                part = _filter_part(node)
-                o = np.argsort(part, kind="stable")
-                node, part = node[o], part[o]
-                first, length = _edges_of(part)
+            node = np.unique(np.concatenate([c.to_numpy() for c in batch.columns]))
+            part = _filter_part(node)
+            o = np.argsort(part, kind="stable")
+            node, part = node[o], part[o]
+            first, length = _edges_of(part)
+            if len(node):
                 yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array([node[f : f + k].tobytes() for f, k in zip(first, length)], pa.binary())], ["part", "nodes"])
 
     def made(batches):
@@ -262,15 +262,17 @@ def node_filter(groups: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
     out = np.zeros((FILTER_PARTS, FILTER_BITS // FILTER_PARTS // 8), np.uint8)
-    sent = groups.where("kind = 1").select("blob").mapInArrow(by_part, "part int, nodes binary").repartition(16, "part")
+    sent = pairs.select("a", "b").mapInArrow(by_part, "part int, nodes binary").repartition(16, "part")
     for r in sent.mapInArrow(made, "part int, bits binary").toLocalIterator():
         out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def grouped_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(node, kind 0, frag, blob): the sets of the nodes that pass the filter, cut into fragments of the order of hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def paired_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, kind 0, frag, blob): the sets of the nodes of pairs, cut into fragments of the order of hashes.
+
+    The filter's false hits send sets that nobody asks for."""
+    shared = docs.sparkSession.sparkContext.broadcast(node_filter(pairs))
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)).astype(np.uint64)
 
     def run(batches):
@@ -294,12 +296,12 @@ def grouped_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 a, f, blob = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([0] * len(a), pa.int32()), pa.array(f, pa.int32()), pa.array(blob, pa.binary())], ["node", "kind", "frag", "blob"])
 
-    return written(docs.mapInArrow(run, "node long, kind int, frag int, blob binary"), "jac-sets")
+    return docs.mapInArrow(run, "node long, kind int, frag int, blob binary")
 
 
-def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps of each fragment, counted separately and summed per pair."""
-    parts = int_parts(sets.sparkSession)
+    sets, parts = paired_sets(docs, pairs), int_parts(docs.sparkSession)
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     null = F.lit(None)
     salted = pairs.select("a", "b", salt.alias("salt"))
@@ -407,11 +409,10 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     digests = digest(rows)
     order = slot_counts(digests)
     groups = first_round(postings(texts, order, percent, parts), percent, parts)
-    sets = grouped_sets(texts, node_filter(groups))
     pairs = written(groups.where("kind = 0").select("a", "b").distinct(), "jac-pairs")
-    links = written(verified(sets, pairs, percent), "jac-links")
+    links = written(verified(texts, pairs, percent), "jac-links")
     roots = written(components(links), "jac-roots")
-    more = written(verified(sets, written(second_round(groups, roots, pairs, parts), "jac-pairs2"), percent), "jac-links2")
+    more = written(verified(texts, written(second_round(groups, roots, pairs, parts), "jac-pairs2"), percent), "jac-links2")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     own = digests.where("kind = 0").select("doc_id", "n", "node")
     # One row a node before anything is joined: copies don't weigh.
