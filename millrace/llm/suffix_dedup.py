@@ -388,22 +388,12 @@ def _lots(some: np.ndarray, group: np.ndarray, k: np.ndarray, most: int = 1 << 1
 
 
 def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
-    """(node, ranges): packed (first start, starts) of the repeated strings of each text, from each bucket."""
+    """(node, ranges): packed (first start, starts) of the repeated strings of each text, from each bucket.
 
-    def run(batches):
-        posts, texts = [], {}
-        for batch in batches:
-            for x, y in zip(batch.column(1), batch.column(2)):
-                rows = np.frombuffer(x.as_buffer(), _POST)
-                blob, sent = y.as_py(), np.flatnonzero(rows["sent"])
-                ends = np.cumsum(rows["sent"][sent])
-                for e, b, n in zip(rows["e"][sent].tolist(), ends.tolist(), rows["sent"][sent].tolist()):
-                    texts[e] = blob[b - n : b]
-                posts.append(rows)
-        if not posts:
-            return
-        found = list(_resolved(np.concatenate(posts), texts, window))
-        node, low, k = (np.concatenate(x) for x in zip(*found))
+    A task has one bucket in memory at a time."""
+
+    def resolved(posts: list, texts: dict):
+        node, low, k = (np.concatenate(x) for x in zip(*_resolved(np.concatenate(posts), texts, window)))
         o = np.lexsort((low, node))
         node, pair = node[o], np.stack([low[o], k[o]], 1).astype("<u4")
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
@@ -412,7 +402,23 @@ def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
             f, t = first[at : at + 10_000], to[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(node[f]), pa.array([pair[a:b].tobytes() for a, b in zip(f, t)], pa.binary())], ["node", "ranges"])
 
-    return written(cands.repartition(parts, "bucket").mapInArrow(run, "node long, ranges binary"), "sa-ranges")
+    def run(batches):
+        bucket, posts, texts = None, [], {}
+        for batch in batches:
+            for p, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if p != bucket and posts:
+                    yield from resolved(posts, texts)
+                    posts, texts = [], {}
+                bucket, rows = p, np.frombuffer(x.as_py(), _POST)
+                blob, sent = y.as_py(), np.flatnonzero(rows["sent"])
+                ends = np.cumsum(rows["sent"][sent])
+                for e, b, n in zip(rows["e"][sent].tolist(), ends.tolist(), rows["sent"][sent].tolist()):
+                    texts[e] = blob[b - n : b]
+                posts.append(rows)
+        if posts:
+            yield from resolved(posts, texts)
+
+    return written(cands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, ranges binary"), "sa-ranges")
 
 
 def _merged(pairs: np.ndarray, window: int) -> np.ndarray:
@@ -434,7 +440,7 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_text"))
     digests = digest(rows, parts, window, gram)
     texts = rows.select("_text")
-    found = ranges(candidates(texts, bloom(repeated_anchors(digests, parts)), parts, window, gram), parts, window)
+    found = ranges(candidates(texts, bloom(repeated_anchors(digests, parts)), 8 * parts, window, gram), parts, window)
 
     def node_hashes(batches):
         for batch in batches:
