@@ -119,11 +119,15 @@ def _sections(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<title:string,content:string>>")
-def markdown_sections(texts: pd.Series) -> pd.Series:
+def _all_sections(texts: pd.Series) -> pd.Series:
     return texts.map(_sections)
 
 
+def markdown_sections(text: Column) -> Column:
+    """array<struct<title,content>> of a Markdown text."""
+    return F.pandas_udf(_all_sections, f"array<{SECTION}>")(text)
+
+
 def merge_short_sections(sections: Column, least: int = 100) -> Column:
     """Sections under least words wait for the next ones; titles are joined only where a long one ends the wait."""
     acc = f"struct<done:array<{SECTION}>,held:{SECTION}>"

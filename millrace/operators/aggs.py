@@ -66,7 +66,7 @@ def top_n_other(df: DataFrame, column: str, n: int = 10, other: str = "Other") -
     """(category, n): the n most frequent values, ties by value, and the rest as other. One counting pass; n rows are ranked."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     top = counts.orderBy(F.col("n").desc(), column).limit(n).select(F.col(column).alias("_t"))
-    category = F.when(F.col("_t").isNotNull(), F.col(column)).otherwise(F.lit(other))
+    category = F.when(F.col("_t").isNotNull(), F.col(column).cast("string")).otherwise(F.lit(other))
     return counts.join(F.broadcast(top), F.col(column) == F.col("_t"), "left").groupBy(category.alias("category")).agg(F.sum("n").alias("n"))
 
 

@@ -147,12 +147,15 @@ def _envelopes(text: str | None) -> str:
     return json.dumps(out, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
-def tool_envelopes(tools: pd.Series) -> pd.Series:
-    """Tool lists of any shape as one JSON list of function envelopes; '[]' for what isn't a list. Stays text: shapes differ by row."""
+def _all_envelopes(tools: pd.Series) -> pd.Series:
     return tools.map(_envelopes)
 
 
+def tool_envelopes(tools: Column) -> Column:
+    """Tool lists of any shape as one JSON list of function envelopes; '[]' for what isn't a list. Stays text: shapes differ by row."""
+    return F.pandas_udf(_all_envelopes, "string")(tools)
+
+
 def rendered(messages: Column) -> Column:
     """<|im_start|>role, content, <|im_end|> for each message."""
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))), "")
