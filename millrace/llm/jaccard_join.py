@@ -5,8 +5,8 @@
    one global order, frequent ones last: what a hot passage brings stays out of nearly all prefixes. Any order is exact.
 2. Each set sends its prefix in that order, and sets that share a prefix shingle may be similar. A shingle at position
    i of a set of n leaves at most n - i common ones, so it bounds the size of a partner; postings without a possible
-   partner go. A first round pairs each group's most central member with the others and neighbours in size; a second
-   one pairs what is left between components, so a group of near copies never becomes all its pairs.
+   partner go. A first round pairs each group's most central member with the others; a second one pairs what is left
+   between components, so a group of near copies never becomes all its pairs.
 3. Pairs are verified over vertical fragments: the order of shingle hashes is cut into FRAGMENTS ranges, partial overlaps
    are counted for each fragment on its own and summed per pair; the sets of a hot member are dealt out by a salt.
 4. Components of the links by large-star / small-star rounds.
@@ -30,7 +30,9 @@ from millrace.llm.components import components
 SHINGLE = 5
 PERCENT = 80
 FRAGMENTS = 8
-ORDER_SLOTS = 1 << 20
+ORDER_BITS = 22
+ORDER_SLOTS = 1 << ORDER_BITS
+_SLOT = np.uint64(64 - ORDER_BITS)
 CHUNK = 1 << 16
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 256
@@ -91,7 +93,7 @@ def digest(docs: DataFrame) -> DataFrame:
         slots = np.zeros(ORDER_SLOTS, np.int64)
         for batch, buf, offs in slices(batches, "_text", SLICE):
             g, ends = shingle_sets(buf, offs)
-            slots += np.bincount((g >> np.uint64(44)).astype(np.int64), minlength=ORDER_SLOTS)
+            slots += np.bincount((g >> _SLOT).astype(np.int64), minlength=ORDER_SLOTS)
             m = batch.num_rows
             yield _batch(_DIGEST, [np.zeros(m, np.int32), batch.column(0), np.diff(ends, prepend=0), node_ids(g, ends), [None] * m])
         # One byte a slot: above 255 in one task, more makes no difference to the order.
@@ -139,7 +141,7 @@ def postings(docs: DataFrame, order: np.ndarray, percent: int, parts: int) -> Da
             if not fresh:
                 continue
             t = np.repeat(np.arange(len(n)), n)
-            by = np.lexsort((g, rank[(g >> np.uint64(44)).astype(np.int64)], t))
+            by = np.lexsort((g, rank[(g >> _SLOT).astype(np.int64)], t))
             g, place = g[by], np.arange(len(g)) - starts[t]
             prefix = n - -(-percent * n // 100) + 1
             ok = np.zeros(len(n), bool)
@@ -210,10 +212,7 @@ def first_round(sent: DataFrame, percent: int, parts: int) -> DataFrame:
         group = np.repeat(np.arange(len(first)), length)
         # The most central member has the most room for a partner: its common shingles come first.
         room = np.lexsort((node, most - n, group))
-        centre = np.repeat(room[first + length - 1], length)
-        i = np.arange(len(token))
-        follow = np.flatnonzero(token[1:] == token[:-1])
-        x, y = np.concatenate([centre, follow]), np.concatenate([i, follow + 1])
+        x, y = np.repeat(room[first + length - 1], length), np.arange(len(token))
         ok = (node[x] != node[y]) & (n[y] <= most[x]) & (n[x] <= most[y])
         a, b = np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]
         o = np.lexsort((b, a))
