@@ -90,10 +90,10 @@ def digest(docs: DataFrame) -> DataFrame:
     """Written rows of kind 0: (doc_id, n, node) of each text; of kind 1: a task's slot counts (chunk in n)."""
 
     def run(batches):
-        slots = np.zeros(ORDER_SLOTS, np.int64)
+        slots = np.zeros(ORDER_SLOTS, np.int32)
         for batch, buf, offs in slices(batches, "_text", SLICE):
             g, ends = shingle_sets(buf, offs)
-            slots += np.bincount((g >> _SLOT).astype(np.int64), minlength=ORDER_SLOTS)
+            np.add.at(slots, (g >> _SLOT).astype(np.int64), np.int32(1))
             m = batch.num_rows
             yield _batch(_DIGEST, [np.zeros(m, np.int32), batch.column(0), np.diff(ends, prepend=0), node_ids(g, ends), [None] * m])
         # One byte a slot: above 255 in one task, more makes no difference to the order.
