@@ -4,8 +4,9 @@ A conversation is a log of events (conv_id, seq, op, target, role, text). Partit
 sequence, the log is folded into final messages: 'message' opens a message, 'delta' appends to its target, 'edit'
 replaces the target's text, 'regenerate' empties the target and drops what follows it. Then the messages are rendered.
 
-Template: <s>[ROLE] text [/ROLE] with </s> after an assistant's turn. Control strings inside a text or role are escaped
-reversibly: a backslash becomes \\e, and the first character of a control string becomes \\l (for <) or \\b (for [).
+Template: <s>[role]text[/role] with </s> after an assistant's turn. Control strings inside a text or role are escaped
+reversibly: a backslash becomes \\e, the first character of a control string becomes \\l (for <) or \\b (for [), and a ]
+inside a role becomes \\c.
 
 Null texts are empty; a null role is 'user'; rows of a null conversation form one conversation of their own; ties of seq
 are ordered by role, then text, and repeated rows stay repeated; extra columns are ignored; an empty log gives no rows."""
@@ -76,13 +77,15 @@ def folded(events: DataFrame) -> DataFrame:
     )
 
 
+def _role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(CLOSE), F.lit("\\c"))
+
+
 def rendered(turns: Column) -> Column:
     """The formatted text of an array of turns."""
     def one(t: Column) -> Column:
-        role = escape(F.upper(t["role"]))
-        return F.concat(
-            F.lit(BOS + OPEN), escape(t["role"]), F.lit(CLOSE), escape(t["text"]), F.lit(OPEN + "/"), role, F.lit(CLOSE), F.when(t["role"] == "assistant", F.lit(EOS)).otherwise(F.lit(""))
-        )
+        role = _role(t["role"])
+        return F.concat(F.lit(BOS + OPEN), role, F.lit(CLOSE), escape(t["text"]), F.lit(OPEN + "/"), role, F.lit(CLOSE), F.when(t["role"] == "assistant", F.lit(EOS)).otherwise(F.lit("")))
 
     return F.array_join(F.transform(turns, one), "")
 
@@ -90,12 +93,12 @@ def rendered(turns: Column) -> Column:
 def parsed(formatted: Column) -> Column:
     """The turns, read back from a formatted text: the inverse of rendered()."""
     def one(piece: Column) -> Column:
-        # [role]text[/ROLE] or the same and </s>: a role has no ] that is not after an escaped start.
+        # [role]text[/role] or the same and </s>; a role holds no ].
         closed = F.when(F.endswith(piece, F.lit(EOS)), F.substring(piece, F.lit(1), F.length(piece) - len(EOS))).otherwise(piece)
         at = F.locate(CLOSE, closed)
         role = F.substring(closed, F.lit(2), at - 2)
         body = F.substring(closed, at + 1, F.length(closed) - at - F.length(role) - 3)
-        return F.struct(unescape(role).alias("role"), unescape(body).alias("text"))
+        return F.struct(unescape(F.replace(role, F.lit("\\c"), F.lit(CLOSE))).alias("role"), unescape(body).alias("text"))
 
     pieces = F.filter(F.split(formatted, BOS), lambda x: x != "")
     return F.transform(pieces, lambda p: let(p, one))

@@ -2,7 +2,7 @@
 
 Documents are dealt into blocks of about BLOCK documents by a hash within their source. A source's target is reached by
 whole passes over its blocks plus one partial pass: blocks in permuted order while they fit, then documents of the
-first block that doesn't fit, in permuted order, each taken if it still fits. The block draws of all sources form exact
+first block that doesn't fit, in permuted order, each taken if it still fits, and one more if that comes nearer. The block draws of all sources form exact
 quotas; a binary tree splits them among the output shards, each node drawing the left child's share of every source
 from the multivariate hypergeometric law (an urn without replacement, driven by hashes, so reruns agree). Inside a
 shard the rows are shuffled by a hash.
@@ -143,15 +143,18 @@ def plan_of(sizes: DataFrame, levels: int = 5, seed: int = 9) -> DataFrame:
     cut = placed.join(drawn.where("_cut").select("_rank", "_block", "_left"), ["_rank", "_block"])
     state = "struct<left:double,rows:array<bigint>>"
     fit = cut.groupBy("_rank", "_block").agg(F.first("_left").cast("double").alias("_left"), F.array_sort(F.collect_list(F.struct("_perm", "_row", "size"))).alias("_l"))
-    fit = fit.select(
-        F.explode(
-            F.aggregate(
-                "_l",
-                F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("rows")).cast(state),
-                lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["rows"], F.array(x["_row"])).alias("rows")).cast(state)).otherwise(a),
-            )["rows"]
-        ).alias("_row")
-    ).withColumn("_fits", F.lit(1))
+    taken = F.aggregate(
+        "_l",
+        F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("rows")).cast(state),
+        lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["rows"], F.array(x["_row"])).alias("rows")).cast(state)).otherwise(a),
+    )
+    # One more if it brings the source nearer to its target than it is without.
+    fit = fit.withColumn("_t", taken)
+    rest = F.filter("_l", lambda x: ~F.array_contains(F.col("_t.rows"), x["_row"]))
+    near = F.array_min(F.transform(rest, lambda x: F.struct((x["size"] - F.col("_t.left")).alias("over"), x["_perm"].alias("perm"), x["_row"].alias("row"))))
+    fit = fit.withColumn("_near", near)
+    rows = F.when(F.col("_near.over") < F.col("_t.left"), F.concat(F.col("_t.rows"), F.array(F.col("_near.row")))).otherwise(F.col("_t.rows"))
+    fit = fit.select(F.explode(rows).alias("_row")).withColumn("_fits", F.lit(1))
     out = placed.join(drawn, ["_rank", "_block"], "left").join(fit, "_row", "left")
     extra = F.when(F.col("_whole") & (F.col("_rest") > 0), 1).otherwise(F.coalesce("_fits", F.lit(0)))
     return out.select(

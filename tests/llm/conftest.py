@@ -9,7 +9,7 @@ def prose(seed: int, n: int) -> str:
     r = random.Random(seed)
     out = []
     for i in range(n):
-        out.append(r.choice(ALPHABET) + str(r.randrange(400)))
+        out.append(r.choice(ALPHABET) + r.choice(["", str(r.randrange(400)), str(r.randrange(400))]))
         if i % 12 == 11:
             out[-1] += ".\n"
     return " ".join(out).replace("\n ", "\n")

@@ -47,7 +47,7 @@ def test_suffix_dedup(docs, rows):
     assert by_id(suffix_dedup.dedup_digest(docs)) == want
     assert suffix_dedup.dedup_digest(docs.limit(0)).count() == 0
     kept = {r.doc_id: r for r in suffix_dedup.deduplicated(docs).collect()}
-    assert kept[0].text == rows[0][1] and kept[0]["kept"] == "k" and 100 not in kept and 400 not in kept
+    assert kept[0].text == rows[0][1] and kept[0]["kept"] == "k" and 100 not in kept and kept[400].text is None
     assert suffix_dedup.deduplicated(docs).columns == docs.columns
     assert len(kept[300].text) < len(next(r[1] for r in rows if r[0] == 300)) and kept[300].n_chars == len(kept[300].text)
 
@@ -287,7 +287,7 @@ def test_mixing(docs, rows):
         assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < 32 for s in r.shards)
         taken[r.source] += r.copies * r.size
     for s in sizes:
-        assert taken[s] <= want[s] + 1e-6 and want[s] - taken[s] <= max(60, 0.02 * want[s])
+        assert abs(want[s] - taken[s]) <= max(60, 0.02 * want[s])
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mixture_digest(docs.limit(0)).count() == 0
