@@ -16,7 +16,8 @@ def parsed_or_null(c: Column, schema: str) -> Column:
 
 
 def _valid(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull()
+    """One JSON value and nothing behind it: the parser alone would stop after the first."""
+    return F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
 
 
 def embedded_json(c: Column) -> Column:
