@@ -309,20 +309,22 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     send = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("frag", pa.int32()), ("kind", pa.int32()), ("b", pa.int64()), ("blob", pa.binary())])
 
     def dealt(batches):
-        node, own = None, {}
+        node, own, rows, size = None, {}, [], 0
         for batch in batches:
-            rows = []
-            for x, kind, frag, blob, a in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            blobs = batch.column(3)
+            for k, (x, kind, frag, a) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)))):
                 if x != node:
                     node, own = x, {}
                 if kind == 0:
-                    own[frag] = blob  # copies of a text bring the same set
-                elif kind == 1:
-                    rows += [(x, frag, f, 0, None, s) for f, s in own.items()]
-                else:
-                    rows += [(a, frag, f, 1, x, s) for f, s in own.items()]
-            if rows:
-                yield _batch(send, list(zip(*rows)))
+                    own[frag] = blobs[k].as_py()  # copies of a text bring the same set
+                    continue
+                rows += [(x, frag, f, 0, None, s) for f, s in own.items()] if kind == 1 else [(a, frag, f, 1, x, s) for f, s in own.items()]
+                size += sum(map(len, own.values()))
+                if size > 1 << 22:
+                    yield _batch(send, list(zip(*rows)))
+                    rows, size = [], 0
+        if rows:
+            yield _batch(send, list(zip(*rows)))
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
 
@@ -330,12 +332,13 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         key, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             rows = []
-            for a, s, f, kind, b, blob in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                x = np.frombuffer(blob, "<u8")
+            blobs = batch.column(5)
+            for k, (a, s, f, kind, b) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
+                x = np.frombuffer(blobs[k].as_buffer(), "<u8")
                 if (a, s, f) != key:
                     key, own = (a, s, f), np.zeros(0, np.uint64)
                 if kind == 0:
-                    own = x
+                    own = x.copy()  # it outlives its batch
                 elif len(own) and len(x):
                     i = np.minimum(np.searchsorted(own, x), len(own) - 1)
                     rows.append((a, b, int((own[i] == x).sum()), len(own) + len(x)))
