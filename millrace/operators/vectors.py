@@ -78,7 +78,7 @@ def cosine_top(rows: DataFrame, queries: DataFrame, k: int = 3, id_: str = "vec_
 
 def mean_pooled(df: DataFrame, key: str, vector: str, scale: int = 6) -> DataFrame:
     """(key, pooled): componentwise means, rounded."""
-    one = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.round(F.avg(F.col("x").cast("double")), scale).alias("m"))
+    one = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg((F.round(F.avg(F.col("x").cast("double")), scale) + 0.0).alias("m"))
     return one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("pooled"))
 
 

@@ -42,7 +42,7 @@ def l2_norm(t, spark):
     return t("embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query("SELECT label, i::INT AS i, round(avg(x), 4) AS m FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+@query("SELECT label, i::INT AS i, round(avg(x), 4) + 0.0 AS m FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 def mean_pool(t, spark):
     return vectors.mean_pooled(t("embeddings"), "label", "embedding", 4).select("label", F.posexplode("pooled").alias("i", "m"))
 
@@ -62,4 +62,4 @@ def rag_prompts(t, spark):
 @query()
 def projected(t, spark):
     weights = [[(1.0 if (i + j) % 7 == 0 else -0.5) for i in range(64)] for j in range(8)]
-    return t("embeddings").select("vec_id", F.transform(vectors.projection(weights)(F.col("embedding")), lambda x: F.round(x, 5)).alias("p")).select("vec_id", F.posexplode("p").alias("i", "x"))
+    return t("embeddings").select("vec_id", F.transform(vectors.projection(weights)(F.col("embedding")), lambda x: F.round(x, 5) + 0.0).alias("p")).select("vec_id", F.posexplode("p").alias("i", "x"))
