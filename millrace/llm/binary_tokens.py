@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import int_parts, written
+from millrace.llm.common import int_parts, slices, written
 from millrace.llm.tokens import default_path, encoder
 
 END = 2
@@ -155,7 +155,7 @@ def written_shards(docs: DataFrame, path: str | None = None, end: int = END, sha
 
     def made(batches):
         part, seq, coder = TaskContext.get().partitionId(), 0, encoder(path)
-        names, counts, held, n = [], [], [], 0
+        names, counts, held, n, last = [], [], [], 0, np.array([end], np.uint16)
 
         def flush():
             nonlocal seq, names, counts, held, n
@@ -163,21 +163,18 @@ def written_shards(docs: DataFrame, path: str | None = None, end: int = END, sha
             seq, names, counts, held, n = seq + 1, [], [], [], 0
             return row
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                for doc, ids in zip(some.column(0).to_pylist(), coder.ids([t or "" for t in some.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end))
-                    names.append(doc)
-                    counts.append(len(ids))
-                    held.append(ids.astype(np.uint16))
-                    n += len(ids)
-                    if n >= shard:
-                        yield flush()
+        for some, buf, offs in slices(batches, "_text"):
+            for doc, ids in zip(some.column(0).to_pylist(), coder.ids_of(buf, offs)):
+                names.append(doc)
+                counts.append(len(ids) + 1)
+                held += (ids.astype(np.uint16), last)
+                n += len(ids) + 1
+                if n >= shard:
+                    yield flush()
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(int_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).repartitionByRange(int_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     return written(rows.mapInArrow(made, "part int, seq int, n_ids long, payload binary"), "token-shards")
 
 

@@ -37,7 +37,7 @@ CHUNK = 1 << 16
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 256
 SALTS = 16
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

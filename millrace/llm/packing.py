@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import slices, written
 from millrace.llm.tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -105,21 +105,17 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def cut(batches):
         ids_of = encoder(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                out = []
-                for doc, ids in zip(some.column(0).to_pylist(), ids_of.ids([t or "" for t in some.column(1).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    head = len(ids) % capacity or capacity
-                    at_, k = 0, 0
-                    while at_ < len(ids):
-                        n = head if k == 0 else capacity
-                        out.append((doc, k, at_, n, zlib.crc32(ids[at_ : at_ + n].tobytes())))
-                        at_, k = at_ + n, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        for some, buf, offs in slices(batches, "_text"):
+            out = []
+            for doc, ids in zip(some.column(0).to_pylist(), ids_of.ids_of(buf, offs)):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                n, at, k = len(ids) % capacity or capacity, 0, 0
+                while at < len(ids):
+                    out.append((doc, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+                    at, k, n = at + n, k + 1, capacity
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(table: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:

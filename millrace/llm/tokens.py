@@ -1,28 +1,32 @@
 """Byte-level BPE ids of whole texts, by the tokenizers library and a public vocabulary file whose path is a parameter.
 
-A text is cut before spaces that are followed by something else than white space and around single line ends; the
-vocabulary's own pattern always cuts there, and between a letter and a punctuation mark, so the ids of a text are those
-of its pieces in order. The library encodes each piece that a worker doesn't remember; the memory is bounded and takes
-pieces that come twice in a batch of texts. Texts where a cut isn't safe are encoded whole."""
+Texts are cut where the vocabulary's own pattern always cuts: before a space that something else than white space
+follows, around a single line end, and before a lone mark behind an ASCII letter. So the ids of a text are those of its
+pieces in order. A worker keeps the ids of pieces in a table of a fixed number of slots, by a 64-bit hash; the library
+encodes what isn't there. Pieces that come twice in a batch take a slot from others; others only take empty ones."""
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections import Counter
-from itertools import chain, islice
 
 import numpy as np
 
+from millrace.llm import kernel as K
+
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Pieces that a worker remembers, at most.
-REMEMBERED = 800_000
-_GAP = 0xFFFFFFFF
-_GAP_BYTES = b"\xff\xff\xff\xff"
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-#: A lone mark after a letter, at the end of a piece, is a piece of its own.
-_MARK = re.compile(r"([.,;:!?])(?=\0|\Z)(?<=[^\W\d_].)")
+SLOT_BITS = 21
+#: Ids that the table holds at most; then it starts anew.
+ARENA = 1 << 23
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: First bytes of the white space outside ASCII (and of much else, where there is just no cut).
+_MAY_BE_SPACE = _SPACE.copy()
+_MAY_BE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -32,14 +36,28 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
-class _Known(dict):
-    """Piece -> ids as bytes; a piece that isn't known is noted, and a gap stands for it."""
-
-    missed: list[str]
-
-    def __missing__(self, piece: str) -> bytes:
-        self.missed.append(piece)
-        return _GAP_BYTES
+def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The first bytes of the pieces of texts laid end to end."""
+    n = len(buf)
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    nxt = np.empty(n, np.uint8)
+    nxt[:-1], nxt[-1:] = buf[1:], 32
+    last = edge[1:]  # at the end of a text nothing follows
+    start = (buf == 32) & ~_MAY_BE_SPACE[nxt] & ~last
+    line = np.flatnonzero(buf == 10)
+    if len(line):
+        before = np.where(line > 0, buf[line - 1], 97)
+        line = line[(edge[line] | ((before < 128) & ~_SPACE[before])) & (last[line] | ~_MAY_BE_SPACE[nxt[line]])]
+    start = np.append(start, True)
+    start[line] = True
+    start[line + 1] = True
+    start |= edge
+    mark = np.flatnonzero(_MARK[buf] & start[1:])
+    if len(mark):
+        mark = mark[(mark > 0) & ~start[mark] & _LETTER[buf[mark - 1]]]
+        start[mark] = True
+    return np.flatnonzero(start[:-1])
 
 
 class Encoder:
@@ -51,58 +69,62 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known = _Known()
+        self._clear()
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learned(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces that aren't remembered."""
-        got: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got.update(zip(part, [array("I", i).tobytes() for i in self._encoded(part)]))
-        return got
-
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        """The pieces of a text, None if it must be encoded whole."""
-        if "  " in text or " \n" in text or text.endswith(" ") or "\0" in text or _OTHER_SPACE.search(text):
-            return None
-        s = text.replace(" ", "\0 ")
-        if "\n" in text and "\n\n" not in text and "\n " not in text:
-            s = s.replace("\n", "\0\n\0")
-        return _MARK.sub("\0\\1", s).split("\0")
+    def _clear(self) -> None:
+        slots = 1 << SLOT_BITS
+        self.hash, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.arena, self.used = np.zeros(ARENA, "<u4"), 0
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        get, data, gaps = known.__getitem__, [], []
-        for t in texts:
-            known.missed = []
-            c = self._cut(t)
-            data.append(None if c is None else b"".join(map(get, c)))
-            gaps.append(known.missed)
-        counts = Counter(chain.from_iterable(gaps))
-        fresh = self._learned(list(counts))
-        # The first half of the memory takes all pieces, the second what occurs twice in a batch.
-        some = fresh.items() if 2 * len(known) < REMEMBERED else ((p, fresh[p]) for p, n in counts.items() if n > 1)
-        known.update(islice(some, max(REMEMBERED - len(known), 0)))
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
         out = []
-        for text, d, g in zip(texts, data, gaps):
-            if d is None:
-                out.append(np.array(self._encoded([text])[0], "<u4"))
-                continue
-            ids = np.frombuffer(d, "<u4")
-            if g:  # the pieces that weren't known stand as gaps, in order
-                at, last = [], 0
-                for i, p in zip((4 * np.flatnonzero(ids == _GAP)).tolist(), g):
-                    at += (d[last:i], fresh[p])
-                    last = i + 4
-                at.append(d[last:])
-                ids = np.frombuffer(b"".join(at), "<u4")
-            out.append(ids)
+        for i in range(0, len(texts), 4096):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        blobs = [t.encode("utf-8") for t in texts]
+        offs = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
+        return self.ids_of(np.frombuffer(b"".join(blobs), np.uint8), offs)
+
+    def ids_of(self, buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts laid end to end."""
+        if not len(buf):
+            return [np.zeros(0, "<u4") for _ in offs[1:]]
+        start = cuts(buf, offs)
+        stop = np.append(start[1:], len(buf))
+        h = K.mixed(K.span_hashes(K.prefix(buf), start, stop) + (stop - start).astype(np.uint64)) | np.uint64(1)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+        miss = np.flatnonzero(self.hash[slot] != h)
+        at, n = self.at[slot], self.n[slot]
+        arena = self.arena
+        if len(miss):
+            new, first, back, count = np.unique(h[miss], return_index=True, return_inverse=True, return_counts=True)
+            some = miss[first]
+            joined = buf.tobytes()
+            got = self._encoded([joined[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), stop[some].tolist())])
+            size = np.array([len(g) for g in got], np.int32)
+            flat = np.frombuffer(b"".join([array("I", g).tobytes() for g in got]), "<u4")
+            ends = np.cumsum(size)
+            if self.used + len(flat) > ARENA:  # what was found in this batch goes with its own arena
+                old, held = arena[: self.used], len(flat)
+                arena = np.concatenate([flat, old])
+                at = at + held
+                at[miss], n[miss] = (ends - size)[back], size[back]
+                self._clear()
+            else:
+                arena[self.used : self.used + len(flat)] = flat
+                place = (ends - size + self.used).astype(np.int32)
+                self.used += len(flat)
+                at[miss], n[miss] = place[back], size[back]
+                s = (new >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+                take = (self.hash[s] == 0) | (count > 1)
+                self.hash[s[take]], self.at[s[take]], self.n[s[take]] = new[take], place[take], size[take]
+        total = np.cumsum(n, dtype=np.int64)
+        ids = arena[np.repeat(at - (total - n), n) + np.arange(int(total[-1]))]
+        upto = np.concatenate([[0], total])[np.searchsorted(start, offs)]
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and vocabulary."""

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import binary_tokens as B
 from millrace.llm import packing as P
+from millrace.llm import tokens as T
 from millrace.llm.tokens import Encoder, default_path
 
 ODD = ["", " ", "a  b", "a \n b", "x  y", "tab\t tab", "a\0b c", " lead", "trail ", "it's 'quoted' 12 34", "日本 語　 x", "é" * 300, "<|endoftext|> z", "  q  ", "a \x1c b"]
@@ -25,10 +26,21 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in Encoder(default_path()).ids(ODD)] == [whole(t) for t in ODD]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=" ab\n\t '1.é", max_size=30), max_size=4))
+CODER, LIBRARY = Encoder(default_path()), Tokenizer.from_file(default_path())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t.,!ab'1\u00e9\u2003\u00a0\x85\u65e5\x1c\u00bb", max_size=14), max_size=4))
 def test_encoder_on_white_space(texts):
-    assert [x.tolist() for x in Encoder(default_path()).ids(texts)] == [whole(t) for t in texts]
+    assert [x.tolist() for x in CODER.ids(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_when_its_table_is_full(monkeypatch):
+    monkeypatch.setattr(T, "ARENA", 60)
+    coder = Encoder(default_path())
+    for i in range(12):
+        texts = [f"word{i}x other{i} stuff, more{k} stuff" for k in range(3)]
+        assert [x.tolist() for x in coder.ids(texts)] == [whole(t) for t in texts]
 
 
 def brute_best_fit(lengths, capacity):
