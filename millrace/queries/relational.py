@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars
 from millrace.operators import aggs, clean, joins, sets, windows
 from millrace.queries.registry import query
 
@@ -454,3 +455,23 @@ def nth_rows(t, spark):
 @query()
 def sampled_category(t, spark):
     return t("part").select("p_partkey", sets.category(F.col("p_partkey"), ["easy", "medium", "hard"]).alias("level"))
+
+
+# Scalars.
+
+
+@query("SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS money, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, left(sha256(o_orderkey || chr(31) || o_orderstatus), 24) AS id FROM orders")
+def formatted_orders(t, spark):
+    o = t("orders")
+    return o.select("o_orderkey", scalars.money(F.col("o_totalprice")).alias("money"), scalars.iso_time(F.col("o_orderdate")).alias("at"), scalars.stable_id(F.col("o_orderkey"), F.col("o_orderstatus"), length=24).alias("id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount * l_discount + l_tax * l_tax, 8) AS sq FROM lineitem")
+def sum_of_squares(t, spark):
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.squares(F.col("l_discount"), F.col("l_tax")), 8).alias("sq"))
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS label, event_id % 3 AS third, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def labelled_counts(t, spark):
+    e = t("events").withColumn("label", F.when(F.col("event_type") == "error", "bad").otherwise("good"))
+    return e.groupBy("label", (F.col("event_id") % 3).alias("third")).agg(F.count("*").alias("n"))

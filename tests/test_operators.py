@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import chunk, json_text, metrics, subword, text
+from millrace.functions import chunk, json_text, metrics, scalars, subword, text
 from millrace.operators import agents, aggs, clean, joins, nested, sets, sim, state, vectors, windows
 
 
@@ -53,6 +53,15 @@ def test_dedupe_search_split(spark):
     assert [r.step for r in a.collect()] == [3] and b.count() == 2
 
 
+def test_scalars(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = F.lit
+    assert [one(f(lit(x))) for f, x in ((scalars.number, 1234567.0), (scalars.percent, 0.256), (scalars.money, -1234.5), (scalars.milliseconds, 0.25), (scalars.seconds, 1.25))] == ["1,234,567", "25.6%", "-$1,234.50", "250 ms", "1.2s"]
+    assert one(scalars.half_up(lit(0.125))) == 0.13 and one(scalars.half_even(lit(0.125))) == 0.12
+    assert one(scalars.iso_time(lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05Z"
+    assert one(scalars.stable_id(lit(1), lit("a"))) == one(scalars.stable_id(lit(1), lit("a"))) != one(scalars.stable_id(lit(1), lit("b")))
+
+
 # Joins.
 
 
