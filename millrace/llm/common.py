@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             to = min(to, n)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers stay for later tasks, and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def int_parts(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, written
+from millrace.llm.common import int_parts, slices, trim, written
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -224,6 +224,8 @@ def first_round(sent: DataFrame, percent: int, parts: int) -> DataFrame:
         blob = np.stack([token.view(np.int64), node, n, most], 1).astype("<i8")
         for k in range(0, len(blob), 50_000):
             yield _batch(_pairs_schema(), [[1], [None], [None], [blob[k : k + 50_000].tobytes()]])
+        held = token = node = n = most = blob = None
+        trim()
 
     return written(sent.repartition(parts, "bucket").mapInArrow(run, "kind int, a long, b long, blob binary"), "jac-groups")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, written
+from millrace.llm.common import int_parts, slices, trim, written
 
 WINDOW = 200
 GRAM = 64
@@ -417,6 +417,8 @@ def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
                 posts.append(rows)
         if posts:
             yield from resolved(posts, texts)
+        posts, texts = [], {}
+        trim()
 
     return written(cands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, ranges binary"), "sa-ranges")
 
@@ -470,6 +472,8 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
                     held = []
             if out:
                 yield _record(["node", "text", "runs"], [pa.int64(), pa.binary(), pa.binary()], out)
+        out = None
+        trim()
 
     moved = texts.mapInArrow(reached, "node long, kind int, blob binary").union(found.select("node", F.lit(0).alias("kind"), F.col("ranges").alias("blob")))
     runs = moved.repartition(parts, "node").sortWithinPartitions("node", "kind").mapInArrow(joined, "node long, text binary, runs binary")

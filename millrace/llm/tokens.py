@@ -69,12 +69,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self._clear()
 
     def _clear(self) -> None:
         slots = 1 << SLOT_BITS
         self.hash, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.arena, self.used = np.zeros(ARENA, "<u4"), 0
+        self.arena, self.used = np.zeros(ARENA, self.kind), 0
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -104,12 +105,12 @@ class Encoder:
             joined = buf.tobytes()
             got = self._encoded([joined[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), stop[some].tolist())])
             size = np.array([len(g) for g in got], np.int32)
-            flat = np.frombuffer(b"".join([array("I", g).tobytes() for g in got]), "<u4")
+            flat = np.frombuffer(b"".join([array("I", g).tobytes() for g in got]), "<u4").astype(self.kind)
             ends = np.cumsum(size)
             if self.used + len(flat) > ARENA:  # what was found in this batch goes with its own arena
                 old, held = arena[: self.used], len(flat)
                 arena = np.concatenate([flat, old])
-                at = at + held
+                at += held
                 at[miss], n[miss] = (ends - size)[back], size[back]
                 self._clear()
             else:
@@ -121,7 +122,7 @@ class Encoder:
                 take = (self.hash[s] == 0) | (count > 1)
                 self.hash[s[take]], self.at[s[take]], self.n[s[take]] = new[take], place[take], size[take]
         total = np.cumsum(n, dtype=np.int64)
-        ids = arena[np.repeat(at - (total - n), n) + np.arange(int(total[-1]))]
+        ids = arena[np.repeat(at - (total - n), n) + np.arange(int(total[-1]))].astype("<u4")
         upto = np.concatenate([[0], total])[np.searchsorted(start, offs)]
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
