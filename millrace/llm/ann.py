@@ -30,6 +30,7 @@ ROUNDS = 1
 BEAM = 512
 STEP = 512
 TOP = 10
+PART = 2048  # vectors a bucket
 _PACK = "bucket int, kind int, node long, blob binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("blob", pa.binary())])
 
@@ -78,7 +79,8 @@ def _tasks(df: DataFrame, parts: int, work) -> DataFrame:
         if part:
             yield _rows(part)
 
-    return df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACK)
+    tasks = min(int_parts(df.sparkSession), max(parts, 12))
+    return df.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACK)
 
 
 def vector_nodes(df: DataFrame, id_: str, vector: str, top: int) -> DataFrame:
@@ -381,9 +383,9 @@ def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: Dat
 
 def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, rank, vec_id, score): the top found for each row whose id is divisible by every, all rows being candidates but its own."""
-    parts = int_parts(df.sparkSession)
     nodes = written(vector_nodes(df, id_, vector, top), "ann-nodes")
     n = nodes.count()
+    parts = max(1, -(-n // PART))  # buckets follow the vectors, so a bucket's arrays have a bounded size
 
     def packed_rows(batches):
         for batch in batches:
