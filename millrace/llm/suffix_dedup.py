@@ -13,8 +13,9 @@ the string only, so equal strings have anchors with equal bytes at equal distanc
    corpus order of all string starts, where repeats are neighbours. Neighbours are compared byte by byte.
 3. The ranges go to their texts; texts that no range reached never move.
 
-A group is as large as the number of different surroundings of one anchor, equal ones being merged before they are sent.
-Where a group has more than DEALT members, its strings are told apart by a digest of their own, dealt out over all tasks.
+Hot groups: of equal surroundings a task sends two, which is enough to know all of them as repeats; the others' ranges go
+straight to their texts. Anchors that more than HOT texts or places have send a 128-bit digest of each of their strings
+instead of the surroundings, so their strings are dealt out over all buckets; equal digests are repeats.
 
 Null texts are empty; null doc_ids are carried; repeated rows are copies; texts under 200 bytes stay whole; an empty table
 gives no rows; extra columns are ignored by the digest and carried by deduplicated()."""
@@ -39,7 +40,8 @@ SLICE = 1 << 20
 FILTER_BITS = 1 << 28
 FILTER_PARTS = 256
 PLACE = np.uint64(28)  # low bits of a key that hold a position
-DEALT = 20_000
+HOT = 20_000
+_DIGEST = 0xFFFFFFFF  # in a post's anchor: the post is one string's digest
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -156,13 +158,10 @@ def repeated_starts(texts: list[bytes], starts: np.ndarray, window: int = WINDOW
     return flag
 
 
-def dealt_starts(texts: list[bytes], starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """As repeated_starts, by digests of the strings: for groups too large for an array of suffixes at once."""
-    seen: dict[bytes, int] = {}
-    keys = [hashlib.blake2b(t[i : i + window], digest_size=16).digest() for t, k in zip(texts, starts.tolist()) for i in range(k)]
-    for k in keys:
-        seen[k] = seen.get(k, 0) + 1
-    return np.array([seen[k] > 1 for k in keys], bool)
+def string_digests(text: bytes, low: int, high: int, window: int = WINDOW) -> np.ndarray:
+    """Two 64-bit halves of the digest of each window-byte string that starts from low to high."""
+    view = memoryview(text)
+    return np.frombuffer(b"".join(hashlib.blake2b(view[i : i + window], digest_size=16).digest() for i in range(low, high + 1)), "<u8").reshape(-1, 2)
 
 
 def text_nodes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[str]]:
@@ -272,8 +271,8 @@ def passes(have: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_anchors(digests: DataFrame, parts: int) -> DataFrame:
-    """(h binary): the anchor hashes that two texts or two places of one text have."""
+def repeated_anchors(digests: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """Written (h binary, hot binary): the anchor hashes that two texts or two places of one text have, and those that many have."""
 
     def run(batches):
         h, own = [], []
@@ -285,21 +284,24 @@ def repeated_anchors(digests: DataFrame, parts: int) -> DataFrame:
             h, own = np.concatenate(h), np.concatenate(own)
             o = np.lexsort((own, h))
             h, own = h[o], own[o]
-            more = (h[1:] == h[:-1]) & (own[1:] != own[:-1])
-            yield _record(["h"], [pa.binary()], [(np.unique(h[1:][more]).tobytes(),)])
+            more = np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1]))
+            h, n = np.unique(h[more], return_counts=True)
+            yield _record(["h", "hot"], [pa.binary(), pa.binary()], [(h[n > 1].tobytes(), h[n > hot].tobytes())])
 
     rows = digests.where("kind = 1").select(F.col("n_bytes").alias("bucket"), "h", "owner")
-    return rows.repartition(parts, "bucket").mapInArrow(run, "h binary")
+    return written(rows.repartition(parts, "bucket").mapInArrow(run, "h binary, hot binary"), "sa-anchors")
 
 
-def candidates(docs: DataFrame, have: np.ndarray, parts: int, window: int, gram: int) -> DataFrame:
+_POST = np.dtype([("h", "<u8"), ("e", "<u8"), ("node", "<i8"), ("low", "<u4"), ("k", "<u4"), ("at", "<u4"), ("sent", "<u4")])
+
+
+def candidates(docs: DataFrame, have: np.ndarray, hot: np.ndarray, parts: int, window: int, gram: int) -> DataFrame:
     """The surroundings of the anchors that pass the filter, by bucket: posts (hash, surroundings' hash, node, start, starts, anchor) and
-    the bytes of those that a task sends for the first time."""
-    shared = docs.sparkSession.sparkContext.broadcast(have)
-    post = np.dtype([("h", "<u8"), ("e", "<u8"), ("node", "<i8"), ("low", "<u4"), ("k", "<u4"), ("at", "<u4"), ("sent", "<u4")])
+    the bytes of those that a task sends for the first time. Buckets from parts on hold ranges that need no comparison."""
+    shared = docs.sparkSession.sparkContext.broadcast((have, hot if hot.any() else None))
 
     def run(batches):
-        seen, sent, bits = set(), set(), shared.value
+        seen, times, (bits, hot_bits) = set(), {}, shared.value
         for _, buf, offs in slices(batches, "_text", SLICE):
             text, low, high, place, h, sums = anchors(buf, offs, window, gram)
             if not len(text):
@@ -308,33 +310,46 @@ def candidates(docs: DataFrame, have: np.ndarray, parts: int, window: int, gram:
             keep = _fresh(nodes, seen)[text] & passes(bits, h)
             text, low, high, place, h = text[keep], low[keep], high[keep], place[keep], h[keep]
             e = K.mixed(K.span_hashes(sums, low, high + window) + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64))
-            rows = np.zeros(len(h), post)
+            rows = np.zeros(len(h), _POST)
             for f, v in (("h", h), ("e", e), ("node", nodes[text]), ("low", low - offs[text]), ("k", high - low + 1), ("at", place - low)):
                 rows[f] = v
-            if len(sent) > 1 << 20:
-                sent.clear()
-            view, b = buf.tobytes(), _bucket(h, parts)
+            view, blobs = buf.tobytes(), {}
+            if hot_bits is not None and (many := passes(hot_bits, h)).any():
+                extra = []
+                for i in np.flatnonzero(many).tolist():
+                    d = string_digests(view, int(low[i]), int(high[i]), window)
+                    r = np.zeros(len(d), _POST)
+                    r["h"], r["e"], r["node"], r["low"], r["k"], r["at"] = d[:, 0], d[:, 1], rows["node"][i], rows["low"][i] + np.arange(len(d)), 1, _DIGEST
+                    extra.append(r)
+                at = np.append(low[~many], np.zeros(sum(map(len, extra)), np.int64))
+                rows = np.concatenate([rows[~many], *extra])
+            else:
+                at = low
+            if len(times) > 1 << 20:
+                times.clear()
+            straight = np.zeros(len(rows), bool)
+            for i, (x, own) in enumerate(zip(rows["e"].tolist(), (rows["at"] != _DIGEST).tolist())):
+                c = times.get(x, 0)
+                if c > 1:
+                    straight[i] = True
+                    continue
+                times[x] = c + 1
+                if c == 0 and own:
+                    blobs[i] = view[at[i] : at[i] + int(rows["k"][i]) - 1 + window]
+                    rows["sent"][i] = len(blobs[i])
+            b = np.where(straight, parts + _bucket(rows["node"].view(np.uint64), parts), _bucket(rows["h"], parts))
             o = np.argsort(b, kind="stable")
-            edges = np.searchsorted(b[o], np.arange(parts + 1))
+            edges = np.searchsorted(b[o], np.arange(2 * parts + 1))
             out = []
             for p in np.flatnonzero(np.diff(edges)).tolist():
-                mine, blob = o[edges[p] : edges[p + 1]], []
-                for i in mine.tolist():
-                    x = int(e[i])
-                    if x not in sent:
-                        sent.add(x)
-                        blob.append(view[low[i] : high[i] + window])
-                        rows["sent"][i] = len(blob[-1])
-                out.append((p, rows[mine].tobytes(), b"".join(blob)))
+                mine = o[edges[p] : edges[p + 1]]
+                out.append((p, rows[mine].tobytes(), b"".join([blobs[i] for i in mine.tolist() if i in blobs])))
             if out:
                 yield _record(["bucket", "posts", "bytes"], [pa.int32(), pa.binary(), pa.binary()], out)
 
     return docs.mapInArrow(run, "bucket int, posts binary, bytes binary")
 
 
-_POST = np.dtype([("h", "<u8"), ("e", "<u8"), ("node", "<i8"), ("low", "<u4"), ("k", "<u4"), ("at", "<u4"), ("sent", "<u4")])
-
-
 def _resolved(posts: np.ndarray, texts: dict[int, bytes], window: int):
     """(node, first start, starts) of all ranges of repeated strings among the posts of a bucket."""
     posts = posts[np.lexsort((posts["low"], posts["node"], posts["e"], posts["h"]))]
@@ -350,14 +365,11 @@ def _resolved(posts: np.ndarray, texts: dict[int, bytes], window: int):
     members = np.bincount(group)[group]
     whole = times > 1
     yield posts["node"][np.repeat(whole, times)], posts["low"][np.repeat(whole, times)], posts["k"][np.repeat(whole, times)]
-    mixed = np.flatnonzero(members > 1)
-    large = members[mixed] > DEALT
-    for some, found in ((mixed[~large], repeated_starts), (mixed[large], dealt_starts)):
-        for lot in _lots(some, group, posts["k"][first]):
+    mixed = np.flatnonzero((members > 1) & (posts["at"][first] != _DIGEST))
+    if len(mixed):
+        for lot in _lots(mixed, group, posts["k"][first]):
             k = posts["k"][first[lot]].astype(np.int64)
-            flag = found([texts[int(x)] for x in posts["e"][first[lot]].tolist()], k, window)
-            edge = np.zeros(len(flag) + 1, np.int8)
-            edge[:-1] = flag
+            flag = repeated_starts([texts[int(x)] for x in posts["e"][first[lot]].tolist()], k, window)
             head = np.cumsum(k) - k
             own = np.repeat(np.arange(len(lot)), k)
             rise = flag.copy()
@@ -392,8 +404,11 @@ def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
 
     A task has one bucket in memory at a time."""
 
-    def resolved(posts: list, texts: dict):
-        node, low, k = (np.concatenate(x) for x in zip(*_resolved(np.concatenate(posts), texts, window)))
+    def resolved(bucket: int, posts: list, texts: dict):
+        if bucket < parts:
+            node, low, k = (np.concatenate(x) for x in zip(*_resolved(np.concatenate(posts), texts, window)))
+        else:
+            node, low, k = (np.concatenate([x[f] for x in posts]) for f in ("node", "low", "k"))
         o = np.lexsort((low, node))
         node, pair = node[o], np.stack([low[o], k[o]], 1).astype("<u4")
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
@@ -407,7 +422,7 @@ def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
         for batch in batches:
             for p, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if p != bucket and posts:
-                    yield from resolved(posts, texts)
+                    yield from resolved(bucket, posts, texts)
                     posts, texts = [], {}
                 bucket, rows = p, np.frombuffer(x.as_py(), _POST)
                 blob, sent = y.as_py(), np.flatnonzero(rows["sent"])
@@ -416,11 +431,11 @@ def ranges(cands: DataFrame, parts: int, window: int) -> DataFrame:
                     texts[e] = blob[b - n : b]
                 posts.append(rows)
         if posts:
-            yield from resolved(posts, texts)
+            yield from resolved(bucket, posts, texts)
         posts, texts = [], {}
         trim()
 
-    return written(cands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, ranges binary"), "sa-ranges")
+    return written(cands.repartition(int_parts(cands.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "node long, ranges binary"), "sa-ranges")
 
 
 def _merged(pairs: np.ndarray, window: int) -> np.ndarray:
@@ -434,7 +449,7 @@ def _merged(pairs: np.ndarray, window: int) -> np.ndarray:
     return np.stack([a[first], b[np.append(first[1:], len(a)) - 1]], 1)
 
 
-def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(texts, runs). texts: (doc_id, node, n_bytes, sha, copies) of each row; runs: (node, text, runs array<struct<a,b>>) of each
     different text with a repeat inside it or elsewhere, copies of it aside."""
     spark = docs.sparkSession
@@ -442,7 +457,9 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_text"))
     digests = digest(rows, parts, window, gram)
     texts = rows.select("_text")
-    found = ranges(candidates(texts, bloom(repeated_anchors(digests, parts)), 8 * parts, window, gram), parts, window)
+    repeated, buckets = repeated_anchors(digests, parts, hot), 8 * parts
+    sent = candidates(texts, bloom(repeated.select("h")), bloom(repeated.select(F.col("hot").alias("h"))), buckets, window, gram)
+    found = ranges(sent, buckets, window)
 
     def node_hashes(batches):
         for batch in batches:
@@ -481,9 +498,9 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
     return own, runs
 
 
-def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """The query's columns for every row of docs."""
-    own, runs = removed_runs(docs, window, gram)
+    own, runs = removed_runs(docs, window, gram, hot)
 
     def measured(batches):
         for batch in batches:

@@ -45,6 +45,7 @@ def test_suffix_dedup(docs, rows):
     for r, x in zip(rows, brute_removed([(r[1] or "").encode() for r in rows])):
         want[r[0]].append(x)
     assert by_id(suffix_dedup.dedup_digest(docs)) == want
+    assert by_id(suffix_dedup.dedup_digest(docs, hot=2)) == want  # most anchors take the way of hot ones
     assert suffix_dedup.dedup_digest(docs.limit(0)).count() == 0
     kept = {r.doc_id: r for r in suffix_dedup.deduplicated(docs).collect()}
     assert kept[0].text == rows[0][1] and kept[0]["kept"] == "k" and 100 not in kept and kept[400].text is None
@@ -62,7 +63,6 @@ def test_prefix_free_parsing(texts, window):
     count = Counter(b[i : i + window] for b in blobs for i in range(len(b) - window + 1))
     want = [count[b[i : i + window]] > 1 for b in blobs for i in range(len(b) - window + 1)]
     assert suffix_dedup.repeated_starts(blobs, starts, window, period=4).tolist() == want
-    assert suffix_dedup.dealt_starts(blobs, starts, window).tolist() == want
 
 
 # 2
