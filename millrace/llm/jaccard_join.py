@@ -34,7 +34,7 @@ ORDER_BITS = 22
 ORDER_SLOTS = 1 << ORDER_BITS
 _SLOT = np.uint64(64 - ORDER_BITS)
 CHUNK = 1 << 16
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 25
 FILTER_PARTS = 256
 SALTS = 16
 SLICE = 1 << 19

@@ -37,7 +37,7 @@ GRAM = 64
 TRIGGER = 8  # bytes of the parse's rolling window
 PERIOD = 32  # a trigger in so many bytes
 SLICE = 1 << 20
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 26
 FILTER_PARTS = 256
 PLACE = np.uint64(28)  # low bits of a key that hold a position
 HOT = 20_000
