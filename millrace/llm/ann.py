@@ -3,10 +3,11 @@
 Equal vectors are one node (with the least ids of its rows, as many as any answer can need), so a vector with many copies
 is one point. A first graph comes from random-projection leaves of a bounded size. NN-descent then joins, round after
 round, each node's neighbours with each other: a node's forward and reverse neighbours are gathered by a join on the
-node, their vectors by a join on the neighbour, and what beats a neighbour's worst is sent back by a join on it.
+node, their vectors by a join on the neighbour, and what beats a neighbour's worst is sent back by a join on it. Rounds
+go on until one changes fewer than SETTLED of all edges; edges only get shorter, so they end.
 
 Queries are searched in blocks of stated ids: all start from their own node, expand the best nodes not yet expanded, and
-keep the BEAM nearest, with one join for the neighbours of what is expanded and one for their distances a round. All rows
+keep the nearest (BEAM, more from BEAM_FROM vectors on), with one join for the neighbours of what is expanded and one for their distances a round. All rows
 are indexed; candidates aren't capped, only the beam is. Scores are double-precision distances between original vectors.
 
 Vectors that are null, zero, or hold null or non-finite components, or another dimension than the most frequent one, take no
@@ -26,8 +27,10 @@ DEGREE = 24
 REVERSE = 24
 TREES = 6
 LEAF = 512
-ROUNDS = 1
+SETTLED = 0.01  # of n * DEGREE: a round that changes fewer edges is the last
 BEAM = 512
+BEAM_FROM = 1 << 17  # vectors from which on the beam grows, as n ** BEAM_POWER
+BEAM_POWER = 0.7
 STEP = 512
 TOP = 10
 PART = 2048  # vectors a bucket
@@ -39,6 +42,11 @@ def _rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)] if rows else [pa.array([], t.type) for t in _SCHEMA], schema=_SCHEMA)
 
 
+def beam_for(n: int) -> int:
+    """The beam over n vectors: the one that holds recall grows with the table."""
+    return max(BEAM, int(np.ceil(BEAM * (n / BEAM_FROM) ** BEAM_POWER)))
+
+
 def _bucket(node: np.ndarray, parts: int) -> np.ndarray:
     return (K.mixed(np.asarray(node, np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
@@ -187,7 +195,7 @@ def first_graph(packed: DataFrame, n: int, parts: int, trees: int = TREES, leaf:
 
 
 def descended(packed: DataFrame, graph: DataFrame, parts: int, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
-    """One round of NN-descent: neighbours of a node are compared with each other."""
+    """One round of NN-descent: neighbours of a node are compared with each other. A row's node counts its new edges."""
     ask = np.dtype([("v", "<i8"), ("u", "<i8")])
 
     def turned(held):  # each edge also to its other end
@@ -241,12 +249,27 @@ def descended(packed: DataFrame, graph: DataFrame, parts: int, degree: int = DEG
                 e["u"], e["v"], e["d"] = v[i[keep]], v[j[keep]], dist[i[keep], j[keep]]
                 found.append(e)
         new = _best(np.concatenate(found), degree) if found else np.zeros(0, _EDGE)
-        return _blobs(np.concatenate([new, _edges(held, 1)]), parts, 1)
+        return _blobs(new, parts, 2) + _blobs(_edges(held, 1), parts, 1)
+
+    def kept(held):
+        old = _edges(held, 1)
+        e = _best(np.concatenate([old, _edges(held, 2)]), degree)
+        had, have = (K.mixed(np.ascontiguousarray(x["u"]).view(np.uint64) ^ K.mixed(np.ascontiguousarray(x["v"]).view(np.uint64))) for x in (old, e))
+        changed = ~np.isin(have, had)
+        return [(p, 1, int(c.sum()), x.tobytes()) for p, (x, c) in _by_bucket(e["u"], parts, e, changed)]
 
     both = _tasks(graph, parts, turned)
     asks = _tasks(both, parts, asked)
     vectors = _tasks(asks.union(packed), parts, sent)
-    return _tasks(_tasks(vectors, parts, joined), parts, lambda held: _blobs(_best(_edges(held, 1), degree), parts, 1))
+    return _tasks(_tasks(vectors, parts, joined), parts, kept)
+
+
+def settled(packed: DataFrame, graph: DataFrame, n: int, parts: int, share: float = SETTLED, degree: int = DEGREE) -> DataFrame:
+    """The graph after rounds of NN-descent, the last of which changed fewer than that share of n * degree edges."""
+    while True:
+        graph = written(descended(packed, graph, parts, degree), "ann-graph")
+        if (graph.agg(F.sum("node")).first()[0] or 0) <= share * n * degree:
+            return graph
 
 
 def adjacency(graph: DataFrame, parts: int, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
@@ -381,7 +404,7 @@ def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: Dat
             return state
 
 
-def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the top found for each row whose id is divisible by every, all rows being candidates but its own."""
     nodes = written(vector_nodes(df, id_, vector, top), "ann-nodes")
     n = nodes.count()
@@ -395,16 +418,14 @@ def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id"
                 yield _rows([(int(b), 0, int(i), v) for b, i, v in zip(_bucket(ids, parts), ids, x)])
 
     packed = written(nodes.select("node", "v").mapInArrow(packed_rows, _PACK), "ann-vectors")
-    graph = written(first_graph(packed, n, parts), "ann-graph")
-    for _ in range(rounds):
-        graph = written(descended(packed, graph, parts), "ann-graph")
+    graph = settled(packed, written(first_graph(packed, n, parts), "ann-graph"), n, parts)
     lists = written(adjacency(graph, parts), "ann-lists")
 
     # The stated queries; equal ones are searched once.
     good = df.where(F.col(id_).isNotNull() & (F.pmod(F.col(id_), F.lit(every)) == 0))
     asked = vector_nodes(good, id_, vector, top).select("node").join(nodes.select("node", "v"), "node") if n else nodes.select("node", "v")
     blobs = packed.select("node", "blob").join(asked.select("node"), "node", "left_semi")
-    state = searched(nodes, packed, lists, blobs, parts, beam)
+    state = searched(nodes, packed, lists, blobs, parts, beam or beam_for(n))
 
     def beams(batches):
         for batch in batches:

@@ -130,6 +130,25 @@ def test_nearest(spark):
     assert ann.nearest(few).count() == 3 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_descent_settles(spark):
+    n, parts = 4000, 2
+    x = np.random.default_rng(4).normal(size=(n, 24)).astype(np.float32)
+    b = ann._bucket(np.arange(n), parts).tolist()
+    packed = spark.createDataFrame([(b[i], 0, i, bytearray(x[i].tobytes())) for i in range(n)], ann._PACK)
+    first = ann.written(ann.first_graph(packed, n, parts), "test")
+    changed = lambda g: ann.descended(packed, g, parts).agg(F.sum("node")).first()[0]
+    assert changed(ann.written(ann.descended(packed, first, parts), "test")) > 2 * ann.SETTLED * n * ann.DEGREE  # one pass isn't enough
+    graph = ann.settled(packed, first, n, parts)
+    assert changed(graph) <= ann.SETTLED * n * ann.DEGREE
+    e = ann._edges({1: [(None, r.blob) for r in graph.collect()]}, 1)
+    near = defaultdict(set)
+    for u, v in zip(e["u"].tolist(), e["v"].tolist()):
+        near[u].add(v)
+    hit = sum(len(near[q] & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, n, 40))
+    assert hit >= 0.985 * 1000
+    assert ann.beam_for(1 << 17) == ann.BEAM and ann.beam_for(1 << 21) > 4 * ann.BEAM
+
+
 # 6
 
 
