@@ -3,17 +3,18 @@
 Counting: each task counts the unigrams and bigrams of its training texts by 64-bit hash and sends the sums, by bucket,
 to the tasks that total them; so nothing but partial counts moves, and a frequent word is one number a task.
 
-The filter: a count c is quantised to level q = 1 + floor(log2 c); the n-gram is put in with each level 1..q. Each bucket
-owns a segment of the bit array, made where the bucket's counts are. The whole filter has BUCKETS * SEGMENT bits whatever
-the input, so it can be broadcast; if the n-grams of a level and above would overfill it, the levels below give way
-(bigrams first), which is the model's capacity, not a limit on what is counted. A probe walks the levels until one misses.
+The filter: a count c is quantised to level q = 1 + floor(log2 c); the n-gram is put in with each level 1..q, words and
+bigrams alike, those met once too. Each bucket owns a segment of the bit array of BITS bits for each item it holds, so the
+filter grows with the input and nothing gives way. It is never in one place: a segment is made where the bucket's counts
+are, and probed there. A probe walks the levels until one misses.
+
+Scoring: texts are cut into chunks; a chunk asks each bucket for its different n-grams, sorted by hash, and gets back
+their levels in the same order, and for words their exact counts, which the base score needs. Buckets are ranges of the
+hash, so the answers in the order of buckets line up with the chunk's sorted n-grams.
 
 The model: P(w | v) = (c(v w) + PRIOR * P(w)) / (c(v) + PRIOR) with P(w) = (c(w) + 1) / (N + V + 1), the counts being the
 middle of their level; the first word of a text is conditioned on the end before it.
 
-The base score needs exact counts. The FREQUENT most frequent words (a fixed number) are broadcast; occurrences of others
-go to the tasks that hold their buckets and come back as sums for each text.
-
 Null texts are empty and hold the end only; a null doc_id is not held out; repeated rows score alike; an empty table gives
 no rows; extra columns are ignored. With nothing to learn from, N = V = 0 and each token has probability 1."""
 
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, written
+from millrace.llm.common import int_parts, slices, trim, written
 
 BUCKETS = 256
 SEGMENT = 1 << 20
 PROBES = 4
-ITEMS = BUCKETS * SEGMENT // 10  # ten bits an item
-FREQUENT = 1 << 18
+BITS = 10  # bits an item
+LEAST = {1: 1, 2: 1}  # words and bigrams met once are kept
 PRIOR = 100.0
 LEVELS = 40
 END = np.uint64(0x656E646F66746578)
@@ -91,7 +92,8 @@ def _grams_batch(rows: list) -> pa.RecordBatch:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(bucket, n, h, c): total counts of each n-gram of the texts (column _text), each (bucket, n) in one row, sorted by h."""
+    """(bucket, n, h, c): for n = 1 the total counts of the words of the texts (column _text), a bucket in one row, sorted by h; for
+    n = 2 the bucket's segment of the filter, with all its words and pairs, and its number of bits."""
 
     def partial(batches):
         held = {1: [], 2: []}
@@ -120,13 +122,12 @@ def counted(docs: DataFrame) -> DataFrame:
         bucket, held = None, {1: [], 2: []}
 
         def flush():
-            rows = []
+            grams = {n: _summed(*(np.concatenate(x) for x in zip(*held[n]))) for n in (1, 2) if held[n]}
             for n in (1, 2):
-                if held[n]:
-                    h, c = _summed(*(np.concatenate(x) for x in zip(*held[n])))
-                    rows.append((bucket, n, h.tobytes(), c.tobytes()))
-                    held[n].clear()
-            return _grams_batch(rows)
+                held[n].clear()
+            bloom = segment(grams)
+            rows = [(bucket, 1, h.tobytes(), c.tobytes()) for n, (h, c) in grams.items() if n == 1]
+            return _grams_batch([*rows, (bucket, 2, bloom.bits.tobytes(), np.array([bloom.size], "<u8").tobytes())])
 
         for batch in batches:
             for b, n, h, c in zip(*(batch.column(i) for i in range(4))):
@@ -151,201 +152,166 @@ def _middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, 2.0 ** (level - 0.5), (level > 0).astype(float))
 
 
-def _bits(h: np.ndarray, n: int, level: int, probe: int) -> np.ndarray:
-    return K.mixed(h + np.uint64((n * 1_000_003 + level * 8191 + probe * 131) * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(SEGMENT - 1)
+def _bits(h: np.ndarray, n: int, level: int, probe: int, size: int = SEGMENT) -> np.ndarray:
+    return K.mixed(h + np.uint64((n * 1_000_003 + level * 8191 + probe * 131) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)
 
 
 class Filter:
-    """The log-frequency Bloom filter: bits by bucket, and the least level put in for each n."""
+    """The log-frequency Bloom filter, or one bucket's segment of it: bits by bucket, and the least level put in for each n."""
 
-    def __init__(self, bits: np.ndarray, least: dict[int, int]) -> None:
-        self.bits, self.least = bits, least
+    def __init__(self, bits: np.ndarray, least: dict[int, int], size: int = SEGMENT, alone: bool = False) -> None:
+        self.bits, self.least, self.size, self.alone = bits, least, size, alone
 
     def level(self, h: np.ndarray, n: int) -> np.ndarray:
         """The level of each n-gram: the last in a row of hits, 0 if the first misses."""
         out = np.zeros(len(h), np.int64)
         at = np.arange(len(h))
-        base = _bucket(h) * SEGMENT
+        base = np.zeros(len(h), np.int64) if self.alone else _bucket(h) * self.size
         level = self.least[n]
         while len(at) and level <= LEVELS:
             for p in range(PROBES):
-                bit = base[at] + _bits(h[at], n, level, p).astype(np.int64)
+                bit = base[at] + _bits(h[at], n, level, p, self.size).astype(np.int64)
                 at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0]
             out[at] = level
             level += 1
         return out
 
 
-def built(counts: DataFrame) -> tuple[Filter, dict]:
-    """The filter and the totals {'N', 'V'}; what comes to the driver is a histogram of levels and the filter itself."""
+def segment(grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Filter:
+    """A bucket's segment with all its {n: (hashes, counts)} at every level they reach, sized by their number."""
+    levels = {n: _level(c) for n, (_, c) in grams.items()}
+    size = max(64, BITS * int(sum(q.sum() for q in levels.values())))
+    bits = np.zeros(size, bool)
+    for n, (h, _) in grams.items():
+        q = levels[n]
+        for level in range(1, int(q.max(initial=0)) + 1):
+            h, q = h[q >= level], q[q >= level]
+            for p in range(PROBES):
+                bits[_bits(h, n, level, p, size).astype(np.int64)] = True
+    return Filter(np.packbits(bits, bitorder="little"), LEAST, size, alone=True)
 
-    def histogram(batches):
-        for batch in batches:
-            rows = []
-            for n, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                c = np.frombuffer(c.as_buffer(), "<u8")
-                have = np.bincount(_level(c), minlength=LEVELS + 1)
-                rows += [(n, q, int(k), float(c.sum()) if q == 1 else 0.0) for q, k in enumerate(have.tolist()) if k or q == 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], ["n", "q", "k", "s"])
-
-    got = counts.select("n", "c").mapInArrow(histogram, "n long, q long, k long, s double").groupBy("n", "q").agg(F.sum("k").alias("k"), F.sum("s").alias("s")).collect()
-    have = {n: [0] * (LEVELS + 1) for n in (1, 2)}
-    for r in got:
-        have[r["n"]][r["q"]] += r["k"]
-    totals = {"N": int(sum(r["s"] for r in got if r["n"] == 1)), "V": sum(have[1])}
-
-    def items(n: int, least: int) -> int:
-        return sum(k * (q - least + 1) for q, k in enumerate(have[n]) if q >= least)
-
-    least = {1: 1, 2: 2}  # a bigram met once says no more than its words
-    while items(1, least[1]) + items(2, least[2]) > ITEMS and min(least.values()) < LEVELS:
-        least[2 if least[2] <= least[1] + 3 else 1] += 1
-
-    def segments(batches):
-        for batch in batches:
-            for b, n, h, c in zip(*(batch.column(i) for i in range(4))):
-                n, h, q = n.as_py(), np.frombuffer(h.as_buffer(), "<u8"), _level(np.frombuffer(c.as_buffer(), "<u8"))
-                bits = np.zeros(SEGMENT, bool)
-                for level in range(least[n], int(q.max(initial=0)) + 1):
-                    h, q = h[q >= level], q[q >= level]
-                    for p in range(PROBES):
-                        bits[_bits(h, n, level, p)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([b.as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
-    bits = np.zeros((BUCKETS, SEGMENT // 8), np.uint8)
-    for r in counts.select("bucket", "n", "h", "c").mapInArrow(segments, "bucket int, bits binary").toLocalIterator():
-        bits[r["bucket"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits.ravel(), least), totals
+def summed_up(counts: DataFrame) -> dict:
+    """The totals {'N', 'V'}: words met, and different ones."""
 
+    def sums(batches):
+        for batch in batches:
+            c = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(x.sum()) for x in c)], pa.int64()), pa.array([sum(map(len, c))], pa.int64())], ["N", "V"])
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words with their exact counts, sorted by hash: a fixed number of them."""
+    got = counts.where("n = 1").select("c").mapInArrow(sums, "N long, V long").agg(F.sum("N").alias("N"), F.sum("V").alias("V")).first()
+    return {"N": got["N"] or 0, "V": got["V"] or 0}
 
-    def least_counts(batches):
-        for batch in batches:
-            for c in batch.column(0):
-                have = np.sort(np.frombuffer(c.as_buffer(), "<u8"))[::-1][:most]
-                u, k = np.unique(have, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(k.astype(np.int64))], ["c", "k"])
-
-    # The count from which on at most that many words lie; distinct counts are few beside the words.
-    hist = counts.where("n = 1").select("c").mapInArrow(least_counts, "c long, k long").groupBy("c").agg(F.sum("k").alias("k"))
-    top = hist.orderBy(F.col("c").desc()).limit(most).collect()
-    bound, have = None, 0
-    for r in top:
-        have += r["k"]
-        if have > most:
-            break
-        bound = r["c"]
-    if bound is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def chosen(batches):
-        for batch in batches:
-            for h, c in zip(batch.column(0), batch.column(1)):
-                h, c = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(c.as_buffer(), "<u8")
-                yield pa.RecordBatch.from_arrays([pa.array([h[c >= bound].tobytes()], pa.binary()), pa.array([c[c >= bound].tobytes()], pa.binary())], ["h", "c"])
 
-    got = counts.where("n = 1").select("h", "c").mapInArrow(chosen, "h binary, c binary").collect()
-    h = np.concatenate([np.frombuffer(r["h"], "<u8") for r in got])
-    order = np.argsort(h)
-    return h[order], np.concatenate([np.frombuffer(r["c"], "<u8") for r in got])[order]
-
-
-def text_scores(buf: np.ndarray, offs: np.ndarray, bloom: Filter, totals: dict, prior: float = PRIOR) -> np.ndarray:
-    """The model's log10 probability of each text of a slice."""
-    h, owner = _tokens(buf, offs)
-    words, inverse = np.unique(h, return_inverse=True)
-    c = _middle(bloom.level(words, 1))
-    pairs, back = np.unique(_bigrams(h, owner), return_inverse=True)
-    both = _middle(bloom.level(pairs, 2))[back]
-    ends = _middle(bloom.level(np.array([END]), 1))[0]
-    one = c[inverse]
-    before = np.concatenate([[ends], np.where(owner[1:] == owner[:-1], one[:-1], ends)]) if len(one) else one
+def text_scores(back: np.ndarray, inverse: np.ndarray, owner: np.ndarray, words: np.ndarray, pairs: np.ndarray, ends: int, n: int, totals: dict, prior: float = PRIOR) -> np.ndarray:
+    """The model's log10 probability of each of n texts, from the levels of their different words and pairs and of the end."""
+    one, both = _middle(words)[inverse], _middle(pairs)[back]
+    end = _middle(np.array([ends]))[0]
+    before = np.concatenate([[end], np.where(owner[1:] == owner[:-1], one[:-1], end)]) if len(one) else one
     p = (one + 1) / (totals["N"] + totals["V"] + 1)
     # A pair is met no more often than the word it starts with.
-    return np.bincount(owner, weights=np.log10((np.minimum(both, before) + prior * p) / (before + prior)), minlength=len(offs) - 1)
+    return np.bincount(owner, weights=np.log10((np.minimum(both, before) + prior * p) / (before + prior)), minlength=n)
+
+
+_ASKED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("h", pa.binary()), ("c", pa.binary())])
+_ASK = "chunk long, n int, bucket int, ids array<long>, held array<boolean>, h binary, c binary"
+
+
+def _asks(rows: list, ids=None, held=None) -> pa.RecordBatch:
+    """Rows (chunk, n, bucket, h, c); the first has the ids and held of its texts if given."""
+    k, n, b, h, c = zip(*rows)
+    lists = [[x] + [None] * (len(rows) - 1) for x in (ids, held)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((k, n, b, *lists, h, c), _ASKED)], schema=_ASKED)
 
 
 def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame:
     """The query's columns for every row of docs."""
-    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("_text"))
     counts = counted(rows.where(~F.col("held_out")))
-    bloom, totals = built(counts)
-    known_h, known_c = frequent(counts)
-    shared = spark.sparkContext.broadcast((bloom.bits, bloom.least, known_h, np.log10(known_c.astype(np.float64) + 1)))
-    kind = "bucket int, n int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h binary, c binary"
-    empty = pa.array([], pa.int64())
+    docs.sparkSession.sparkContext._jvm.System.gc()  # the partial counts' shuffle files go with their plan
+    totals = summed_up(counts)
 
-    def scored(batches):
-        bits, least, fh, flog = shared.value
-        model, part, at = Filter(bits, least), TaskContext.get().partitionId() << 33, 0
-        rare_h, rare_row, size = [], [], 0
+    def chunked(batches):
+        part, at = TaskContext.get().partitionId() << 33, 0
+        for batch, buf, offs in slices(batches, "_text", SLICE):
+            yield _asks([(part + at, 0, -1, buf.tobytes(), offs.astype("<i8").tobytes())], batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            at += 1
 
-        def flush():
-            nonlocal size
-            h, row = np.concatenate(rare_h), np.concatenate(rare_row)
-            order = np.argsort(h)
-            got = [(b, x.tobytes(), y.tobytes()) for b, x, y in _by_bucket(h[order], row[order])]
-            rare_h.clear(), rare_row.clear()
-            size = 0
-            n = len(got)
-            none = lambda t: pa.nulls(n, t)
-            b, h, c = zip(*got)
-            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([9] * n, pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], names)
+    # Written, so the chunks that ask and those that are answered are the same.
+    texts = written(rows.mapInArrow(chunked, _ASK), "lm-chunks")
 
-        names = ["bucket", "n", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "c"]
-        for batch, buf, offs in slices(batches, "_text", SLICE):
-            n = batch.num_rows
-            h, owner = _tokens(buf, offs)
-            i = np.minimum(np.searchsorted(fh, h), max(len(fh) - 1, 0))
-            hit = fh[i] == h if len(fh) else np.zeros(len(h), bool)
-            ids = part + at + np.arange(n)
-            at += n
-            base = (np.bincount(owner[hit], weights=flog[i[hit]], minlength=n) if len(fh) else np.zeros(n)).astype(np.float64)
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), pa.array(np.zeros(n, np.int32)), pa.array(ids), batch.column(0), batch.column(1), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner[hit], minlength=n)), pa.array(base), pa.array(text_scores(buf, offs, model, totals)), none, none], names
-            )
-            rare_h.append(h[~hit])
-            rare_row.append(ids[owner[~hit]])
-            size += int((~hit).sum())
-            if size > HELD:
-                yield flush()
-        if size:
-            yield flush()
+    def asking(batches):  # a chunk's different words and pairs by bucket
+        for batch in batches:
+            for k, x, y in zip(*(batch.column(i) for i in range(3))):
+                h, owner = _tokens(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), "<i8"))
+                out = [(k.as_py(), n, b, x.tobytes(), None) for n, g in ((1, h), (2, _bigrams(h, owner))) for b, x in _by_bucket(np.unique(g))]
+                yield _asks(out)
+        trim()
 
-    out = written(rows.mapInArrow(scored, kind), "lm-scores")
+    asked = texts.select("chunk", "h", "c").mapInArrow(asking, _ASK)
 
-    def looked_up(batches):
-        bucket, h, log = None, np.zeros(0, np.uint64), np.zeros(0)
+    def answering(batches):  # counts come before the questions of the same bucket
+        bucket, grams, model = None, {}, None
         for batch in batches:
-            for b, n, x, y in zip(*(batch.column(i) for i in range(4))):
+            out = []
+            for b, k, n, x, y in zip(*(batch.column(batch.schema.get_field_index(i)) for i in ("bucket", "chunk", "n", "h", "c"))):
                 if b.as_py() != bucket:
-                    bucket, h, log = b.as_py(), np.zeros(0, np.uint64), np.zeros(0)
+                    bucket, grams, model = b.as_py(), {}, None
+                n = n.as_py()
+                if k.as_py() < 0 and n == 2:
+                    model = Filter(np.frombuffer(x.as_py(), np.uint8), LEAST, int(np.frombuffer(y.as_buffer(), "<u8")[0]), alone=True)
+                    continue
                 x = np.frombuffer(x.as_buffer(), "<u8")
-                if n.as_py() == 1:
-                    h, log = x, np.log10(np.frombuffer(y.as_buffer(), "<u8").astype(np.float64) + 1)
-                elif len(h):
-                    row = np.frombuffer(y.as_buffer(), "<i8")
-                    i = np.minimum(np.searchsorted(h, x), len(h) - 1)
-                    hit = h[i] == x
-                    u, inv = np.unique(row[hit], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inv, minlength=len(u))), pa.array(np.bincount(inv, weights=log[i[hit]], minlength=len(u)).astype(np.float64))], ["row", "k", "s"])
-        yield pa.RecordBatch.from_arrays([empty, empty, pa.array([], pa.float64())], ["row", "k", "s"])
-
-    # Counts come before the occurrences of the same bucket (n = 1 before 9).
-    both = counts.where("n = 1").select("bucket", "n", "h", "c").union(out.where("n = 9").select("bucket", "n", "h", "c"))
-    parts = min(BUCKETS, 4 * int_parts(spark))
-    sums = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "n").mapInArrow(looked_up, "row long, k long, s double").groupBy("row").agg(F.sum("k").alias("_k"), F.sum("s").alias("_s"))
+                if k.as_py() < 0:
+                    grams[n] = (x, np.frombuffer(y.as_buffer(), "<u8"))
+                    continue
+                model = model or segment({})
+                exact = None
+                if n == 1:
+                    h, c = grams.get(1, (np.zeros(0, np.uint64),) * 2)
+                    i = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
+                    exact = (np.where(h[i] == x, c[i], 0) if len(h) else np.zeros(len(x))).astype("<u8").tobytes()
+                out.append((k.as_py(), n, bucket, model.level(x, n).astype("u1").tobytes(), exact))
+            if out:
+                yield _asks(out)
+        trim()
+
+    none = F.lit(None)
+    known = counts.select(F.lit(-1).cast("long").alias("chunk"), "n", "bucket", none.cast("array<long>").alias("ids"), none.cast("array<boolean>").alias("held"), "h", "c")
+    parts = min(BUCKETS, 4 * int_parts(docs.sparkSession))
+    answers = known.union(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk", "n").mapInArrow(answering, _ASK)
     each = math.log10(totals["N"] + totals["V"] + 1)
-    zero = F.lit(0)
-    return out.where("n = 0").drop("bucket", "n", "h", "c").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("_k", zero)).alias("n_known"),
-        F.lit(totals["N"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_s", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-    )
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(batches):  # a chunk's texts, then the answers on its words, then on its pairs, by bucket
+        def done():
+            (ids, held, buf, offs), words, exact, pairs = texts, *(np.frombuffer(b"".join(x), t) for x, t in ((got[1], "u1"), (got[3], "<u8"), (got[2], "u1")))
+            m = len(offs) - 1
+            h, owner = _tokens(buf, offs)
+            u, inverse = np.unique(h, return_inverse=True)
+            back = np.unique(_bigrams(h, owner), return_inverse=True)[1]
+            score = text_scores(back, inverse, owner, words.astype(np.int64), pairs.astype(np.int64), int(words[np.searchsorted(u, END)]), m, totals)
+            c, tokens = exact[inverse].astype(np.float64), np.bincount(owner, minlength=m)
+            base = np.bincount(owner, weights=np.log10(c + 1), minlength=m) - tokens * each
+            known = np.bincount(owner, weights=c > 0, minlength=m).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(known), pa.array(np.full(m, totals["N"], np.int64)), pa.array(base), pa.array(score)], names)
+
+        texts, got = None, {}
+        for batch in batches:
+            for _, n, _, ids, held, x, y in zip(*batch.columns):
+                n = n.as_py()
+                if n == 0:
+                    if texts:
+                        yield done()
+                    texts, got = (ids.as_py(), held.as_py(), np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), "<i8")), {1: [], 2: [], 3: []}
+                else:
+                    got[n].append(x.as_py())
+                    if n == 1:
+                        got[3].append(y.as_py())
+        if texts:
+            yield done()
+        trim()
+
+    both = texts.union(answers).repartition(4 * int_parts(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "n", "bucket")
+    return both.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -222,6 +222,25 @@ def test_lm_scoring(docs, rows):
     assert lm_scoring.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_keeps_all_bigrams(spark):
+    # Pairs met once between words met often: without them each pair of known words scores alike.
+    met = [(i, f"w{i % 60} w{(i * 7 + i // 60) % 60}") for i in range(600)]
+    known = Counter(t for i, t in met if zlib.crc32(str(i).encode()) % 7 != 2)
+    once = next(t for t, k in known.items() if k == 1)
+    a = once.split()[0]
+    never = next(f"{a} w{i}" for i in range(60) if f"{a} w{i}" not in known)
+    own = [d for d in range(10**6, 10**6 + 60) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    df = spark.createDataFrame([*met, (own[0], once), (own[1], never)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(df).where(F.col("doc_id") >= 10**6).collect()}
+    assert got[own[0]] > got[own[1]] + 0.1
+
+
+def test_segment_grows_with_items():
+    h = {n: np.random.default_rng(n).integers(0, 2**56, 200_000 * n).astype(np.uint64) for n in (1, 2)}
+    f = lm_scoring.segment({n: (x, np.ones(len(x), np.uint64)) for n, x in h.items()})
+    assert f.size == lm_scoring.BITS * 600_000 and all((f.level(x, n) >= 1).all() and (f.level(x, n) == 1).mean() > 0.97 for n, x in h.items())
+
+
 def test_bloom_levels():
     h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
     q = np.random.default_rng(2).integers(1, 12, 3000)
