@@ -109,8 +109,10 @@ def chunk_tokens(t, spark):
 
 
 def markdown(c):
-    """Every fifth line of a text as a heading, with blank lines between all: documents have none of their own."""
-    lines = F.transform(F.split(c, "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), F.substring(x, 1, 40))).otherwise(x))
+    """Every fifth line of a text headed by its first characters, with blank lines between all: documents have none of their own.
+
+    The line stays whole below its heading."""
+    lines = F.transform(F.split(c, "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), F.substring(x, 1, 40), F.lit("\n\n"), x)).otherwise(x))
     return F.array_join(lines, "\n\n")
 
 

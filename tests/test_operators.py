@@ -195,6 +195,17 @@ def test_chunks(spark, sf):
         chunk.chunks(F.lit(""), overlap=5)
 
 
+def test_topics_keep_whole_lines(spark):
+    from millrace.queries import texts
+
+    lines = [f"{'long ' * 20}line {i} ends" for i in range(12)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, lines[0])], "doc_id long, text string")
+    got = texts.chunk_topics(lambda name: df, spark).orderBy("doc_id", "chunk").collect()
+    for d, own in ((1, lines), (2, lines[:1])):
+        said = " ".join(" ".join(r.content for r in got if r.doc_id == d).split())
+        assert said == " ".join(own)
+
+
 def test_markdown(spark):
     md = "lead\n\n# One\n\npara a\nb\n\n- item\n\n```\ncode\n```\n\n## Two\n\nword word word\n\n# Three\n\nw " + "x " * 8
     got = col(spark, [md], lambda c: chunk.markdown_sections(c))[0]
