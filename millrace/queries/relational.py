@@ -232,6 +232,13 @@ def conflict_pairs(t, spark):
     return joins.conflicts(e, "agent", "target", "action")
 
 
+@query("""WITH e AS (SELECT DISTINCT event_id % 40 AS target, user_id % 6 AS agent, event_type AS action FROM events)
+SELECT a.target, a.agent AS agent_a, a.action AS action_a, b.agent AS agent_b, b.action AS action_b FROM e a JOIN e b ON a.target = b.target AND a.action <> b.action AND a.agent < b.agent""")
+def conflict_pairs_all(t, spark):
+    e = t("events").select((F.col("event_id") % 40).alias("target"), (F.col("user_id") % 6).alias("agent"), F.col("event_type").alias("action"))
+    return joins.conflicts(e, "agent", "target", "action")
+
+
 @query("""WITH c AS (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS cx, s_acctbal / 10 AS cy, 1.0 + s_suppkey % 3 AS r FROM supplier)
 SELECT p_partkey, s_suppkey FROM part JOIN c ON (p_size - cx) * (p_size - cx) + (p_retailprice - cy) * (p_retailprice - cy) < (r + 3) * (r + 3)""")
 def circle_theta(t, spark):

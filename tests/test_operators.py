@@ -206,6 +206,14 @@ def test_topics_keep_whole_lines(spark):
         assert said == " ".join(own)
 
 
+def test_conflicts_of_all_events(spark):
+    from millrace.queries import relational
+
+    rows = [(1, 0, "a"), (900_040, 0, "x"), (1_000_040, 1, "y")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
+    assert [tuple(r) for r in relational.conflict_pairs_all(lambda name: df, spark).select("target", "agent_a", "action_a", "agent_b", "action_b").collect()] == [(0, 0, "x", 1, "y")]
+
+
 def test_markdown(spark):
     md = "lead\n\n# One\n\npara a\nb\n\n- item\n\n```\ncode\n```\n\n## Two\n\nword word word\n\n# Three\n\nw " + "x " * 8
     got = col(spark, [md], lambda c: chunk.markdown_sections(c))[0]
