@@ -1,10 +1,13 @@
 """Trained subword vocabularies: byte-pair encoding, word pieces, greedy longest match.
 
-Counting the corpus' words is distributed; what is trained on is a bounded table of the most frequent different words.
+Counting is distributed. learnt_bpe and learnt_wordpiece train on all different words, which stay in Spark: a round counts
+their symbols and pairs there, and only the best pair, or the table of pairs, comes to the driver. train_bpe and
+train_wordpiece do the same over a table of words on the driver.
 Encoding runs in pandas UDFs over distinct words' caches."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -74,6 +77,58 @@ def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
     return out
 
 
+CUT = 8  # merges between checkpoints of the words
+
+
+def _spelled(words: DataFrame, *end: str) -> DataFrame:
+    """(s, n): the symbols of (word, n) between spaces, which no word has."""
+    symbols = F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.array(*[F.lit(e) for e in end]).cast("array<string>"))
+    return words.select(F.concat(F.lit(" "), F.array_join(symbols, " "), F.lit(" ")).alias("s"), "n").localCheckpoint()
+
+
+def _spelled_symbols() -> Column:
+    return F.filter(F.split("s", " "), lambda c: c != "")
+
+
+def _respelled(state: DataFrame, pair: tuple[str, str], at: int) -> DataFrame:
+    """The words with the pair made one symbol; at counts the merges so far."""
+    joined = "".join(pair).replace("\\", r"\\").replace("$", r"\$")
+    state = state.withColumn("s", F.regexp_replace("s", f"(?<= ){re.escape(pair[0])} {re.escape(pair[1])}(?= )", joined))
+    return state.localCheckpoint() if at % CUT == 0 else state
+
+
+def learnt_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """train_bpe over all (word, n)."""
+    state, out = _spelled(words, END), []
+    while len(out) < merges:
+        pairs = state.select("n", F.explode(adjacent_pairs(_spelled_symbols())).alias("p")).groupBy("p.l", "p.r").agg(F.sum("n").alias("n"))
+        best = pairs.orderBy(F.col("n").desc(), "l", "r").limit(1).collect()
+        if not best:
+            break
+        out.append((best[0]["l"], best[0]["r"]))
+        state = _respelled(state, out[-1], len(out))
+    return out
+
+
+def learnt_wordpiece(words: DataFrame, size: int) -> set[str]:
+    """train_wordpiece over all different (word, n); the base vocabulary is every character of them."""
+    state, vocab, merges = _spelled(words), set(), 0
+    while not vocab or len(vocab) < size:
+        symbols = _spelled_symbols()
+        alone = F.transform(symbols, lambda c: F.struct(c.alias("l"), F.lit(None).cast("string").alias("r")))
+        met = state.select(F.explode(F.concat(alone, adjacent_pairs(symbols))).alias("p")).groupBy("p.l", "p.r").count().collect()
+        single = {x["l"]: x["count"] for x in met if x["r"] is None}
+        pairs = {(x["l"], x["r"]): x["count"] for x in met if x["r"] is not None}
+        vocab = vocab or set(single)
+        if not pairs or len(vocab) >= size:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p] / (single[p[0]] * single[p[1]]), p))
+        vocab.add(best[0] + best[1])
+        merges += 1
+        state = _respelled(state, best, merges)
+    return vocab
+
+
 def bpe_symbols(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     s = (*word, END)
     while len(s) > 1:

@@ -135,13 +135,13 @@ def recursive_split(t, spark):
 
 @query()
 def bpe_encode(t, spark):
-    merges = subword.train_bpe(subword.training_words(t("documents"), most=2000), 100)
+    merges = subword.learnt_bpe(subword.word_counts(t("documents")), 100)
     return t("documents").select("doc_id", subword.bpe_encoder(merges)(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.md5(F.array_join("ts", "|").cast("binary")).alias("tokens"))
 
 
 @query()
 def wordpiece_encode(t, spark):
-    vocab = subword.train_wordpiece(sorted(subword.training_words(t("documents"), most=500)), 160)
+    vocab = subword.learnt_wordpiece(subword.word_counts(t("documents")), 160)
     return t("documents").select("doc_id", subword.wordpiece_encoder(vocab)(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.md5(F.array_join("ts", "|").cast("binary")).alias("tokens"))
 
 

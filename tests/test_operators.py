@@ -1,6 +1,7 @@
 """Operators on literal examples with known results."""
 
 import datetime as dt
+import hashlib
 import json
 import math
 
@@ -162,6 +163,21 @@ def test_subwords(spark):
     assert col(spark, ["low low"], subword.bpe_encoder(merges))[0] == subword.bpe_symbols("low", ranks) * 2
 
 
+def test_subwords_learn_from_all_words(spark):
+    from millrace.queries import texts
+
+    r = np.random.default_rng(6)
+    words = {"".join(r.choice(list("aab$\\.*é"), r.integers(1, 6))): int(r.integers(1, 9)) for _ in range(300)}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    assert subword.learnt_bpe(df, 12) == subword.train_bpe(words, 12)
+    assert subword.learnt_wordpiece(df, 16) == subword.train_wordpiece(sorted(words), 16)
+    # A rare word of characters that no other word has, behind 600 frequent ones.
+    common = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"[:24])
+    docs = spark.createDataFrame([(1, common), (2, common), (3, "日7")], "doc_id long, text string")
+    got = texts.wordpiece_encode(lambda name: docs, spark).where("doc_id = 3").first()
+    assert got.tokens != hashlib.md5(subword.UNKNOWN.encode()).hexdigest()
+
+
 def plain_chunks(paras, most, least):
     n = lambda s: len(s.split())
     out, cur, size = [], [], 0
