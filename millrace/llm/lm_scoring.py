@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, trim, written
+from millrace.llm.common import dropped, int_parts, slices, trim, written
 
 BUCKETS = 256
 SEGMENT = 1 << 20
@@ -71,16 +71,20 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(c, first)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.int64) * BUCKETS // 256
+def bucket_bits(df: DataFrame) -> int:
+    """Buckets, as a power of two, follow the input: eight for each of its partitions, 256 at least and 16,384 at most."""
+    return min(14, max(int(math.log2(BUCKETS)), 3 + df.rdd.getNumPartitions().bit_length()))
 
 
-def _by_bucket(h: np.ndarray, *more: np.ndarray):
+def _bucket(h: np.ndarray, bits: int = 8) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _by_bucket(bits: int, h: np.ndarray, *more: np.ndarray):
     """(bucket, h, *more) of each bucket of sorted h."""
-    edges = np.searchsorted(_bucket(h), np.arange(BUCKETS + 1))
-    for b in range(BUCKETS):
-        if edges[b] < edges[b + 1]:
-            yield b, *(x[edges[b] : edges[b + 1]] for x in (h, *more))
+    edges = np.searchsorted(_bucket(h, bits), np.arange((1 << bits) + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, *(x[edges[b] : edges[b + 1]] for x in (h, *more))
 
 
 _GRAMS = "bucket int, n int, h binary, c binary"
@@ -91,7 +95,7 @@ def _grams_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary())], ["bucket", "n", "h", "c"])
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, bits: int) -> DataFrame:
     """(bucket, n, h, c): for n = 1 the total counts of the words of the texts (column _text), a bucket in one row, sorted by h; for
     n = 2 the bucket's segment of the filter, with all its words and pairs, and its number of bits."""
 
@@ -104,7 +108,7 @@ def counted(docs: DataFrame) -> DataFrame:
             for n in (1, 2):
                 if held[n]:
                     h, c = _summed(*(np.concatenate(x) for x in zip(*held[n])))
-                    yield _grams_batch([(b, n, x.tobytes(), y.astype("<u8").tobytes()) for b, x, y in _by_bucket(h, c)])
+                    yield _grams_batch([(b, n, x.tobytes(), y.astype("<u8").tobytes()) for b, x, y in _by_bucket(bits, h, c)])
                     held[n].clear()
             size = 0
 
@@ -139,7 +143,7 @@ def counted(docs: DataFrame) -> DataFrame:
             yield flush()
 
     sent = docs.select("_text").mapInArrow(partial, _GRAMS)
-    parts = min(BUCKETS, 4 * int_parts(docs.sparkSession))
+    parts = min(1 << bits, 4 * int_parts(docs.sparkSession))
     return written(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(total, _GRAMS), "lm-counts")
 
 
@@ -217,6 +221,15 @@ _ASKED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("bucket", pa.int3
 _ASK = "chunk long, n int, bucket int, ids array<long>, held array<boolean>, h binary, c binary"
 
 
+def _packed(buf: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(buf)), codec="zstd", asbytes=True) if len(buf) else b""
+
+
+def _unpacked(blob: pa.Scalar, offs: np.ndarray) -> np.ndarray:
+    n = int(offs[-1])
+    return np.frombuffer(pa.decompress(blob.as_buffer(), n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+
+
 def _asks(rows: list, ids=None, held=None) -> pa.RecordBatch:
     """Rows (chunk, n, bucket, h, c); the first has the ids and held of its texts if given."""
     k, n, b, h, c = zip(*rows)
@@ -228,14 +241,14 @@ def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame
     """The query's columns for every row of docs."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("_text"))
-    counts = counted(rows.where(~F.col("held_out")))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the partial counts' shuffle files go with their plan
+    bits = bucket_bits(rows)
+    counts = counted(rows.where(~F.col("held_out")), bits)
     totals = summed_up(counts)
 
     def chunked(batches):
         part, at = TaskContext.get().partitionId() << 33, 0
         for batch, buf, offs in slices(batches, "_text", SLICE):
-            yield _asks([(part + at, 0, -1, buf.tobytes(), offs.astype("<i8").tobytes())], batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield _asks([(part + at, 0, -1, _packed(buf), offs.astype("<i8").tobytes())], batch.column(0).to_pylist(), batch.column(1).to_pylist())
             at += 1
 
     # Written, so the chunks that ask and those that are answered are the same.
@@ -244,8 +257,9 @@ def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame
     def asking(batches):  # a chunk's different words and pairs by bucket
         for batch in batches:
             for k, x, y in zip(*(batch.column(i) for i in range(3))):
-                h, owner = _tokens(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), "<i8"))
-                out = [(k.as_py(), n, b, x.tobytes(), None) for n, g in ((1, h), (2, _bigrams(h, owner))) for b, x in _by_bucket(np.unique(g))]
+                offs = np.frombuffer(y.as_buffer(), "<i8")
+                h, owner = _tokens(_unpacked(x, offs), offs)
+                out = [(k.as_py(), n, b, x.tobytes(), None) for n, g in ((1, h), (2, _bigrams(h, owner))) for b, x in _by_bucket(bits, np.unique(g))]
                 yield _asks(out)
         trim()
 
@@ -279,8 +293,9 @@ def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame
 
     none = F.lit(None)
     known = counts.select(F.lit(-1).cast("long").alias("chunk"), "n", "bucket", none.cast("array<long>").alias("ids"), none.cast("array<boolean>").alias("held"), "h", "c")
-    parts = min(BUCKETS, 4 * int_parts(docs.sparkSession))
-    answers = known.union(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk", "n").mapInArrow(answering, _ASK)
+    parts = min(1 << bits, 4 * int_parts(docs.sparkSession))
+    answers = written(known.union(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk", "n").mapInArrow(answering, _ASK), "lm-answers")
+    dropped(counts)
     each = math.log10(totals["N"] + totals["V"] + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -304,7 +319,8 @@ def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame
                 if n == 0:
                     if texts:
                         yield done()
-                    texts, got = (ids.as_py(), held.as_py(), np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), "<i8")), {1: [], 2: [], 3: []}
+                    offs = np.frombuffer(y.as_py(), "<i8")
+                    texts, got = (ids.as_py(), held.as_py(), _unpacked(x, offs), offs), {1: [], 2: [], 3: []}
                 else:
                     got[n].append(x.as_py())
                     if n == 1:
