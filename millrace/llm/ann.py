@@ -7,8 +7,8 @@ node, their vectors by a join on the neighbour, and what beats a neighbour's wor
 go on until one changes fewer than SETTLED of all edges; edges only get shorter, so they end.
 
 Queries are searched in blocks of stated ids: all start from their own node, expand the best nodes not yet expanded, and
-keep the nearest (BEAM, more from BEAM_FROM vectors on), with one join for the neighbours of what is expanded and one for their distances a round. All rows
-are indexed; candidates aren't capped, only the beam is. Scores are double-precision distances between original vectors.
+keep the nearest (a beam that grows with the table), with one join for the neighbours of what is expanded and one for
+their distances a round. All rows are indexed; candidates aren't capped, only the beam is. Scores are double-precision distances between original vectors.
 
 Vectors that are null, zero, or hold null or non-finite components, or another dimension than the most frequent one, take no
 part; null ids take no part; equal ids are different rows; fewer rows than asked for are all returned; extra columns are ignored."""
@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, written
+from millrace.llm.common import dropped, int_parts, written
 
 DEGREE = 24
 REVERSE = 24
 TREES = 6
 LEAF = 512
 SETTLED = 0.01  # of n * DEGREE: a round that changes fewer edges is the last
-BEAM = 512
-BEAM_FROM = 1 << 17  # vectors from which on the beam grows, as n ** BEAM_POWER
+BEAM = 128  # at least
+BEAM_AT = (1 << 17, 512)  # over so many vectors the beam is this; it grows as n ** BEAM_POWER
 BEAM_POWER = 0.7
 STEP = 512
 TOP = 10
@@ -44,7 +44,7 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 def beam_for(n: int) -> int:
     """The beam over n vectors: the one that holds recall grows with the table."""
-    return max(BEAM, int(np.ceil(BEAM * (n / BEAM_FROM) ** BEAM_POWER)))
+    return max(BEAM, int(np.ceil(BEAM_AT[1] * (n / BEAM_AT[0]) ** BEAM_POWER)))
 
 
 def _bucket(node: np.ndarray, parts: int) -> np.ndarray:
@@ -159,8 +159,15 @@ def _vectors(held: dict, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return ids[o], x[o]
 
 
+def _both(e: np.ndarray, parts: int) -> list:
+    """Edges (kind 1) to the bucket of their own node, a row's node counting those marked new, and turned round (kind 2) to the other end's."""
+    r = e.copy()
+    r["u"], r["v"] = e["v"], e["u"]
+    return _blobs(e, parts, 1) + _blobs(r, parts, 2)
+
+
 def first_graph(packed: DataFrame, n: int, parts: int, trees: int = TREES, leaf: int = LEAF, degree: int = DEGREE) -> DataFrame:
-    """Edges (kind 1) from the leaves of random projections: each tree sends a node to the leaf of its signs."""
+    """Edges (kinds 1 and 2) from the leaves of random projections: each tree sends a node to the leaf of its signs."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / (leaf / 2))))))
 
     def dealt(batches):
@@ -191,57 +198,50 @@ def first_graph(packed: DataFrame, n: int, parts: int, trees: int = TREES, leaf:
 
     dealt_out = packed.mapInArrow(dealt, _PACK)
     found = _tasks(dealt_out, parts, leaves)
-    return _tasks(found, parts, lambda held: _blobs(_best(_edges(held, 1), degree), parts, 1))
+    return _tasks(found, parts, lambda held: _both(_best(_edges(held, 1), degree), parts))
 
 
 def descended(packed: DataFrame, graph: DataFrame, parts: int, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
-    """One round of NN-descent: neighbours of a node are compared with each other. A row's node counts its new edges."""
-    ask = np.dtype([("v", "<i8"), ("u", "<i8")])
-
-    def turned(held):  # each edge also to its other end
-        e = _edges(held, 1)
-        r = e.copy()
-        r["u"], r["v"] = e["v"], e["u"]
-        return _blobs(e, parts, 1) + _blobs(r, parts, 2)
-
-    def asked(held):  # forward and reverse neighbours of u ask for their vectors; the worst of u goes with its vector
-        e, r = _edges(held, 1), _best(_edges(held, 2), reverse)
-        both = np.unique(np.concatenate([np.stack([x["v"], x["u"]], 1) for x in (e, r)]), axis=0)
-        rows = np.zeros(len(both), ask)
-        rows["v"], rows["u"] = both[:, 0], both[:, 1]
-        out = [(p, 3, None, c.tobytes()) for p, (c,) in _by_bucket(rows["v"], parts, rows)]
-        return out + _blobs(e, parts, 1)
-
-    def sent(held):  # vectors, with the worst distance of each node, to who asked
+    """One round of NN-descent: neighbours of a node are compared with each other. A row's node counts its new edges.
+
+    Each node sends its vector to its neighbours both ways, each of those compares all pairs of what came, and what beats a
+    neighbour's worst goes back to it: three exchanges, by bucket of the node."""
+
+    def sent(held):  # a node's vector and worst distance to whoever it is a forward or reverse neighbour of
         ids, x = _vectors(held)
-        e = _edges(held, 1)
+        e, r = _edges(held, 1), _edges(held, 2)
         worst = np.full(len(ids), np.inf, np.float32)
         if len(e):
             u, k = np.unique(e["u"], return_counts=True)
-            full = u[k >= degree]
+            full = np.searchsorted(ids, u[k >= degree])
             np.maximum.at(m := np.full(len(ids), -np.inf, np.float32), np.searchsorted(ids, e["u"]), e["d"])
-            worst[np.searchsorted(ids, full)] = m[np.searchsorted(ids, full)]
-        rows = np.concatenate([np.frombuffer(b, ask) for _, b in held.get(3, [])]) if held.get(3) else np.zeros(0, ask)
+            worst[full] = m[full]
+        half = np.dtype([("u", "<i8"), ("v", "<i8"), ("d", "<f4"), ("f", "u1"), ("w", "<f4"), ("x", "<f4", (x.shape[1],))])
         out = _blobs(e, parts, 1)
-        half = np.dtype([("u", "<i8"), ("v", "<i8"), ("w", "<f4"), ("x", "<f4", (x.shape[1],))])
-        for at in range(0, len(rows), 20_000):
-            some = rows[at : at + 20_000]
-            i = np.searchsorted(ids, some["v"])
-            full = np.zeros(len(some), half)
-            full["u"], full["v"], full["w"], full["x"] = some["u"], some["v"], worst[i], x[i]
-            out += [(p, 4, x.shape[1], c.tobytes()) for p, (c,) in _by_bucket(full["u"], parts, full)]
+        for edges, forward in ((r, 1), (e, 0)):  # turned edges go back to those who have this node as a neighbour
+            for at in range(0, len(edges), 20_000):
+                some = edges[at : at + 20_000]
+                i = np.searchsorted(ids, some["u"])
+                full = np.zeros(len(some), half)
+                full["u"], full["v"], full["d"], full["f"], full["w"], full["x"] = some["v"], some["u"], some["d"], forward, worst[i], x[i]
+                out += [(p, 4, x.shape[1], c.tobytes()) for p, (c,) in _by_bucket(full["u"], parts, full)]
         return out
 
-    def joined(held):  # all pairs of the neighbours of a node that beat the worst of one of them
+    def joined(held):  # all pairs of the forward and nearest reverse neighbours of a node that beat the worst of one of them
         found = []
         if held.get(4):
             d = held[4][0][0]
-            half = np.dtype([("u", "<i8"), ("v", "<i8"), ("w", "<f4"), ("x", "<f4", (d,))])
+            half = np.dtype([("u", "<i8"), ("v", "<i8"), ("d", "<f4"), ("f", "u1"), ("w", "<f4"), ("x", "<f4", (d,))])
             rows = np.concatenate([np.frombuffer(b, half) for _, b in held[4]])
-            rows = rows[np.argsort(rows["u"], kind="stable")]
-            first = np.flatnonzero(np.append(True, rows["u"][1:] != rows["u"][:-1]))
-            for a, b in zip(first.tolist(), np.append(first[1:], len(rows)).tolist()):
-                v, w, x = rows["v"][a:b], rows["w"][a:b], rows["x"][a:b]
+            o = np.lexsort((rows["v"], rows["d"], 1 - rows["f"].astype(np.int8), rows["u"]))
+            u = rows["u"][o]
+            first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(u)).tolist()):
+                i = o[a:b]
+                i = i[: int(rows["f"][i].sum()) + reverse]  # forward ones come first, then reverse ones by distance
+                v, w, x = rows["v"][i], rows["w"][i], rows["x"][i]
+                v, one = np.unique(v, return_index=True)
+                w, x = w[one], x[one]
                 dist = _distances(x)
                 i, j = np.nonzero(dist < w[:, None])
                 keep = i != j
@@ -249,43 +249,37 @@ def descended(packed: DataFrame, graph: DataFrame, parts: int, degree: int = DEG
                 e["u"], e["v"], e["d"] = v[i[keep]], v[j[keep]], dist[i[keep], j[keep]]
                 found.append(e)
         new = _best(np.concatenate(found), degree) if found else np.zeros(0, _EDGE)
-        return _blobs(new, parts, 2) + _blobs(_edges(held, 1), parts, 1)
+        return _blobs(new, parts, 3) + _blobs(_edges(held, 1), parts, 1)
 
     def kept(held):
         old = _edges(held, 1)
-        e = _best(np.concatenate([old, _edges(held, 2)]), degree)
+        e = _best(np.concatenate([old, _edges(held, 3)]), degree)
         had, have = (K.mixed(np.ascontiguousarray(x["u"]).view(np.uint64) ^ K.mixed(np.ascontiguousarray(x["v"]).view(np.uint64))) for x in (old, e))
         changed = ~np.isin(have, had)
-        return [(p, 1, int(c.sum()), x.tobytes()) for p, (x, c) in _by_bucket(e["u"], parts, e, changed)]
+        own = [(p, 1, int(c.sum()), x.tobytes()) for p, (x, c) in _by_bucket(e["u"], parts, e, changed)]
+        return own + [x for x in _both(e, parts) if x[1] == 2]
 
-    both = _tasks(graph, parts, turned)
-    asks = _tasks(both, parts, asked)
-    vectors = _tasks(asks.union(packed), parts, sent)
+    vectors = _tasks(graph.union(packed), parts, sent)
     return _tasks(_tasks(vectors, parts, joined), parts, kept)
 
 
 def settled(packed: DataFrame, graph: DataFrame, n: int, parts: int, share: float = SETTLED, degree: int = DEGREE) -> DataFrame:
     """The graph after rounds of NN-descent, the last of which changed fewer than that share of n * degree edges."""
     while True:
-        graph = written(descended(packed, graph, parts, degree), "ann-graph")
-        if (graph.agg(F.sum("node")).first()[0] or 0) <= share * n * degree:
+        last, graph = graph, written(descended(packed, graph, parts, degree), "ann-graph")
+        dropped(last)
+        if (graph.where("kind = 1").agg(F.sum("node")).first()[0] or 0) <= share * n * degree:
             return graph
 
 
 def adjacency(graph: DataFrame, parts: int, degree: int = DEGREE, reverse: int = REVERSE) -> DataFrame:
     """Packed lists of each node's forward and nearest reverse neighbours (kind 5), by bucket."""
 
-    def turned(held):
-        e = _edges(held, 1)
-        r = e.copy()
-        r["u"], r["v"] = e["v"], e["u"]
-        return _blobs(e, parts, 1) + _blobs(r, parts, 2)
-
     def listed(held):
         e = np.concatenate([_edges(held, 1), _best(_edges(held, 2), 2 * reverse)])
         return _blobs(np.unique(e), parts, 5)
 
-    return _tasks(_tasks(graph, parts, turned), parts, listed)
+    return _tasks(graph, parts, listed)
 
 
 def _state(beam: np.ndarray, dist: np.ndarray, open_: np.ndarray, seen: np.ndarray, vector: bytes) -> bytes:
@@ -371,7 +365,7 @@ def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: Dat
             out.append((int(_bucket(np.array([i]), parts)[0]), 10, i, c.tobytes() + (y * y).sum(1).astype("<f4").tobytes()))
         return out
 
-    def merged(held):
+    def merged(held):  # what came back enters the beams, which then ask anew
         got: dict[int, list] = {}
         for i, b in held.get(10, []):
             got.setdefault(i, []).append(b)
@@ -385,23 +379,16 @@ def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: Dat
                 open_ = np.concatenate([open_, np.ones(len(ids) - len(open_), np.uint8)])
                 o = np.lexsort((ids, dist))[:beam]
                 blob = _state(ids[o], dist[o], open_[o], seen, v)
-            out.append((int(_bucket(np.array([i]), parts)[0]), 6, i, blob))
-        return out
+            out.append((i, blob))
+        return expanding({6: out})
 
-    state = written(q.mapInArrow(begun, _PACK), "ann-search")
-    while True:
-        asked = _tasks(state, parts, expanding)
-        named = _tasks(asked.union(lists), parts, neighbours)
+    state = written(_tasks(q.mapInArrow(begun, _PACK), parts, expanding), "ann-search")
+    while state.where("kind = 7").limit(1).count():
+        named = _tasks(state.union(lists), parts, neighbours)
         far = _tasks(_tasks(named, parts, wanted).union(packed), parts, measured)
-        state = written(_tasks(far, parts, merged), "ann-search")
-
-        def left(batches):
-            for batch in batches:
-                n = sum(bool(_opened(b)[2].any()) for b in batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-        if not (state.select("blob").mapInArrow(left, "n long").agg(F.sum("n")).first()[0] or 0):
-            return state
+        last, state = state, written(_tasks(far, parts, merged), "ann-search")
+        dropped(last)
+    return state.where("kind = 6")
 
 
 def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", beam: int | None = None) -> DataFrame:
@@ -431,8 +418,10 @@ def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id"
         for batch in batches:
             out = []
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, _, _, _, _ = _opened(b)
-                out += [(i, x) for x in ids[: 4 * top + 8].tolist()]
+                ids, dist, _, _, _ = _opened(b)
+                # Some more than asked for, and all that single precision can't tell from the last of those.
+                last = min(len(ids), 4 * top + 8) - 1
+                out += [(i, x) for x in ids[dist <= dist[last] * np.float32(1.0001)].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["q", "node"])
 
     # The nearest of each beam in double precision, ties to smaller ids; each node stands for its rows.

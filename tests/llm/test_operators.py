@@ -146,7 +146,7 @@ def test_descent_settles(spark):
         near[u].add(v)
     hit = sum(len(near[q] & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, n, 40))
     assert hit >= 0.985 * 1000
-    assert ann.beam_for(1 << 17) == ann.BEAM and ann.beam_for(1 << 21) > 4 * ann.BEAM
+    assert ann.beam_for(1 << 10) == ann.BEAM and ann.beam_for(1 << 17) == ann.BEAM_AT[1] and ann.beam_for(1 << 21) > 3 * ann.BEAM_AT[1]
 
 
 # 6
