@@ -1,27 +1,38 @@
 """Operator 9: mixing sources to target weights over a multivariate-hypergeometric splitting tree, DataFrame functions only.
 
-Documents are dealt into blocks of about BLOCK documents by a hash within their source. A source's target is reached by
-whole passes over its blocks plus one partial pass: blocks in permuted order while they fit, then documents of the
-first block that doesn't fit, in permuted order, each taken if it still fits, and one more if that comes nearer. The block draws of all sources form exact
-quotas; a binary tree splits them among the output shards, each node drawing the left child's share of every source
-from the multivariate hypergeometric law (an urn without replacement, driven by hashes, so reruns agree). Inside a
-shard the rows are shuffled by a hash.
+Documents are dealt into blocks of about BLOCK documents by a hash of their content within their source. A source's target
+is reached by whole passes over its blocks plus one partial pass: blocks in permuted order while they fit, then part of the
+first block that doesn't: its longest documents that still fit, permuted among equals, and one more if that comes nearer. The block
+draws of all sources form exact quotas; a binary tree splits them among the output shards, each node drawing the left
+child's share of every source from the multivariate hypergeometric law (by inversion, driven by hashes). A source's draws
+in permuted order then go to its shards' quotas one after another, so the shards hold disjoint runs of permuted blocks; what a
+document is taken is the number of its block's draws that the shards hold. Inside a shard the rows are shuffled by a hash.
+
+Every choice follows from the rows' content, so the result is the same for any order, partitioning or rerun of the input;
+rows equal in every column are interchangeable. Shards follow the size of the mix (SHARD words each).
 
 Null texts have size 0; a null source is a source of its own, after all others; repeated rows and repeated or null
 doc_ids are rows of their own; extra columns are carried through; an empty table gives no rows. A source whose size
-is 0 has target 0 and none of its documents is taken."""
+is 0 has target 0 and none of its documents is taken; very long texts are documents like others, and one that is longer than
+what is left of a target is only taken if that comes nearer to it."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from millrace.llm.common import word_count, written
+from millrace.llm.common import let, word_count, written
 
 BLOCK = 512
 CYCLE = (1.0, 2.0, 3.0)
 MOST = 3
+SHARD = 1 << 23  # words of an output shard
+STRIPES = 10  # bits: running sums over a source's blocks are made in so many parts
+SEED = 9
 
 
 def _unit(*keys: Column) -> Column:
@@ -29,6 +40,19 @@ def _unit(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
 
 
+def _hashable(t: DataType) -> bool:
+    if isinstance(t, (MapType, VariantType)):
+        return False
+    if isinstance(t, ArrayType):
+        return _hashable(t.elementType)
+    return all(_hashable(f.dataType) for f in t.fields) if isinstance(t, StructType) else True
+
+
+def content_hash(df: DataFrame, seed: int) -> Column:
+    """A hash of all of a row's columns that can be hashed."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+
+
 def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """(source, source_size, weight, target) from (source, source_size): shares by weight, stopped at most times the size.
 
@@ -54,113 +78,174 @@ def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST
     return w.select("source", "source_size", "weight", F.least("_full", F.coalesce(F.col("_lambda") * F.col("weight"), F.col("_full"))).alias("target"))
 
 
-def split_quotas(counts: Column, levels: int, seed: int) -> Column:
-    """array<array<int>>: for each of 2**levels shards, how many block draws of each source it gets (counts: array<int>).
+def hypergeometric(k: Column, slots: Column, total: Column, u: Column) -> Column:
+    """How many of the k marked ones of total are among slots drawn without replacement, at the quantile u in [0, 1).
+
+    By inversion: the law's weights come from their ratios, over twelve standard deviations and more around the mean."""
+    k, m, n = (x.cast("double") for x in (k, slots, total))
+    mean = m * k / n
+    spread = F.ceil(12 * F.sqrt(F.greatest(mean * (1 - k / n) * (n - m) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))) + 8
+    low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean) - spread).cast("long")
+    high = F.least(m, k, F.floor(mean) + spread).cast("long")
+
+    def drawn(b: Column) -> Column:
+        def ratio(i: Column) -> Column:
+            return (b["k"] - i) * (b["m"] - i) / ((i + 1) * (b["n"] - b["k"] - b["m"] + i + 1))
+
+        steps = F.sequence(b["low"], b["high"])
+        weight = F.aggregate(
+            steps,
+            F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum")),
+            lambda a, i: F.struct((a["p"] * ratio(i)).alias("p"), (a["sum"] + a["p"]).alias("sum")),
+        )["sum"]
+        return let(
+            weight * b["u"],
+            lambda upto: F.aggregate(
+                steps,
+                F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), b["low"].alias("at")),
+                lambda a, i: F.struct((a["p"] * ratio(i)).alias("p"), (a["sum"] + a["p"]).alias("sum"), F.when(a["sum"] <= upto, i).otherwise(a["at"]).alias("at")),
+            )["at"],
+        )
 
-    Each node splits its draws exactly in half; within a node the left share of source s is hypergeometric, drawn from
-    the urn one block at a time."""
-    state = "struct<slots:bigint,total:bigint,left:array<int>>"
+    bound = F.struct(k.alias("k"), m.alias("m"), n.alias("n"), low.alias("low"), high.alias("high"), u.alias("u"))
+    return F.when((total > 0) & (k > 0) & (m > 0), let(bound, drawn)).otherwise(F.lit(0).cast("long"))
 
-    def drawn(n: Column, slots: Column, total: Column, *key: Column) -> Column:
-        urn = "struct<slots:bigint,total:bigint>"
-        acc = F.aggregate(
-            F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-            F.struct(slots.alias("slots"), total.alias("total")).cast(urn),
-            lambda a, j: F.struct((a["slots"] - F.when(_unit(F.lit(seed), *key, j) * a["total"] < a["slots"], 1).otherwise(0)).alias("slots"), (a["total"] - 1).alias("total")).cast(urn),
-        )
-        return (slots - acc["slots"]).cast("int")
 
-    def halves(node: Column, at: Column, level: int) -> Column:
-        total = F.aggregate(node, F.lit(0).cast("long"), lambda a, x: a + x)
+def split_tree(root: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
+    """(shard, quotas array<bigint>) for 2**levels shards from one row with quotas: the block draws of each source.
 
-        def add(a: Column, x: Column) -> Column:
-            left = drawn(x, a["slots"], a["total"], F.lit(level), at, F.size(a["left"]))
-            return F.transform(F.array(left), lambda k: F.struct((a["slots"] - k).alias("slots"), (a["total"] - x).alias("total"), F.concat(a["left"], F.array(k)).alias("left")).cast(state))[0]
+    A node is a row. It splits its draws exactly in half, source after source."""
+    nodes = root.select(F.lit(0).cast("long").alias("shard"), F.col("quotas").cast("array<bigint>").alias("quotas"))
+    state = "struct<slots:bigint,total:bigint,left:array<bigint>>"
 
-        left = F.transform(
-            F.array(total),
-            lambda t: F.aggregate(node, F.struct(F.floor((t + 1) / 2).cast("long").alias("slots"), t.alias("total"), F.array().cast("array<int>").alias("left")).cast(state), add),
-        )[0]["left"]
-        return F.transform(F.array(left), lambda x: F.array(x, F.zip_with(node, x, lambda a, b: a - b)))[0]
+    def added(level: int):
+        def add(a: Column, x: Column) -> Column:
+            share = hypergeometric(x, a["slots"], a["total"], _unit(F.lit(seed), F.lit(level), F.col("shard"), F.size(a["left"])))
+            return let(share, lambda k: F.struct((a["slots"] - k).alias("slots"), (a["total"] - x).alias("total"), F.concat(a["left"], F.array(k)).alias("left")).cast(state))
 
-    def grown(level: int):
-        return lambda node, at: halves(node, at, level)
+        return add
 
-    nodes = F.array(counts)
     for level in range(levels):
-        nodes = F.flatten(F.transform(nodes, grown(level)))
+        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
+        first = let(total, lambda t: F.struct(F.ceil(t / 2).cast("long").alias("slots"), t.alias("total"), F.array().cast("array<bigint>").alias("left")).cast(state))
+        split = nodes.select("shard", "quotas", F.aggregate("quotas", first, added(level))["left"].alias("left"))
+        right = F.zip_with("quotas", "left", lambda a, b: a - b)
+        nodes = split.select(F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quotas")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quotas")))).alias("x")).select("x.*")
+        if level == 6 and levels > 8:
+            nodes = nodes.repartition(1 << 7, "shard")  # the subtrees grow apart
     return nodes
 
 
-def mixture_plan(docs: DataFrame, levels: int = 5, seed: int = 9, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(plan, rows): rows is docs with a row key _row and its _size, written once; plan has for each row
-    _row, doc_id, source, size, source_size, target, copies, shards array<int> (the shard of each copy)."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("_row"), word_count(F.col(text)).alias("_size"), F.col(source).alias("_source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return plan_of(written(keyed.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")), "mix-sizes"), levels, seed), keyed
-
-
-def plan_of(sizes: DataFrame, levels: int = 5, seed: int = 9) -> DataFrame:
-    """The plan for (_row, doc_id, source, size). Everything here is rows of numbers; no text moves."""
+def _sources(sizes: DataFrame) -> DataFrame:
+    """Written, a row a source: source, source_size, target, _rank, _blocks, _passes whole passes and _rest words of a partial one."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    goal = targets(by_source.select("source", "source_size")).withColumnRenamed("source", "_s").drop("source_size")
-    by_source = by_source.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    by_source = by_source.withColumns(
+    goal = targets(by_source.select("source", "source_size")).select(F.col("source").alias("_s"), "target")
+    size, target = F.col("source_size"), F.col("target")
+    out = by_source.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumns(
         {
-            "_nb": F.greatest(F.ceil(F.col("_n") / BLOCK), F.lit(1)).cast("int"),
-            "_passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)).cast("int"),
+            "_blocks": F.greatest(F.ceil(F.col("_n") / BLOCK), F.lit(1)),
+            "_passes": F.when(size > 0, F.floor(target / size + 1e-12)).otherwise(F.lit(0)).cast("int"),
+            "_rank": (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"),
         }
-    ).withColumn("_rest", F.when(F.col("_passes") < MOST, F.greatest(F.col("target") - F.col("_passes") * F.col("source_size"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    by_source = written(by_source.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1), "mix-sources")
-    key = F.coalesce("doc_id", F.lit(-1))
-    s = by_source.select(F.col("source").alias("_s"), "source_size", "target", "_nb", "_passes", "_rest", "_rank")
-    placed = sizes.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumns({"_block": F.pmod(F.xxhash64(F.lit(seed), key), F.col("_nb")).cast("int"), "_perm": F.xxhash64(F.lit(seed + 1), key, "_row")})
-
-    # The partial pass: whole blocks in permuted order while they fit, then the first that doesn't.
+    )
+    rest = F.when(F.col("_passes") < MOST, F.greatest(target - F.col("_passes") * size, F.lit(0.0))).otherwise(F.lit(0.0))
+    return written(out.withColumn("_rest", rest).drop("_s", "_n"), "mix-sources")
+
+
+def _blocks(placed: DataFrame, seed: int) -> DataFrame:
+    """Written, a row a block: its place _nth in its source's permuted order, whether the partial pass takes it whole or cuts it,
+    the words _left for it, and its number of draws.
+
+    Running sums go over stripes of the order first, then inside each, so no source is summed up in one task."""
     blocks = placed.groupBy("_rank", "_block").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"), F.first("_passes").alias("_passes"))
-    order = W.partitionBy("_rank").orderBy(F.xxhash64(F.lit(seed + 2), "_rank", "_block"), "_block")
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    blocks = blocks.withColumn("_left", F.col("_rest") - F.col("_before")).withColumn("_whole", F.col("_left") >= F.col("_words"))
-    blocks = blocks.withColumn("_cut", ~F.col("_whole") & (F.col("_left") > 0))
-    blocks = blocks.withColumn("_draws", F.col("_passes") + (F.col("_whole") | F.col("_cut")).cast("int"))
-    blocks = written(blocks.withColumn("_upto", F.sum("_draws").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")), "mix-blocks")
-
-    # Exact block quotas of each source, split among the shards.
-    counts = blocks.groupBy("_rank").agg(F.sum("_draws").cast("int").alias("_draws"))
-    listed = counts.agg(F.array_sort(F.collect_list(F.struct("_rank", "_draws"))).alias("_l"))
-    tree = listed.select(F.col("_l").alias("_l"), split_quotas(F.transform("_l", lambda x: x["_draws"]), levels, seed).alias("_q"))
-    quota = tree.select("_l", F.posexplode("_q").alias("_shard", "_row_q")).select("_shard", F.explode(F.arrays_zip(F.col("_l").alias("l"), F.col("_row_q").alias("q"))).alias("_z"))
-    quota = quota.select("_shard", F.col("_z.l._rank").alias("_rank"), F.col("_z.q").alias("_quota"))
-    bound = quota.withColumn("_to", F.sum("_quota").over(W.partitionBy("_rank").orderBy("_shard")).cast("int"))
-    bound = bound.groupBy("_rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("_shard", "_to"))), lambda x: x["_to"]).alias("_bounds"))
-
-    drawn = blocks.join(bound, "_rank").select("_rank", "_block", "_whole", "_cut", "_left", "_draws", "_upto", "_bounds")
-    # Draw number k of a source goes to the shard whose quota covers it.
-    nth = F.transform(F.sequence(F.lit(1), F.lit(MOST)), lambda c: F.size(F.filter("_bounds", lambda b: b < F.col("_upto") - F.col("_draws") + c)))
-    drawn = drawn.withColumn("_shards", F.slice(nth, F.lit(1), F.greatest("_draws", F.lit(0)))).drop("_bounds", "_upto", "_draws")
-
-    # Inside cut blocks (at most one a source, of about BLOCK documents) each document is taken if it still fits.
-    cut = placed.join(drawn.where("_cut").select("_rank", "_block", "_left"), ["_rank", "_block"])
-    state = "struct<left:double,rows:array<bigint>>"
-    fit = cut.groupBy("_rank", "_block").agg(F.first("_left").cast("double").alias("_left"), F.array_sort(F.collect_list(F.struct("_perm", "_row", "size"))).alias("_l"))
-    taken = F.aggregate(
-        "_l",
-        F.struct(F.col("_left").alias("left"), F.array().cast("array<bigint>").alias("rows")).cast(state),
-        lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["rows"], F.array(x["_row"])).alias("rows")).cast(state)).otherwise(a),
+    blocks = blocks.withColumn("_at", F.xxhash64(F.lit(seed + 2), "_rank", "_block")).withColumn("_stripe", F.shiftrightunsigned("_at", 64 - STRIPES))
+    stripes = blocks.groupBy("_rank", "_stripe").agg(F.sum("_words").alias("_sum"), F.count("*").alias("_count"))
+    before = W.partitionBy("_rank").orderBy("_stripe").rowsBetween(W.unboundedPreceding, -1)
+    stripes = stripes.select(
+        F.col("_rank").alias("_r"), F.col("_stripe").alias("_s"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sums"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_counts"),
+        F.sum("_count").over(W.partitionBy("_rank")).alias("_all"),
+    )
+    order = W.partitionBy("_rank", "_stripe").orderBy("_at", "_block")
+    inside = F.coalesce(F.sum("_words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"_in": inside, "_nr": F.row_number().over(order) - 1})
+    blocks = blocks.join(stripes, (F.col("_rank") == F.col("_r")) & (F.col("_stripe") == F.col("_s")))
+    left = F.col("_rest") - F.col("_sums") - F.col("_in")
+    whole = (F.col("_rest") > 0) & (left >= F.col("_words"))
+    cut = (F.col("_rest") > 0) & (left < F.col("_words")) & (left > 0)
+    return written(
+        blocks.select(
+            "_rank", "_block", (F.col("_counts") + F.col("_nr")).alias("_nth"), "_all", "_passes", cut.alias("_cut"), left.alias("_left"), (F.col("_passes") + (whole | cut).cast("int")).alias("_draws")
+        ),
+        "mix-blocks",
     )
-    # One more if it brings the source nearer to its target than it is without.
-    fit = fit.withColumn("_t", taken)
-    rest = F.filter("_l", lambda x: ~F.array_contains(F.col("_t.rows"), x["_row"]))
-    near = F.array_min(F.transform(rest, lambda x: F.struct((x["size"] - F.col("_t.left")).alias("over"), x["_perm"].alias("perm"), x["_row"].alias("row"))))
-    fit = fit.withColumn("_near", near)
-    rows = F.when(F.col("_near.over") < F.col("_t.left"), F.concat(F.col("_t.rows"), F.array(F.col("_near.row")))).otherwise(F.col("_t.rows"))
-    fit = fit.select(F.explode(rows).alias("_row")).withColumn("_fits", F.lit(1))
-    out = placed.join(drawn, ["_rank", "_block"], "left").join(fit, "_row", "left")
-    extra = F.when(F.col("_whole") & (F.col("_rest") > 0), 1).otherwise(F.coalesce("_fits", F.lit(0)))
-    return out.select(
-        "_row", "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.col("_passes") + extra).otherwise(F.lit(0)).cast("int").alias("copies"), "_shards",
-    ).withColumn("shards", F.slice("_shards", F.lit(1), "copies")).drop("_shards")
+
+
+def _shards(blocks: DataFrame, levels: int, seed: int) -> DataFrame:
+    """(_rank, _block, shards): the shard of each of a block's draws, in the order of the passes.
+
+    Draw number i of a source goes to the shard whose quota covers i. Numbers and quotas meet in bins of the source's mean
+    quota, each quota in the few bins it reaches over."""
+    counts = blocks.groupBy("_rank").agg(F.sum("_draws").alias("_n"))
+    root = counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_n"))), lambda x: x["_n"]).alias("quotas"))  # a number a source
+    width = F.greatest(F.ceil(F.col("_n") / (1 << levels)), F.lit(1))
+    quotas = split_tree(root, levels, seed).select(F.col("shard").alias("_shard"), F.posexplode("quotas").alias("_rank", "_quota")).where("_quota > 0")
+    quotas = quotas.withColumn("_to", F.sum("_quota").over(W.partitionBy("_rank").orderBy("_shard")))
+    quotas = quotas.join(counts.withColumn("_width", width), "_rank").withColumn("_from", F.col("_to") - F.col("_quota"))
+    bins = F.sequence(F.floor(F.col("_from") / F.col("_width")), F.floor((F.col("_to") - 1) / F.col("_width")))
+    quotas = quotas.select("_rank", "_shard", "_from", "_to", F.explode(bins).alias("_bin"))
+
+    draws = blocks.where("_draws > 0").join(counts.withColumn("_width", width), "_rank")
+    draws = draws.select("_rank", "_block", "_nth", "_all", "_width", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)).alias("_pass"))
+    draws = draws.withColumn("_i", F.col("_pass") * F.col("_all") + F.col("_nth")).withColumn("_bin", F.floor(F.col("_i") / F.col("_width")))
+    met = draws.join(quotas, ["_rank", "_bin"]).where((F.col("_from") <= F.col("_i")) & (F.col("_i") < F.col("_to")))
+    listed = met.groupBy("_rank", "_block").agg(F.array_sort(F.collect_list(F.struct("_pass", "_shard"))).alias("_l"))  # MOST at most
+    return listed.select("_rank", "_block", F.transform("_l", lambda x: x["_shard"]).alias("shards"))
+
+
+def plan_of(sizes: DataFrame, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, int]:
+    """(plan, levels) of a written table (_row, _key, source, size, ...): the table with source_size, target, copies and
+    shards array<bigint> (the shard of each copy, of 2**levels). Everything here is rows of numbers; no text moves."""
+    sources = _sources(sizes)
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    levels = max(1, math.ceil(math.log2(max(words / shard, 1))))
+    s = sources.withColumnRenamed("source", "_s")
+    placed = sizes.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_blocks")))
+    blocks = _blocks(placed, seed)
+    shards = _shards(blocks, levels, seed)
+
+    # Of a cut block (one a source at most) the longest rows that still fit, then one more if that comes nearer: decided on
+    # the number of rows of each size, so equal rows are never gathered.
+    cut = placed.join(blocks.where("_cut").select("_rank", "_block", "_left"), ["_rank", "_block"]).where("size > 0")
+    sizes_of = cut.groupBy("_rank", "size").agg(F.count("*").alias("n"), F.first("_left").cast("double").alias("_left")).groupBy("_rank")
+    sizes_of = sizes_of.agg(F.first("_left").alias("_left"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("_l"))
+    state = "struct<left:double,some:array<struct<size:bigint,n:bigint,take:bigint>>>"
+
+    def filled(a: Column, x: Column) -> Column:
+        take = F.least(x["n"], F.floor(a["left"] / x["size"]))
+        return F.struct((a["left"] - take * x["size"]).alias("left"), F.concat(a["some"], F.array(F.struct(x["size"].alias("size"), x["n"].alias("n"), take.alias("take")))).alias("some")).cast(state)
+
+    some = F.aggregate("_l", F.struct(F.col("_left").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint,take:bigint>>").alias("some")).cast(state), filled)
+    sizes_of = sizes_of.select("_rank", some.alias("_s")).select("_rank", "_s", F.array_min(F.transform(F.filter("_s.some", lambda x: x["take"] < x["n"]), lambda x: F.struct(F.abs(x["size"] - F.col("_s.left")).alias("off"), x["size"].alias("size")))).alias("_near"))
+    sizes_of = sizes_of.select("_rank", "_s.left", "_near", F.explode("_s.some").alias("x"))
+    nearer = F.coalesce((F.col("_near.size") == F.col("x.size")) & (F.col("_near.off") < F.col("left")), F.lit(False))
+    sizes_of = sizes_of.select("_rank", F.col("x.size").alias("size"), (F.col("x.take") + nearer.cast("int")).alias("_take"))
+    nth = F.row_number().over(W.partitionBy("_rank", "size").orderBy(F.xxhash64(F.lit(seed + 1), "_key"), "_row"))
+    fit = cut.withColumn("_of", nth).join(sizes_of, ["_rank", "size"]).where("_of <= _take").select("_row", F.lit(True).alias("_in"))
+
+    where = blocks.select("_rank", "_block", "_cut").join(shards, ["_rank", "_block"])
+    out = placed.join(where, ["_rank", "_block"], "left").join(fit, "_row", "left")
+    mine = F.when(F.col("size") > 0, F.coalesce("shards", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>"))
+    # The last draw of a cut block is that of the partial pass.
+    out = out.withColumn("shards", F.when(F.coalesce("_cut", F.lit(False)) & F.col("_in").isNull() & (F.size(mine) > 0), F.slice(mine, F.lit(1), F.size(mine) - 1)).otherwise(mine))
+    return out.select(*sizes.columns, "source_size", "target", F.size("shards").alias("copies"), "shards"), levels
+
+
+def mixture_plan(docs: DataFrame, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, int]:
+    """(plan, levels); plan has for each row of docs (doc_id, text, source, more) _row, _key, doc_id, source, size,
+    source_size, target, copies and shards."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs, seed).alias("_key"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    return plan_of(written(rows, "mix-sizes"), seed, shard)
 
 
 def mixture_digest(docs: DataFrame) -> DataFrame:
@@ -169,12 +254,12 @@ def mixture_digest(docs: DataFrame) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, levels: int = 5, seed: int = 9) -> DataFrame:
-    """The mix: each document as often as it is taken, dealt into 2**levels shards and shuffled inside each."""
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "mix-docs")
-    plan = plan_of(keyed.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), "size"), levels, seed)
-    copies = plan.where("copies > 0").select("_row", "shards")
-    # The text moves once, by its row key; the copies are made after it and shuffled inside their shard.
-    out = keyed.join(copies, "_row").select("_doc", "_row", F.posexplode("shards").alias("_copy", "_shard"))
-    out = out.repartition(1 << levels, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 3), "_row", "_copy"))
+def mixed_documents(docs: DataFrame, seed: int = SEED, shard: int = SHARD) -> DataFrame:
+    """The mix: each document as often as it is taken, dealt into shards, a partition each, and shuffled inside."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs, seed).alias("_key"), word_count(F.col("text")).alias("size"), whole), "mix-docs")
+    plan, levels = plan_of(keyed.select("_row", "_key", F.col("_doc.source").alias("source"), "size"), seed, shard)
+    # The text moves once, by its row key, then its copies to their shards.
+    out = keyed.join(plan.where("copies > 0").select("_row", "shards"), "_row").select("_doc", "_key", F.posexplode("shards").alias("_copy", "_shard"))
+    out = out.repartitionById(1 << levels, F.col("_shard").cast("int")).sortWithinPartitions(F.xxhash64(F.lit(seed + 3), "_key", "_copy"), "_copy")
     return out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -316,13 +316,13 @@ def test_mixing(docs, rows):
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
     want = brute_targets(sizes)
-    plan, _ = mixing.mixture_plan(docs)
+    plan, levels = mixing.mixture_plan(docs, shard=200)
     got = plan.collect()
-    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, mixing.mixture_plan(docs)[0].collect()))
+    assert len(got) == len(rows) and levels > 4
     taken = Counter()
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
-        assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < 32 for s in r.shards)
+        assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < 1 << levels for s in r.shards)
         taken[r.source] += r.copies * r.size
     for s in sizes:
         assert abs(want[s] - taken[s]) <= max(60, 0.02 * want[s])
@@ -331,6 +331,34 @@ def test_mixing(docs, rows):
     assert mixing.mixture_digest(docs.limit(0)).count() == 0
 
 
+def test_mixing_reruns_agree(spark, docs, rows, monkeypatch):
+    """The same mix from the rows in other orders and partitions, over many blocks and a deep tree."""
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    want, names = None, docs.columns
+    for parts in (1, 4, 7):
+        some = docs.orderBy(F.xxhash64(F.lit(parts), "text")).coalesce(1) if parts == 1 else docs.repartition(parts, F.col("text"), F.lit(parts))
+        plan, _ = mixing.mixture_plan(some, shard=50)
+        got = sorted((repr((r.doc_id, r.source, r.size, r.target)), r.copies, tuple(r.shards)) for r in plan.collect())
+        mix = sorted(repr(tuple(r)) for r in mixing.mixed_documents(some, shard=500).collect())
+        assert want in (None, (got, mix))
+        want = (got, mix)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "quotas" in text and "_shard" in text  # the copies come from the tree's shards
+    digest = mixing.mixture_digest(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "quotas" in digest and mixing.mixed_documents(docs).columns == names
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 60), st.integers(0, 60), st.floats(0, 0.999999))
+def test_hypergeometric_quantiles(spark, n, k, m, u):
+    k, m = min(k, n), min(m, n)
+    weights = [math.comb(k, i) * math.comb(n - k, m - i) for i in range(0, min(k, m) + 1)]
+    below = [sum(weights[:i]) / sum(weights) for i in range(len(weights))]
+    got = spark.range(1).select(mixing.hypergeometric(F.lit(k), F.lit(m), F.lit(n), F.lit(u))).first()[0]
+    assert weights[got] > 0 or got == 0
+    assert below[got] <= u + 1e-9 and (got + 1 >= len(below) or below[got + 1] > u - 1e-9)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=2), st.integers(0, 500), min_size=1, max_size=7))
 def test_targets(spark, sizes):
@@ -341,7 +369,7 @@ def test_targets(spark, sizes):
 
 
 def test_split_tree_keeps_quotas(spark):
-    df = spark.createDataFrame([([7, 0, 20, 1, 5],)], "c array<int>")
-    quotas = np.array(df.select(mixing.split_quotas(F.col("c"), 3, 9)).first()[0])
+    df = spark.createDataFrame([([7, 0, 20, 1, 5],)], "quotas array<int>")
+    quotas = np.array([r.quotas for r in mixing.split_tree(df, 3).orderBy("shard").collect()])
     assert quotas.shape == (8, 5) and quotas.sum(0).tolist() == [7, 0, 20, 1, 5] and quotas.min() >= 0
     assert quotas.sum(1).max() - quotas.sum(1).min() <= 1
