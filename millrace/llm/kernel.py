@@ -85,3 +85,9 @@ def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def segments_sum(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The different values in order, by a sort: many times faster on integers than a hash table."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h

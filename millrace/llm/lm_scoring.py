@@ -41,6 +41,8 @@ LEVELS = 40
 END = np.uint64(0x656E646F66746578)
 SLICE = 1 << 21
 HELD = 1 << 21  # counts a task holds before it sends them
+ANSWERED = 1 << 20  # questions that a task answers at a time
+_NONE = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,36 +261,52 @@ def lm_scores(docs: DataFrame, held_out: int = 2, modulus: int = 7) -> DataFrame
             for k, x, y in zip(*(batch.column(i) for i in range(3))):
                 offs = np.frombuffer(y.as_buffer(), "<i8")
                 h, owner = _tokens(_unpacked(x, offs), offs)
-                out = [(k.as_py(), n, b, x.tobytes(), None) for n, g in ((1, h), (2, _bigrams(h, owner))) for b, x in _by_bucket(bits, np.unique(g))]
+                out = [(k.as_py(), n, b, x.tobytes(), None) for n, g in ((1, h), (2, _bigrams(h, owner))) for b, x in _by_bucket(bits, K.distinct(g))]
                 yield _asks(out)
         trim()
 
     asked = texts.select("chunk", "h", "c").mapInArrow(asking, _ASK)
 
-    def answering(batches):  # counts come before the questions of the same bucket
-        bucket, grams, model = None, {}, None
-        for batch in batches:
+    def answering(batches):  # counts come before the questions of the same bucket, which are answered many at a time
+        bucket, known, model, held, size = None, _NONE, None, [], 0
+
+        def answers():
+            nonlocal held, size
             out = []
-            for b, k, n, x, y in zip(*(batch.column(batch.schema.get_field_index(i)) for i in ("bucket", "chunk", "n", "h", "c"))):
-                if b.as_py() != bucket:
-                    bucket, grams, model = b.as_py(), {}, None
-                n = n.as_py()
-                if k.as_py() < 0 and n == 2:
-                    model = Filter(np.frombuffer(x.as_py(), np.uint8), LEAST, int(np.frombuffer(y.as_buffer(), "<u8")[0]), alone=True)
-                    continue
-                x = np.frombuffer(x.as_buffer(), "<u8")
-                if k.as_py() < 0:
-                    grams[n] = (x, np.frombuffer(y.as_buffer(), "<u8"))
+            for n in (1, 2):
+                some = [(k, x) for k, m, x in held if m == n]
+                if not some:
                     continue
-                model = model or segment({})
+                every, ends = np.concatenate([x for _, x in some]), np.cumsum([len(x) for _, x in some])
+                levels = (model or segment({})).level(every, n).astype("u1")
                 exact = None
                 if n == 1:
-                    h, c = grams.get(1, (np.zeros(0, np.uint64),) * 2)
-                    i = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
-                    exact = (np.where(h[i] == x, c[i], 0) if len(h) else np.zeros(len(x))).astype("<u8").tobytes()
-                out.append((k.as_py(), n, bucket, model.level(x, n).astype("u1").tobytes(), exact))
+                    h, c = known
+                    i = np.minimum(np.searchsorted(h, every), max(len(h) - 1, 0))
+                    exact = (np.where(h[i] == every, c[i], 0) if len(h) else np.zeros(len(every))).astype("<u8")
+                for (k, x), e in zip(some, ends.tolist()):
+                    out.append((k, n, bucket, levels[e - len(x) : e].tobytes(), None if exact is None else exact[e - len(x) : e].tobytes()))
+            held, size = [], 0
             if out:
                 yield _asks(out)
+
+        for batch in batches:
+            for b, k, n, x, y in zip(*(batch.column(batch.schema.get_field_index(i)) for i in ("bucket", "chunk", "n", "h", "c"))):
+                b, k, n = b.as_py(), k.as_py(), n.as_py()
+                if b != bucket:
+                    yield from answers()
+                    bucket, known, model = b, _NONE, None
+                if k >= 0:
+                    held.append((k, n, np.frombuffer(x.as_py(), "<u8")))
+                    size += len(held[-1][2])
+                    if size > ANSWERED:
+                        yield from answers()
+                elif n == 1:
+                    known = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                else:
+                    model = Filter(np.frombuffer(x.as_py(), np.uint8), LEAST, int(np.frombuffer(y.as_buffer(), "<u8")[0]), alone=True)
+        yield from answers()
+        known = model = None
         trim()
 
     none = F.lit(None)
