@@ -1,15 +1,19 @@
 """Operator 10: token ids in binary shards, compressed by Re-Pair grammars.
 
-Documents are sorted by doc_id over range partitions; each partition writes shards of about SHARD ids. In a shard frequent
-id pairs are replaced by nonterminals, round after round (each round replaces the most frequent pairs at once where they
-don't overlap); rules and expansion lengths are stored, so any range of ids decodes without the rest. Shards are rows
-with a binary payload in Parquet files, so any store that Spark writes to will do.
+Documents are sorted by doc_id over range partitions; each partition writes shards of about SHARD ids. In a shard the most
+frequent pair of neighbouring symbols becomes a nonterminal, counts are updated, and so on until no pair occurs LEAST times
+without overlap, which is what its rule costs. A round takes all pairs that occur more than half as often as the most
+frequent one, each where it outranks the pairs that overlap it; counts are exact and taken anew after it, over the places whose pair
+is still frequent. Rules and expansion lengths are stored, and the number of ids before every MARK-th symbol, so any range of ids
+decodes without the rest. Shards are rows with a binary payload in Parquet files, so any store that Spark writes to will do.
 
-Payload, little-endian: magic 'MRP1'; counts of documents, rules, symbols (u32); doc_ids (i64) and a null mask (u8); ids
-per document (u32); rules as pairs (u16); expansion lengths of the rules (u32); symbols (u16). Symbols from BASE on are rules.
+Payload, little-endian: magic 'MRP2'; counts of documents, rules, symbols, the first nonterminal, bit planes (u32); doc_ids
+(i64) and a null mask (u8); ids per document (u32); rules as pairs and then all symbols, each as their low 16 bits (u16) and
+planes of their higher bits (packed); expansion lengths of the rules (u32); ids before every MARK-th symbol (u64).
 
-Null texts are empty and hold the end id only; null doc_ids come first, ties in any order; an empty table gives no rows;
-extra columns are ignored."""
+Null texts are empty and hold the end id only; null doc_ids come first; equal doc_ids are in the order of a hash of their
+texts, so a rerun gives the same places; very long texts are one document of a shard of their own size (under 2**32 ids); an empty
+table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,88 +32,127 @@ from millrace.llm.tokens import default_path, encoder
 
 END = 2
 SHARD = 1 << 20
-BASE = 50_304  # first nonterminal: above every id of the vocabulary
-MOST_RULES = 65_536 - BASE
-SLOTS = 17
-MAGIC = b"MRP1"
-
-
-def re_pair(ids: np.ndarray, rounds: int = 5, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols u16, rules u16 (n, 2)): each round gives the most frequent adjacent pairs a nonterminal."""
-    seq, rules = ids.astype(np.uint16), []
-    for k in range(rounds):
-        room = (MOST_RULES - len(rules)) // (rounds - k)
-        if len(seq) < 2 or not room:
+LEAST = 5  # a rule of two 16-bit symbols and a length costs what four occurrences save
+MARK = 1024
+MAGIC = b"MRP2"
+
+
+def _by_pair(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, group of each, first of each group): the places at with those of equal pairs together."""
+    bits = int(seq.max()).bit_length()
+    low = len(seq).bit_length()
+    key = (seq[at].astype(np.uint64) << np.uint64(bits)) | seq[at + 1]
+    if 2 * bits + low <= 64:  # place and pair in one number: a plain sort does it
+        both = np.sort((key << np.uint64(low)) | at.astype(np.uint64))
+        key, at = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    else:
+        o = np.argsort(key, kind="stable")
+        key, at = key[o], at[o]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return at, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def re_pair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules (n, 2)): the sequence and its rules when no pair occurs least times without overlap."""
+    seq, rules, made = ids.astype(np.uint32), [], 0
+    live = np.ones(len(seq), bool)  # places whose pair may be frequent: others' pairs never become so again
+    while len(seq) > 1:
+        live[-1] = False
+        at, group, first = _by_pair(seq, np.flatnonzero(live))
+        count = np.diff(np.append(first, len(at)))
+        often = count >= least
+        live[at[~often[group]]] = False
+        if not often.any():
             break
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slot = ((key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)).astype(np.intp)
-        counts = np.bincount(slot, minlength=1 << SLOTS)
-        holder = np.zeros(1 << SLOTS, np.uint32)
-        holder[slot] = key  # one pair holds each slot; others of the slot wait for another round
-        top = np.argpartition(counts, -room)[-room:]
-        top = top[counts[top] >= least]
-        if not len(top):
-            break
-        weight = np.zeros(1 << SLOTS, np.int32)
-        weight[top] = counts[top]
-        w = weight[slot]
-        w *= holder[slot] == key
-        # A pair is replaced where it outweighs both its neighbours; of equals the left one goes first.
-        pick = w > 0
-        pick[1:] &= w[1:] > w[:-1]
-        pick[:-1] &= w[:-1] >= w[1:]
-        at = np.flatnonzero(pick)
-        used, inverse = np.unique(slot[at], return_inverse=True)
-        made = holder[used]
-        seq[at] = (BASE + len(rules) + inverse).astype(np.uint16)
+        some = np.flatnonzero(often & (count > count.max() // 2))
+        # Ranks order the round's pairs by count, then by symbols; zero where no pair of the round starts.
+        by = some[np.lexsort((-some, count[some]))]
+        rank_of = np.zeros(len(first), np.int32)
+        rank_of[by] = np.arange(1, len(by) + 1)
+        rank = np.zeros(len(seq) + 1, np.int32)
+        rank[at] = rank_of[group]
+        place = np.flatnonzero(rank)
+        mine, left, right = rank[place], rank[place - 1], rank[place + 1]  # rank[-1] is zero
+        # A run of one pair over itself (as in aaaa) is taken at every second place.
+        head = (left != mine) | (place == 0)
+        run = place - place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
+        even = run % 2 == 0
+        pick = even & (left <= mine) & (right <= mine)
+        taken = np.bincount(mine[pick], minlength=len(by) + 1)
+        pick &= taken[mine] >= least
+        if not pick.any():  # overlaps alone make these so frequent
+            alone = np.bincount(mine[even], minlength=len(by) + 1)
+            live[place[alone[mine] < least]] = False
+            continue
+        to, used = place[pick], np.flatnonzero(taken >= least)
+        used = used[used > 0][::-1]  # most frequent first
+        number = np.zeros(len(by) + 1, np.uint32)
+        number[used] = base + made + np.arange(len(used))
+        where = at[first[by[used - 1]]]
+        rules.append(np.stack([seq[where], seq[where + 1]], 1))
+        made += len(used)
+        seq[to] = number[mine[pick]]
+        live[to] = True
+        live[np.maximum(to - 1, 0)] = True
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules.extend(zip((made >> np.uint32(16)).tolist(), (made & np.uint32(0xFFFF)).tolist()))
-    return seq, np.array(rules, np.uint16).reshape(-1, 2)
+        keep[to + 1] = False
+        # What stands before a pair may be the end of another that goes: its new symbol starts a place earlier.
+        back = to[(to > 1)]
+        back = back[~keep[back - 1]] - 2
+        live[back] = True
+        seq, live = seq[keep], live[keep]
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
-def expansion_lengths(rules: np.ndarray) -> np.ndarray:
-    size = [1] * BASE
+def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    size: list[int] = []
     for a, b in rules.tolist():
-        size.append(size[a] + size[b])
-    return np.array(size[BASE:], np.uint32)
-
-
-def _unfolded(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Level by level; for the rules themselves."""
-    out = symbols.astype(np.uint16)
-    while True:
-        big = out >= BASE
-        if not big.any():
-            return out
-        to = np.cumsum(1 + big) - 1 - big
-        new = np.empty(len(out) + int(big.sum()), np.uint16)
-        new[to[~big]] = out[~big]
-        pair = rules[out[big] - BASE]
-        new[to[big]], new[to[big] + 1] = pair[:, 0], pair[:, 1]
-        out = new
-
-
-def expanded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ids of a run of symbols, copied from the unfolded rules by length."""
-    flat = np.concatenate([np.arange(BASE, dtype=np.uint16), _unfolded(np.arange(BASE, BASE + len(rules), dtype=np.uint32).astype(np.uint16), rules)])
-    size = np.concatenate([np.ones(BASE, np.int32), lengths.astype(np.int32)])
-    first = np.concatenate([np.arange(BASE, dtype=np.int32), BASE + np.cumsum(lengths, dtype=np.int32) - lengths.astype(np.int32)])
-    n = size[symbols]
-    ends = np.cumsum(n, dtype=np.int32)
-    at = np.repeat(first[symbols] - ends + n, n)
-    at += np.arange(len(at), dtype=np.int32)
-    return flat[at]
-
-
-def packed_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    symbols, rules = re_pair(ids)
+        size.append((size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1))
+    return np.array(size, np.uint32)
+
+
+def _sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    size = np.ones(len(symbols), np.int64)
+    big = symbols >= base
+    size[big] = lengths[symbols[big] - base]
+    return size
+
+
+def expanded(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids of a run of symbols: each rule puts its two parts where they begin, level by level."""
+    size = _sizes(symbols, lengths, base)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    at, now = ends - size, symbols
+    while len(now):
+        plain = now < base
+        out[at[plain]] = now[plain]
+        at = at[~plain]
+        pair = rules[now[~plain] - base]
+        at = np.concatenate([at, at + _sizes(pair[:, 0], lengths, base)])
+        now = np.concatenate([pair[:, 0], pair[:, 1]])
+    return out
+
+
+def _planes(x: np.ndarray, planes: int) -> bytes:
+    return (x & 0xFFFF).astype("<u2").tobytes() + b"".join(np.packbits((x >> (16 + k)) & 1 > 0, bitorder="little").tobytes() for k in range(planes))
+
+
+def packed_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, base: int | None = None) -> bytes:
+    """The payload; base is above every id (by default just above those of the shard)."""
+    base = int(ids.max(initial=0)) + 1 if base is None else base
+    if len(ids) and int(ids.max()) >= base:
+        raise ValueError("an id is no terminal")
+    symbols, rules = re_pair(ids, base)
+    lengths, planes = expansion_lengths(rules, base), max(0, (base + len(rules)).bit_length() - 16)
+    size = _sizes(symbols, lengths, base)
+    marks = np.concatenate([[0], np.cumsum(size)])[:-1:MARK] if len(size) else np.zeros(0)
     return b"".join(
         (
-            MAGIC, struct.pack("<3I", len(doc_ids), len(rules), len(symbols)),
+            MAGIC, struct.pack("<5I", len(doc_ids), len(rules), len(symbols), base, planes),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
-            np.array(counts, "<u4").tobytes(), rules.astype("<u2").tobytes(), expansion_lengths(rules).astype("<u4").tobytes(), symbols.astype("<u2").tobytes(),
+            np.array(counts, "<u4").tobytes(), _planes(rules.ravel(), planes), _planes(symbols, planes), lengths.astype("<u4").tobytes(), marks.astype("<u8").tobytes(),
         )
     )
 
@@ -120,8 +163,8 @@ class Shard:
     def __init__(self, payload: bytes) -> None:
         if payload[:4] != MAGIC:
             raise ValueError("not a shard")
-        docs, rules, symbols = struct.unpack_from("<3I", payload, 4)
-        at = 16
+        docs, rules, symbols, self.base, planes = struct.unpack_from("<5I", payload, 4)
+        at = 24
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -129,24 +172,29 @@ class Shard:
             at += got.nbytes
             return got
 
-        self.doc_ids, self.null, self.counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
-        self.rules, self.lengths, self.symbols = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u2", symbols)
+        def whole(n: int) -> np.ndarray:
+            out = take("<u2", n).astype(np.uint32)
+            for k in range(planes):
+                out |= np.unpackbits(take("u1", -(-n // 8)), count=n, bitorder="little").astype(np.uint32) << np.uint32(16 + k)
+            return out
 
-    def ends(self) -> np.ndarray:
-        size = np.ones(len(self.symbols), np.int64)
-        big = self.symbols >= BASE
-        size[big] = self.lengths[self.symbols[big] - BASE]
-        return np.cumsum(size)
+        self.doc_ids, self.null, self.counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
+        self.rules, self.symbols, self.lengths = whole(2 * rules).reshape(-1, 2), whole(symbols), take("<u4", rules)
+        self.marks = take("<u8", -(-symbols // MARK)).astype(np.int64)
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """Random access: only the symbols that cover the range are unfolded."""
-        ends = self.ends()
+        """Random access: only the symbols that cover the range are measured and unfolded."""
+        if not n:
+            return np.zeros(0, "<u4")
+        a, b = np.searchsorted(self.marks, [start, start + n - 1], "right")
+        some = self.symbols[(a - 1) * MARK : b * MARK]
+        ends = self.marks[a - 1] + np.cumsum(_sizes(some, self.lengths, self.base))
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + n, "left"))
-        before = int(ends[first - 1]) if first else 0
-        return expanded(self.symbols[first : last + 1], self.rules, self.lengths)[start - before : start - before + n].astype("<u4")
+        before = int(ends[first - 1]) if first else int(self.marks[a - 1])
+        return expanded(some[first : last + 1], self.rules, self.lengths, self.base)[start - before : start - before + n].astype("<u4")
 
     def all_ids(self) -> np.ndarray:
-        return expanded(self.symbols, self.rules, self.lengths).astype("<u4")
+        return expanded(self.symbols, self.rules, self.lengths, self.base).astype("<u4")
 
 
 def written_shards(docs: DataFrame, path: str | None = None, end: int = END, shard: int = SHARD) -> DataFrame:
@@ -155,11 +203,12 @@ def written_shards(docs: DataFrame, path: str | None = None, end: int = END, sha
 
     def made(batches):
         part, seq, coder = TaskContext.get().partitionId(), 0, encoder(path)
-        names, counts, held, n, last = [], [], [], 0, np.array([end], np.uint16)
+        base = max(coder.tokenizer.get_vocab_size(with_added_tokens=True), *coder.tokenizer.get_vocab().values(), end) + 1
+        names, counts, held, n, last = [], [], [], 0, np.array([end], np.uint32)
 
         def flush():
             nonlocal seq, names, counts, held, n
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([packed_shard(names, counts, np.concatenate(held))], pa.binary())})
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([packed_shard(names, counts, np.concatenate(held), base)], pa.binary())})
             seq, names, counts, held, n = seq + 1, [], [], [], 0
             return row
 
@@ -167,14 +216,16 @@ def written_shards(docs: DataFrame, path: str | None = None, end: int = END, sha
             for doc, ids in zip(some.column(0).to_pylist(), coder.ids_of(buf, offs)):
                 names.append(doc)
                 counts.append(len(ids) + 1)
-                held += (ids.astype(np.uint16), last)
+                held += (ids, last)
                 n += len(ids) + 1
                 if n >= shard:
                     yield flush()
         if names:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).repartitionByRange(int_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one doc_id are ordered and dealt out by a hash of their text.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    rows = rows.repartitionByRange(int_parts(docs.sparkSession), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").select("doc_id", "_text")
     return written(rows.mapInArrow(made, "part int, seq int, n_ids long, payload binary"), "token-shards")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import binary_tokens as B
@@ -119,3 +120,44 @@ def test_re_pair_random_access(ids, start, n):
     start = min(start, len(ids))
     n = min(n, len(ids) - start)
     assert s.ids(start, n).tolist() == ids[start : start + n].tolist()
+
+
+def unfolded(symbols, rules, base):
+    out = list(symbols)
+    while any(x >= base for x in out):
+        out = [y for x in out for y in (rules[x - base] if x >= base else [x])]
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=300), st.sampled_from([2, 3, 5]))
+def test_re_pair_leaves_no_frequent_pair(ids, least):
+    symbols, rules = B.re_pair(np.array(ids, np.uint32), 5, least)
+    symbols, rules = symbols.tolist(), rules.tolist()
+    assert unfolded(symbols, rules, 5) == ids
+    met, free = {}, {}
+    for i, p in enumerate(zip(symbols, symbols[1:])):
+        if free.get(p, 0) <= i:  # without overlap
+            met[p], free[p] = met.get(p, 0) + 1, i + 2
+    assert all(n < least for n in met.values())
+    # Each rule was worth its cost when it was made: it is used that often by the symbols and by later rules.
+    assert all(sum(x == 5 + k for x in symbols) + sum(x == 5 + k for r in rules for x in r) >= 1 for k in range(len(rules)))
+
+
+def test_re_pair_beyond_16_bits():
+    r = np.random.default_rng(5)
+    words = r.integers(0, 70_000, (9000, 3))
+    ids = words[r.integers(0, 9000, 120_000)].ravel().astype(np.uint32)
+    s = B.Shard(B.packed_shard([7, None], [5, len(ids) - 5], ids, 70_001))
+    assert len(s.symbols) < len(ids) / 2 and np.array_equal(s.all_ids(), ids) and s.null.tolist() == [0, 1]
+    for at in r.integers(0, len(ids) - 50, 40).tolist():
+        assert np.array_equal(s.ids(at, 50), ids[at : at + 50])
+    with pytest.raises(ValueError):
+        B.packed_shard([1], [1], np.array([9], np.uint32), 9)
+
+
+def test_equal_doc_ids_rerun_alike(spark):
+    rows = [(1, f"text {i % 40}") for i in range(200)] + [(None, f"null {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted((r.start, r.n_tokens, r.ids_crc32) for r in B.binary_digest(df.repartition(n, F.lit(n), "text")).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
