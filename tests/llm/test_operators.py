@@ -105,6 +105,29 @@ def test_chat_format(spark):
     assert [tuple(t) for t in chat_format.folded(events).first().turns] == [("user", "hello"), ("assistant", "new")]
 
 
+def plain_fold(log):
+    """Event by event, as the log says."""
+    out = []
+    for seq, op, target, role, text in sorted(log, key=lambda e: (e[0], e[3], e[4], e[1])):
+        if op == "message":
+            out.append([target, role, text])
+        elif op == "regenerate":
+            out = [m for m in out if m[0] <= target]
+        for m in out if op in ("delta", "edit", "regenerate") else []:
+            if m[0] == target:
+                m[2] = {"delta": m[2] + text, "edit": text, "regenerate": ""}[op]
+    return [(r, t) for _, r, t in out]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["message", "message", "delta", "edit", "regenerate"]), st.integers(0, 4), st.sampled_from(["user", "assistant"]), st.sampled_from(["a", "b", ""])), max_size=14), min_size=8, max_size=8))
+def test_fold_of_random_logs(spark, logs):
+    rows = [(c, *e) for c, log in enumerate(logs) for e in log]
+    df = spark.createDataFrame(rows, "conv_id long, seq long, op string, target long, role string, text string")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.folded(df).collect()}
+    assert got == {c: x for c, log in enumerate(logs) if (x := plain_fold(log))}
+
+
 # 5
 
 
