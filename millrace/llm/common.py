@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: The word separators of every contract here: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -85,6 +86,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         _tables.remove(path)
 
 
+def _hashable(t: DataType) -> bool:
+    if isinstance(t, (MapType, VariantType)):
+        return False
+    if isinstance(t, ArrayType):
+        return _hashable(t.elementType)
+    return all(_hashable(f.dataType) for f in t.fields) if isinstance(t, StructType) else True
+
+
+def content_hash(schema: StructType, seed: int, under: str = "") -> Column:
+    """A hash of all of a row's columns that can be hashed; under names the struct that holds them, if one does."""
+    return F.xxhash64(F.lit(seed), *[F.col(under)[f.name] if under else F.col(f"`{f.name}`") for f in schema.fields if _hashable(f.dataType)])
+
+
+def carried(df: DataFrame) -> Column:
+    """All columns in one struct _doc, so none clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value once and use it many times in body (a lambda variable is never evaluated again)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, trim, written
+from millrace.llm.common import carried, content_hash, int_parts, slices, trim, written
 from millrace.llm.components import components
 
 SHINGLE = 5
@@ -428,8 +428,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, one row of equal ones; rows of one doc_id are one document."""
+    """The rows of docs whose doc_id is the least of its component; of rows with equal doc_id and text the one with
+    the least hash of all its columns."""
     kept = similar_documents(docs.select("doc_id", "text"), percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    out = docs.select(carried(docs)).join(kept, F.col("_doc.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = W.partitionBy("_doc.doc_id", F.xxhash64("_doc.text")).orderBy(content_hash(docs.schema, 6, "_doc"))
+    return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -23,9 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from millrace.llm.common import let, word_count, written
+from millrace.llm.common import carried, content_hash, let, word_count, written
 
 BLOCK = 512
 CYCLE = (1.0, 2.0, 3.0)
@@ -40,19 +39,6 @@ def _unit(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
 
 
-def _hashable(t: DataType) -> bool:
-    if isinstance(t, (MapType, VariantType)):
-        return False
-    if isinstance(t, ArrayType):
-        return _hashable(t.elementType)
-    return all(_hashable(f.dataType) for f in t.fields) if isinstance(t, StructType) else True
-
-
-def content_hash(df: DataFrame, seed: int) -> Column:
-    """A hash of all of a row's columns that can be hashed."""
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
-
-
 def targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """(source, source_size, weight, target) from (source, source_size): shares by weight, stopped at most times the size.
 
@@ -244,7 +230,7 @@ def plan_of(sizes: DataFrame, seed: int = SEED, shard: int = SHARD) -> tuple[Dat
 def mixture_plan(docs: DataFrame, seed: int = SEED, shard: int = SHARD) -> tuple[DataFrame, int]:
     """(plan, levels); plan has for each row of docs (doc_id, text, source, more) _row, _key, doc_id, source, size,
     source_size, target, copies and shards."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs, seed).alias("_key"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs.schema, seed).alias("_key"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
     return plan_of(written(rows, "mix-sizes"), seed, shard)
 
 
@@ -256,8 +242,7 @@ def mixture_digest(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, shard: int = SHARD) -> DataFrame:
     """The mix: each document as often as it is taken, dealt into shards, a partition each, and shuffled inside."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs, seed).alias("_key"), word_count(F.col("text")).alias("size"), whole), "mix-docs")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("_row"), content_hash(docs.schema, seed).alias("_key"), word_count(F.col("text")).alias("size"), carried(docs)), "mix-docs")
     plan, levels = plan_of(keyed.select("_row", "_key", F.col("_doc.source").alias("source"), "size"), seed, shard)
     # The text moves once, by its row key, then its copies to their shards.
     out = keyed.join(plan.where("copies > 0").select("_row", "shards"), "_row").select("_doc", "_key", F.posexplode("shards").alias("_copy", "_shard"))

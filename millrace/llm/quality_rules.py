@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, let, words
+from millrace.llm.common import SPACES, carried, let, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -133,9 +133,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20
 
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    mine = [c for c in docs.columns if c not in ("kept", "base_failed")]
-    carried = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judged(carried, rules).where("kept").select(*[F.col("_row")[c].alias(c) for c in mine])
+    return judged(docs.select("text", carried(docs)), rules).where("kept").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ Hot groups: of equal surroundings a task sends two, which is enough to know all
 straight to their texts. Anchors that more than HOT texts or places have send a 128-bit digest of each of their strings
 instead of the surroundings, so their strings are dealt out over all buckets; equal digests are repeats.
 
-Null texts are empty; null doc_ids are carried; repeated rows are copies; texts under 200 bytes stay whole; an empty table
+Null texts are empty; null doc_ids are carried; repeated rows are copies; texts under 200 bytes stay whole; very long texts
+are read in overlapping segments; an empty table
 gives no rows; extra columns are ignored by the digest and carried by deduplicated()."""
 
 from __future__ import annotations
@@ -30,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.common import int_parts, slices, trim, written
+from millrace.llm.common import carried, int_parts, slices, trim, written
 
 WINDOW = 200
 GRAM = 64
 TRIGGER = 8  # bytes of the parse's rolling window
 PERIOD = 32  # a trigger in so many bytes
 SLICE = 1 << 20
+SEGMENT = 1 << 25  # bytes of a longer text at a time; twice that fits in PLACE
 FILTER_BITS = 1 << 26
 FILTER_PARTS = 256
 PLACE = np.uint64(28)  # low bits of a key that hold a position
@@ -45,14 +47,23 @@ _DIGEST = 0xFFFFFFFF  # in a post's anchor: the post is one string's digest
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(text, low, high, anchor, hash, sums): of each anchor its text, the first and last start that it serves, its position
-    (all in the slice) and the hash of its bytes; sums are the slice's prefix sums."""
+def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int = GRAM, segment: int = SEGMENT):
+    """(text, low, high, anchor, hash, around): of each anchor its text, the first and last start that it serves, its position
+    (all in the slice), the hash of its bytes and that of its surroundings, all strings that it serves.
+
+    A text longer than a segment is cut into overlapping ones, so arrays and positions have a bounded size."""
     n, span = len(buf), window - gram + 1
-    sums = K.prefix(buf)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none, none.astype(np.uint64), sums
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    if n > segment and len(offs) == 2:
+        out = []
+        for at in range(0, n - window + 1, segment):
+            part = buf[at : at + segment + window - 1]
+            text, low, high, place, h, e = anchors(part, np.array([0, len(part)]), window, gram, 2 * segment)
+            out.append((text, low + at, high + at, place + at, h, e))
+        return tuple(np.concatenate(x) for x in zip(*out))
+    sums = K.prefix(buf)
     at = np.arange(n - gram + 1)
     h = K.span_hashes(sums, at, at + gram)
     least = (h >> PLACE << PLACE) | at.astype(np.uint64)
@@ -67,13 +78,15 @@ def anchors(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW, gram: int =
     start = np.flatnonzero(np.arange(len(least)) + window <= offs[text + 1])
     place = (least[start] & np.uint64((1 << 28) - 1)).astype(np.int64)
     if not len(start):
-        return none, none, none, none, none.astype(np.uint64), sums
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     text = text[start]
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return text[first], start[first], start[last], place[first], h[place[first]], sums
+    low, high, place = start[first], start[last], place[first]
+    around = K.mixed(K.span_hashes(sums, low, high + window) + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64))
+    return text[first], low, high, place, h[place], around
 
 
 def _ranked(*keys: np.ndarray) -> np.ndarray:
@@ -303,13 +316,12 @@ def candidates(docs: DataFrame, have: np.ndarray, hot: np.ndarray, parts: int, w
     def run(batches):
         seen, times, (bits, hot_bits) = set(), {}, shared.value
         for _, buf, offs in slices(batches, "_text", SLICE):
-            text, low, high, place, h, sums = anchors(buf, offs, window, gram)
+            text, low, high, place, h, e = anchors(buf, offs, window, gram)
             if not len(text):
                 continue
             nodes, _ = text_nodes(buf, offs)
             keep = _fresh(nodes, seen)[text] & passes(bits, h)
-            text, low, high, place, h = text[keep], low[keep], high[keep], place[keep], h[keep]
-            e = K.mixed(K.span_hashes(sums, low, high + window) + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (high - low).astype(np.uint64))
+            text, low, high, place, h, e = text[keep], low[keep], high[keep], place[keep], h[keep], e[keep]
             rows = np.zeros(len(h), _POST)
             for f, v in (("h", h), ("e", e), ("node", nodes[text]), ("low", low - offs[text]), ("k", high - low + 1), ("at", place - low)):
                 rows[f] = v
@@ -511,13 +523,13 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
                     h.update(text[at:a])
                     at = b
                 h.update(text[at:])
-                out.append((node, int((r[:, 1] - r[:, 0]).sum()), len(r), h.hexdigest()))
+                out.append((node, hashlib.sha256(text).hexdigest(), int((r[:, 1] - r[:, 0]).sum()), len(r), h.hexdigest()))
             if out:
-                yield _record(["node", "_removed", "_spans", "_sha"], [pa.int64(), pa.int64(), pa.int64(), pa.string()], out)
+                yield _record(["node", "sha", "_removed", "_spans", "_sha"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()], out)
 
-    measures = written(runs.mapInArrow(measured, "node long, _removed long, _spans long, _sha string"), "sa-measures")
-    of_node = own.groupBy("node").agg(F.count("*").alias("_copies")).join(measures, "node", "left").where("_copies > 1 or _spans is not null")
-    out = own.join(of_node, "node", "left")
+    measures = written(runs.mapInArrow(measured, "node long, sha string, _removed long, _spans long, _sha string"), "sa-measures")
+    of_text = own.groupBy("node", "sha").agg(F.count("*").alias("_copies")).join(measures, ["node", "sha"], "left").where("_copies > 1 or _spans is not null")
+    out = own.join(of_text, ["node", "sha"], "left")
     gone = (F.col("_copies") > 1) & (F.col("n_bytes") >= window)
     pick = lambda all_, some, none: F.when(gone, all_).otherwise(F.coalesce(some, none))
     return out.select(
@@ -550,19 +562,18 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
     def cleaned(batches):
         for batch in batches:
-            rows = [(x, _whole_characters(t, np.frombuffer(r, "<i8").reshape(-1, 2)).decode("utf-8", "replace")) for x, t, r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            rows = [(x, hashlib.sha256(t).hexdigest(), _whole_characters(t, np.frombuffer(r, "<i8").reshape(-1, 2)).decode("utf-8", "replace")) for x, t, r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             if rows:
-                yield _record(["node", "_new"], [pa.int64(), pa.string()], rows)
-
-    texts = written(runs.mapInArrow(cleaned, "node long, _new string"), "sa-texts")
-    of_node = own.groupBy("node").agg(F.count("*").alias("_copies")).join(texts, "node", "left")
-    gone = (F.col("_copies") > 1) & (F.col("n_bytes") >= window)
-    changed = own.join(of_node, "node").where(gone | F.col("_new").isNotNull())
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_of"), F.when(gone, "").otherwise(F.col("_new")).alias("_new")).dropDuplicates(["_id", "_of"])
-    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
-    out = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_of")), "left")
+                yield _record(["node", "sha", "_new"], [pa.int64(), pa.string(), pa.string()], rows)
+
+    texts = written(runs.mapInArrow(cleaned, "node long, sha string, _new string"), "sa-texts")
+    of_text = own.groupBy("node", "sha").agg(F.count("*").alias("_copies"), F.max("n_bytes").alias("_n")).join(texts, ["node", "sha"], "left")
+    gone = (F.col("_copies") > 1) & (F.col("_n") >= window)
+    changed = of_text.where(gone | F.col("_new").isNotNull()).select(F.col("sha").alias("_of"), F.when(gone, "").otherwise(F.col("_new")).alias("_new"))
+    sha = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("_sha")
+    out = docs.select(carried(docs), sha).join(changed, F.col("_sha") == F.col("_of"), "left")
     out = out.where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("_new", "text")}
+    new = {"text": F.coalesce("_new", "_doc.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_new").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -53,6 +53,39 @@ def test_suffix_dedup(docs, rows):
     assert len(kept[300].text) < len(next(r[1] for r in rows if r[0] == 300)) and kept[300].n_chars == len(kept[300].text)
 
 
+def test_anchors_of_long_texts():
+    buf = np.frombuffer(b" ".join(str(i * i % 977).encode() for i in range(4000)), np.uint8)
+    starts = lambda got: {s: (p, h) for _, a, b, p, h, _ in zip(*(x.tolist() for x in got)) for s in range(a, b + 1)}
+    offs = np.array([0, len(buf)])
+    assert starts(suffix_dedup.anchors(buf, offs)) == starts(suffix_dedup.anchors(buf, offs, segment=1000))
+
+
+def test_texts_longer_than_a_slice(spark):
+    r = np.random.default_rng(8)
+    long_ = [b" ".join(b"%x" % x for x in r.integers(0, 1 << 40, 130_000)) for _ in range(2)]  # some 1.4 MiB each
+    texts = [long_[0], long_[1][:700_000] + long_[0][400_000:400_900] + long_[1][700_000:], long_[0][200_000:200_300] + b" alone"]
+    assert len(texts[0]) > suffix_dedup.SLICE
+    want = {i: x for i, x in enumerate(brute_removed(texts))}
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_digest(df).collect()} == want
+
+
+CLASHES = ["_kept", "_nth", "_id", "_new", "_of", "_sha", "kept", "base_failed", "_doc", "_key", "_row", "size", "_size", "_block", "shards", "copies", "_copy", "_shard", "target", "_text", "node", "sha", "h", "_w"]
+
+
+def test_clashing_columns(spark, rows):
+    """Every name an operator uses itself comes back with the caller's values, and which of equal rows stays doesn't change."""
+    some = [(*r[:2], r[3], *[f"{c}{r[0]}" for c in CLASHES]) for r in rows if r[0] is not None and r[0] < 205]
+    df = spark.createDataFrame(some, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for stage in (quality_rules.kept_documents, jaccard_join.one_of_each, suffix_dedup.deduplicated, mixing.mixed_documents):
+        out = stage(df)
+        got = out.collect()
+        assert out.columns == df.columns and got, stage
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES), stage
+    twice = spark.createDataFrame([(1, "the same text of some words here", x) for x in "cab"], "doc_id long, text string, more string")
+    assert {jaccard_join.one_of_each(twice.repartition(n, F.lit(n), "more")).first().more for n in (1, 2, 3)} == {jaccard_join.one_of_each(twice).first().more}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=8, max_size=60), min_size=1, max_size=6), st.sampled_from([8, 16, 11]))
 def test_prefix_free_parsing(texts, window):
@@ -81,7 +114,7 @@ def test_quality_rules(docs, rows):
         assert all(x[5] == base and not (base and x[6]) for x in got[r[0]])
     assert got[0][0][6] and not got[408][0][6] and not got[409][0][6]
     kept = quality_rules.kept_documents(docs)
-    assert kept.count() and kept.columns == [c for c in docs.columns if c != "kept"]
+    assert kept.count() and kept.columns == docs.columns and kept.first()["kept"] == "k"
     assert quality_rules.quality_digest(docs.limit(0)).count() == 0
 
 
