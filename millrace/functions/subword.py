@@ -1,8 +1,9 @@
 """Trained subword vocabularies: byte-pair encoding, word pieces, greedy longest match.
 
-Counting is distributed. learnt_bpe and learnt_wordpiece train on all different words, which stay in Spark: a round counts
-their symbols and pairs there, and only the best pair, or the table of pairs, comes to the driver. train_bpe and
-train_wordpiece do the same over a table of words on the driver.
+Counting is distributed. learnt_bpe and learnt_wordpiece train on all different words, which stay in Spark: their symbols and
+pairs are counted there once, and after a merge only the words that hold it are counted again. The counts of pairs, a table
+of the size of the alphabet's square at most, come to the driver. train_bpe and train_wordpiece do the same over a table
+of words on the driver.
 Encoding runs in pandas UDFs over distinct words' caches."""
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import adjacent_pairs, by_space
+from millrace.functions.text import adjacent_pairs, bound, by_space
+from millrace.sources.shared import dropped, written
 
 END = "</w>"
 UNKNOWN = "[UNK]"
@@ -77,55 +79,107 @@ def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
     return out
 
 
-CUT = 8  # merges between checkpoints of the words
+CUT = 16  # merges after which the words are written anew
 
 
 def _spelled(words: DataFrame, *end: str) -> DataFrame:
-    """(s, n): the symbols of (word, n) between spaces, which no word has."""
+    """(w, s, n), written: the word, its symbols between spaces, which no word has, and its count, for (word, n)."""
     symbols = F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.array(*[F.lit(e) for e in end]).cast("array<string>"))
-    return words.select(F.concat(F.lit(" "), F.array_join(symbols, " "), F.lit(" ")).alias("s"), "n").localCheckpoint()
+    return written(words.select(F.array_join(symbols, "").alias("w"), F.concat(F.lit(" "), F.array_join(symbols, " "), F.lit(" ")).alias("s"), "n"), "words")
 
 
-def _spelled_symbols() -> Column:
-    return F.filter(F.split("s", " "), lambda c: c != "")
+def _met(s: Column, weight: Column, singles: bool) -> Column:
+    """(l, r, w) of each pair of neighbouring symbols of s, and of each symbol alone (r is null)."""
+    symbols = F.filter(F.split(s, " "), lambda c: c != "")
+    pairs = F.transform(adjacent_pairs(symbols), lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"), weight.alias("w")))
+    alone = F.transform(symbols, lambda c: F.struct(c.alias("l"), F.lit(None).cast("string").alias("r"), weight.alias("w")))
+    return F.concat(pairs, alone) if singles else pairs
 
 
-def _respelled(state: DataFrame, pair: tuple[str, str], at: int) -> DataFrame:
-    """The words with the pair made one symbol; at counts the merges so far."""
+def _rejoined(s: Column, pair: tuple[str, str]) -> Column:
     joined = "".join(pair).replace("\\", r"\\").replace("$", r"\$")
-    state = state.withColumn("s", F.regexp_replace("s", f"(?<= ){re.escape(pair[0])} {re.escape(pair[1])}(?= )", joined))
-    return state.localCheckpoint() if at % CUT == 0 else state
+    return F.regexp_replace(s, f"(?<= ){re.escape(pair[0])} {re.escape(pair[1])}(?= )", joined)
+
+
+class _Training:
+    """The words of a training, spelled as after the merges up to the last writing, those since, and the counts of symbols and pairs."""
+
+    def __init__(self, words: DataFrame, weighted: bool, *end: str) -> None:
+        self.table = _spelled(words, *end)
+        self.weight = F.col("n") if weighted else F.lit(1).cast("long")
+        self.singles, self.since = not weighted, []
+        self.counts: Counter = Counter()
+        self._count(self.table.select(F.explode(_met(F.col("s"), self.weight, self.singles)).alias("x")))
+
+    def _count(self, found: DataFrame) -> None:
+        for x in found.groupBy("x.l", "x.r").agg(F.sum("x.w").alias("w")).collect():
+            self.counts[x["l"], x["r"]] += x["w"]
+
+    def _now(self, s: Column, pairs: list[tuple[str, str]]) -> Column:
+        for p in pairs:
+            s = _rejoined(s, p)
+        return s
+
+    def merge(self, pairs: list[tuple[str, str]]) -> None:
+        """Make each of the pairs, which share no symbol, one symbol."""
+        held = F.lit(False)
+        for a, b in pairs:
+            held = held | F.col("w").contains(a + b)  # only these words can hold the pair
+        met = lambda s, w: _met(s, w, self.singles)
+        change = bound(self._now(F.col("s"), self.since), lambda old: bound(self._now(old, pairs), lambda new: F.when(old != new, F.concat(met(old, -self.weight), met(new, self.weight)))))
+        self._count(self.table.where(held).select(F.explode(change).alias("x")))
+        for p in pairs:
+            self.counts.pop(p, None)
+        self.since += pairs
+        if len(self.since) >= CUT:
+            old, self.table = self.table, written(self.table.withColumn("s", self._now(F.col("s"), self.since)), "words")
+            self.since = []
+            dropped(old)
+
+
+def next_merges(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str, str]]:
+    """The most frequent pairs in the order of single merges, as far as these can't change it: they share no symbol with
+    one before, and occur more often than each pair that does."""
+    order = sorted((p for p, n in pairs.items() if n > 0), key=lambda p: (-pairs[p], p))
+    out, used = order[:1], set(order[0]) if order else set()
+    for p in order[1:]:
+        touched = any(x in used for x in p)
+        if len(out) == most or touched:
+            break
+        # A tie with a pair that shares a symbol could turn on the new symbols.
+        if any(pairs[q] == pairs[p] and any(x in used for x in q) for q in order[len(out) :] if pairs[q] >= pairs[p]):
+            break
+        out.append(p)
+        used |= set(p)
+    return out
 
 
 def learnt_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
     """train_bpe over all (word, n)."""
-    state, out = _spelled(words, END), []
+    state, out = _Training(words, True, END), []
     while len(out) < merges:
-        pairs = state.select("n", F.explode(adjacent_pairs(_spelled_symbols())).alias("p")).groupBy("p.l", "p.r").agg(F.sum("n").alias("n"))
-        best = pairs.orderBy(F.col("n").desc(), "l", "r").limit(1).collect()
+        best = next_merges(state.counts, min(merges - len(out), CUT))
         if not best:
             break
-        out.append((best[0]["l"], best[0]["r"]))
-        state = _respelled(state, out[-1], len(out))
+        out += best
+        state.merge(best)
+    dropped(state.table)
     return out
 
 
 def learnt_wordpiece(words: DataFrame, size: int) -> set[str]:
     """train_wordpiece over all different (word, n); the base vocabulary is every character of them."""
-    state, vocab, merges = _spelled(words), set(), 0
-    while not vocab or len(vocab) < size:
-        symbols = _spelled_symbols()
-        alone = F.transform(symbols, lambda c: F.struct(c.alias("l"), F.lit(None).cast("string").alias("r")))
-        met = state.select(F.explode(F.concat(alone, adjacent_pairs(symbols))).alias("p")).groupBy("p.l", "p.r").count().collect()
-        single = {x["l"]: x["count"] for x in met if x["r"] is None}
-        pairs = {(x["l"], x["r"]): x["count"] for x in met if x["r"] is not None}
-        vocab = vocab or set(single)
-        if not pairs or len(vocab) >= size:
+    state = _Training(words, False)
+    vocab = {l for (l, r), n in state.counts.items() if r is None and n > 0}
+    while len(vocab) < size:
+        single = {l: n for (l, r), n in state.counts.items() if r is None}
+        pairs = {p: n for p, n in state.counts.items() if p[1] is not None and n > 0}
+        if not pairs:
             break
         best = min(pairs, key=lambda p: (-pairs[p] / (single[p[0]] * single[p[1]]), p))
         vocab.add(best[0] + best[1])
-        merges += 1
-        state = _respelled(state, best, merges)
+        state.merge([best])
+    dropped(state.table)
     return vocab
 
 

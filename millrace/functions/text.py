@@ -10,6 +10,11 @@ WORD_OR_MARK = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 MARKS = r"([,.:;?_!\"()']|--|\s)"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def by_space(c: Column) -> Column:
     """Tokens between white space."""
     return F.filter(F.split(c, r"\s+"), lambda t: t != "")
@@ -52,12 +57,14 @@ def solid_characters(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int, separator: str = " ") -> Column:
-    """Runs of n tokens, joined; an empty array where there are fewer."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), separator))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens, joined; an empty array where there are fewer. Each run takes its tokens by place: a slice would copy the list."""
+    none = F.array().cast("array<string>")
+    runs = lambda ts: F.when(F.size(ts) >= n, F.transform(F.sequence(F.lit(0), F.size(ts) - n), lambda i: F.concat_ws(separator, *[F.get(ts, i + k) for k in range(n)]))).otherwise(none)
+    return F.when(tokens.isNotNull(), bound(tokens, runs)).otherwise(none)
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return ngrams(characters(c), n, "")
 
 
 def utf8_bytes(c: Column) -> Column:
@@ -83,7 +90,7 @@ def paragraphs(c: Column) -> Column:
 
 def adjacent_pairs(tokens: Column) -> Column:
     """(l, r) of neighbouring tokens."""
-    return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("l"), F.get(tokens, i + 1).alias("r")))
+    return bound(tokens, lambda ts: F.transform(F.slice(ts, F.lit(1), F.greatest(F.size(ts) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("l"), F.get(ts, i + 1).alias("r"))))
 
 
 def speaker_turns(c: Column) -> Column:

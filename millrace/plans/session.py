@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "millrace", cores: int = 8, shuffle: int | None = None, memory: str = "8g") -> SparkSession:
@@ -20,3 +20,9 @@ def local_session(name: str = "millrace", cores: int = 8, shuffle: int | None =
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where its scan has few partitions, as a small file of one row group; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 1 < cores and df.rdd.getNumPartitions() < 4 * cores else df

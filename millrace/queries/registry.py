@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from millrace.plans.session import spread
+
+TEXTS = {"documents"}  # tables whose queries are bound by what they do with a row
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
@@ -13,7 +16,11 @@ def query(sql: str | None = None):
 
     def add(f: Callable) -> Callable:
         def run(spark, sf_dir):
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+            def table(name):
+                df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                return spread(df) if name in TEXTS else df
+
+            return f(table, spark)
 
         QUERIES[f.__name__] = run
         if sql:
