@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,76 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from millrace.sources.shared import cleared, dropped, shared_dir, tables, written  # noqa: F401
+
 #: The word separators of every contract here: space and the five ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-_tables: list[str] = []  # what written() has made and nobody has dropped
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, as in tests;
-    on a cluster that is an error, since executors would write to their own disks."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        at = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
-
-    The shuffle files of the writing plan go with it: nothing reads them once the table is complete."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None) if spark.conf.isModifiable(CLEANUP) else ""
-    if before != "":
-        spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        if before is not None and before != "":
-            spark.conf.set(CLEANUP, before)
-        elif before is None:
-            spark.conf.unset(CLEANUP)
-    _tables.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
-
-
-def dropped(table: DataFrame) -> None:
-    """Delete a table of written() that a later one has replaced."""
-    _delete(table.sparkSession, table.shared_path)
-
-
-def tables() -> int:
-    """A mark for cleared(): the number of tables so far."""
-    return len(_tables)
-
-
-def cleared(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Delete the tables that were written since the mark, but not keep."""
-    for path in _tables[mark:]:
-        if path != keep.shared_path:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _tables:
-        _tables.remove(path)
-
-
 def _hashable(t: DataType) -> bool:
     if isinstance(t, (MapType, VariantType)):
         return False
