@@ -2,7 +2,7 @@
 
 Documents are sorted by doc_id over range partitions; each partition writes shards of about SHARD ids. In a shard the most
 frequent pair of neighbouring symbols becomes a nonterminal, counts are updated, and so on until no pair occurs LEAST times
-without overlap, which is what its rule costs. A round takes all pairs that occur more than half as often as the most
+without overlap, which is what its rule costs. A round takes all pairs that occur more than a quarter as often as the most
 frequent one, each where it outranks the pairs that overlap it; counts are exact and taken anew after it, over the places whose pair
 is still frequent. Rules and expansion lengths are stored, and the number of ids before every MARK-th symbol, so any range of ids
 decodes without the rest. Shards are rows with a binary payload in Parquet files, so any store that Spark writes to will do.
@@ -31,78 +31,90 @@ from millrace.llm.common import int_parts, slices, written
 from millrace.llm.tokens import default_path, encoder
 
 END = 2
-SHARD = 1 << 20
+SHARD = 1 << 18
 LEAST = 5  # a rule of two 16-bit symbols and a length costs what four occurrences save
+SHARE = 4  # a round takes the pairs of more than 1 / SHARE of the greatest count
 MARK = 1024
 MAGIC = b"MRP2"
 
 
-def _by_pair(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, group of each, first of each group): the places at with those of equal pairs together."""
-    bits = int(seq.max()).bit_length()
-    low = len(seq).bit_length()
-    key = (seq[at].astype(np.uint64) << np.uint64(bits)) | seq[at + 1]
+    bits, low = symbols.bit_length(), places.bit_length()
+    key = (left.astype(np.uint64) << np.uint64(bits)) | right
     if 2 * bits + low <= 64:  # place and pair in one number: a plain sort does it
-        both = np.sort((key << np.uint64(low)) | at.astype(np.uint64))
-        key, at = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+        key <<= np.uint64(low)
+        key |= at.astype(np.uint64)
+        key.sort()
+        at = (key & np.uint64((1 << low) - 1)).astype(np.int32)
+        key >>= np.uint64(low)
     else:
         o = np.argsort(key, kind="stable")
         key, at = key[o], at[o]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    return at, np.cumsum(new) - 1, np.flatnonzero(new)
+    return at, np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
 
 
 def re_pair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules (n, 2)): the sequence and its rules when no pair occurs least times without overlap."""
-    seq, rules, made = ids.astype(np.uint32), [], 0
-    live = np.ones(len(seq), bool)  # places whose pair may be frequent: others' pairs never become so again
-    while len(seq) > 1:
-        live[-1] = False
-        at, group, first = _by_pair(seq, np.flatnonzero(live))
+    """(symbols, rules (n, 2)): the sequence and its rules when no pair occurs least times without overlap.
+
+    The symbols are a linked list over the places of the ids; a round touches only places whose pair is still frequent."""
+    n = len(ids)
+    seq = np.append(ids, 0).astype(np.uint32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    before[0] = n  # the end is its own neighbour and never starts a pair
+    rank, gone = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
+    rules, made, live = [], 0, np.arange(max(n - 1, 0), dtype=np.int32)
+    while len(live):
+        at, group, first = _by_pair(seq[live], seq[after[live]], live, base + made, n)
         count = np.diff(np.append(first, len(at)))
         often = count >= least
-        live[at[~often[group]]] = False
-        if not often.any():
+        keep = often[group]
+        live = at[keep]
+        if not len(live):
             break
-        some = np.flatnonzero(often & (count > count.max() // 2))
-        # Ranks order the round's pairs by count, then by symbols; zero where no pair of the round starts.
+        some = np.flatnonzero(often & (count > count.max() // SHARE))
+        # Ranks order the round's pairs by count, then by symbols.
         by = some[np.lexsort((-some, count[some]))]
         rank_of = np.zeros(len(first), np.int32)
         rank_of[by] = np.arange(1, len(by) + 1)
-        rank = np.zeros(len(seq) + 1, np.int32)
-        rank[at] = rank_of[group]
-        place = np.flatnonzero(rank)
-        mine, left, right = rank[place], rank[place - 1], rank[place + 1]  # rank[-1] is zero
+        mine = rank_of[group]
+        place, mine = at[mine > 0], mine[mine > 0]
+        rank[place] = mine
         # A run of one pair over itself (as in aaaa) is taken at every second place.
-        head = (left != mine) | (place == 0)
-        run = place - place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
-        even = run % 2 == 0
-        pick = even & (left <= mine) & (right <= mine)
+        even = np.ones(len(place), bool)
+        twin = np.flatnonzero(seq[place] == seq[after[place]])
+        if len(twin):
+            twin = twin[np.argsort(place[twin])]
+            head = np.append(True, (after[place[twin[:-1]]] != place[twin[1:]]) | (mine[twin[1:]] != mine[twin[:-1]]))
+            even[twin] = (np.arange(len(twin)) - np.maximum.accumulate(np.where(head, np.arange(len(twin)), 0))) % 2 == 0
+        pick = even & (rank[before[place]] <= mine) & (rank[after[place]] <= mine)
+        rank[place] = 0
         taken = np.bincount(mine[pick], minlength=len(by) + 1)
         pick &= taken[mine] >= least
         if not pick.any():  # overlaps alone make these so frequent
             alone = np.bincount(mine[even], minlength=len(by) + 1)
-            live[place[alone[mine] < least]] = False
+            live = live[~np.isin(live, place[alone[mine] < least])]
             continue
         to, used = place[pick], np.flatnonzero(taken >= least)
         used = used[used > 0][::-1]  # most frequent first
         number = np.zeros(len(by) + 1, np.uint32)
         number[used] = base + made + np.arange(len(used))
         where = at[first[by[used - 1]]]
-        rules.append(np.stack([seq[where], seq[where + 1]], 1))
+        rules.append(np.stack([seq[where], seq[after[where]]], 1))
         made += len(used)
         seq[to] = number[mine[pick]]
-        live[to] = True
-        live[np.maximum(to - 1, 0)] = True
-        keep = np.ones(len(seq), bool)
-        keep[to + 1] = False
-        # What stands before a pair may be the end of another that goes: its new symbol starts a place earlier.
-        back = to[(to > 1)]
-        back = back[~keep[back - 1]] - 2
-        live[back] = True
-        seq, live = seq[keep], live[keep]
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        second = after[to]
+        gone[second] = True
+        after[to] = third = after[second]
+        before[third] = to
+        # The new symbols make pairs with both their neighbours.
+        live = np.concatenate([live, to, before[to]])
+        live.sort()
+        live = live[np.append(True, live[1:] != live[:-1])]
+        live = live[~gone[live] & (live < n) & (after[live] < n)]
+    return seq[:n][~gone[:n]], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
