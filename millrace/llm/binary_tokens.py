@@ -2,7 +2,7 @@
 
 Documents are sorted by doc_id over range partitions; each partition writes shards of about SHARD ids. In a shard the most
 frequent pair of neighbouring symbols becomes a nonterminal, counts are updated, and so on until no pair occurs LEAST times
-without overlap, which is what its rule costs. A round takes all pairs that occur more than a quarter as often as the most
+without overlap, which is what its rule costs. A round takes all pairs that occur more than a sixteenth as often as the most
 frequent one, each where it outranks the pairs that overlap it; counts are exact and taken anew after it, over the places whose pair
 is still frequent. Rules and expansion lengths are stored, and the number of ids before every MARK-th symbol, so any range of ids
 decodes without the rest. Shards are rows with a binary payload in Parquet files, so any store that Spark writes to will do.
@@ -33,7 +33,7 @@ from millrace.llm.tokens import default_path, encoder
 END = 2
 SHARD = 1 << 18
 LEAST = 5  # a rule of two 16-bit symbols and a length costs what four occurrences save
-SHARE = 4  # a round takes the pairs of more than 1 / SHARE of the greatest count
+SHARE = 16  # a round takes the pairs of more than 1 / SHARE of the greatest count
 MARK = 1024
 MAGIC = b"MRP2"
 
