@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccard_join, mixing, packing, quality_rules, suffix_dedup
-from millrace.llm.common import written
+from millrace.llm.common import cleared, tables, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = tables()
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        cleared(spark, before, docs)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
