@@ -196,7 +196,7 @@ def test_descent_settles(spark):
     assert changed(ann.written(ann.descended(packed, first, parts), "test")) > 2 * ann.SETTLED * n * ann.DEGREE  # one pass isn't enough
     graph = ann.settled(packed, first, n, parts)
     assert changed(graph) <= ann.SETTLED * n * ann.DEGREE
-    e = ann._edges({1: [(None, r.blob) for r in graph.collect()]}, 1)
+    e = ann._edges({1: [(None, r.blob) for r in graph.where("kind = 1").collect()]}, 1)
     near = defaultdict(set)
     for u, v in zip(e["u"].tolist(), e["v"].tolist()):
         near[u].add(v)
