@@ -1,9 +1,9 @@
 """Trained subword vocabularies: byte-pair encoding, word pieces, greedy longest match.
 
-Counting is distributed. learnt_bpe and learnt_wordpiece train on all different words, which stay in Spark: their symbols and
-pairs are counted there once, and after a merge only the words that hold it are counted again. The counts of pairs, a table
-of the size of the alphabet's square at most, come to the driver. train_bpe and train_wordpiece do the same over a table
-of words on the driver.
+Counting words is distributed. learnt_bpe and learnt_wordpiece train on all different words. Up to HELD of them, counted before,
+the words themselves come to the driver (train_bpe, train_wordpiece). Beyond that they stay in Spark: their symbols and pairs are
+counted there once, after a merge only the words that hold it are counted again, and the counts of pairs, a table of the size of
+the alphabet's square at most, come to the driver. Both ways count alike and give the same vocabulary.
 Encoding runs in pandas UDFs over distinct words' caches."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,35 +51,67 @@ def _joined(symbols: tuple[str, ...], pair: tuple[str, str]) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Held:
+    """Spelled words as one array of symbol numbers, each word followed by -1, and the weight of each place."""
+
+    def __init__(self, forms: list[tuple[str, ...]], weights: list[int]) -> None:
+        self.names = sorted({t for f in forms for t in f})
+        self.number = {t: i for i, t in enumerate(self.names)}
+        self.at = np.fromiter((i for f in forms for i in (*map(self.number.__getitem__, f), -1)), np.int64)
+        self.weight = np.repeat(np.asarray(weights, np.float64), [len(f) + 1 for f in forms])
+
+    def singles(self) -> np.ndarray:
+        """The weight of each symbol."""
+        real = self.at >= 0
+        return np.bincount(self.at[real], self.weight[real], len(self.names))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, weight) of the different pairs of neighbours."""
+        real, n = (self.at[:-1] >= 0) & (self.at[1:] >= 0), len(self.names)
+        key, weight = self.at[:-1][real] * n + self.at[1:][real], self.weight[:-1][real]
+        if n <= 4096:
+            total = np.bincount(key, weight, n * n)
+            key = np.flatnonzero(total)
+            total = total[key]
+        else:
+            key, place = np.unique(key, return_inverse=True)
+            total = np.bincount(place, weight, len(key))
+        return key // n, key % n, total
+
+    def best(self, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> tuple[str, str]:
+        """The pair of the highest score, ties by symbols."""
+        top = np.flatnonzero(score == score.max())
+        return min((self.names[left[i]], self.names[right[i]]) for i in top)
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        """Make each occurrence of the pair, from the left, one symbol."""
+        joined = "".join(pair)
+        if joined not in self.number:
+            self.number[joined] = len(self.names)
+            self.names.append(joined)
+        l, r = (self.number[t] for t in pair)
+        hits = np.flatnonzero((self.at[:-1] == l) & (self.at[1:] == r))
+        if l == r:  # of a run of equal symbols every other place
+            place = np.arange(len(hits))
+            opens = np.diff(hits, prepend=-2) > 1
+            hits = hits[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]
+        self.at[hits] = self.number[joined]
+        self.at, self.weight = np.delete(self.at, hits + 1), np.delete(self.weight, hits + 1)
+
+
 def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
-    """Up to that many merges, most frequent pair first, ties by the pair's symbols. Only words with the pair are counted again."""
-    forms = {w: (*w, END) for w in words}
-    counts: Counter = Counter()
-    where: dict[tuple, set] = {}
-
-    def add(w: str, sign: int) -> None:
-        s = forms[w]
-        for p in zip(s, s[1:]):
-            counts[p] += sign * words[w]
-            where.setdefault(p, set()).add(w)
-
-    for w in forms:
-        add(w, 1)
-    out = []
+    """Up to that many merges, most frequent pair first, ties by the pair's symbols."""
+    state, out = _Held([(*w, END) for w in words], list(words.values())), []
     while len(out) < merges:
-        live = [(n, p) for p, n in counts.items() if n > 0]
-        if not live:
+        left, right, n = state.pairs()
+        if not len(n):
             break
-        best = min(live, key=lambda x: (-x[0], x[1]))[1]
-        out.append(best)
-        for w in list(where.get(best, ())):
-            add(w, -1)
-            forms[w] = _joined(forms[w], best)
-            add(w, 1)
-        counts.pop(best, None)
+        out.append(state.best(left, right, n))
+        state.merge(out[-1])
     return out
 
 
+HELD = 1_000_000  # most words that train on the driver
 CUT = 16  # merges after which the words are written anew
 
 
@@ -154,8 +187,18 @@ def next_merges(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str,
     return out
 
 
-def learnt_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
-    """train_bpe over all (word, n)."""
+def _few(words: DataFrame, most: int) -> tuple[DataFrame, dict[str, int] | None]:
+    """(words written, the same as a dictionary where they are no more than most)."""
+    table = written(words.select("word", "n"), "words")
+    return table, {r["word"]: r["n"] for r in table.collect()} if table.count() <= most else None
+
+
+def learnt_bpe(words: DataFrame, merges: int, held: int = HELD) -> list[tuple[str, str]]:
+    """train_bpe over all (word, n), on the driver up to that many words."""
+    words, few = _few(words, held)
+    if few is not None:
+        dropped(words)
+        return train_bpe(few, merges)
     state, out = _Training(words, True, END), []
     while len(out) < merges:
         best = next_merges(state.counts, min(merges - len(out), CUT))
@@ -164,11 +207,16 @@ def learnt_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
         out += best
         state.merge(best)
     dropped(state.table)
+    dropped(words)
     return out
 
 
-def learnt_wordpiece(words: DataFrame, size: int) -> set[str]:
-    """train_wordpiece over all different (word, n); the base vocabulary is every character of them."""
+def learnt_wordpiece(words: DataFrame, size: int, held: int = HELD) -> set[str]:
+    """train_wordpiece over all different (word, n), on the driver up to that many; the base vocabulary is every character of them."""
+    words, few = _few(words, held)
+    if few is not None:
+        dropped(words)
+        return train_wordpiece(list(few), size)
     state = _Training(words, False)
     vocab = {l for (l, r), n in state.counts.items() if r is None and n > 0}
     while len(vocab) < size:
@@ -180,6 +228,7 @@ def learnt_wordpiece(words: DataFrame, size: int) -> set[str]:
         vocab.add(best[0] + best[1])
         state.merge([best])
     dropped(state.table)
+    dropped(words)
     return vocab
 
 
@@ -194,17 +243,17 @@ def bpe_symbols(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 def train_wordpiece(words: list[str], size: int) -> set[str]:
-    """Characters, then joins by count of the pair over the product of its parts' counts, ties by symbols, up to size."""
-    corpus = [tuple(w) for w in words]
-    vocab = {c for w in corpus for c in w}
+    """Characters of different words, then joins by count of the pair over the product of its parts' counts, ties by symbols, up to size."""
+    state = _Held([tuple(w) for w in words], [1] * len(words))
+    vocab = {c for w in words for c in w}
     while len(vocab) < size:
-        single = Counter(t for w in corpus for t in w)
-        pairs = Counter(p for w in corpus for p in zip(w, w[1:]))
-        if not pairs:
+        left, right, n = state.pairs()
+        if not len(n):
             break
-        best = min(pairs, key=lambda p: (-pairs[p] / (single[p[0]] * single[p[1]]), p))
-        vocab.add(best[0] + best[1])
-        corpus = [_joined(w, best) for w in corpus]
+        single = state.singles()
+        best = state.best(left, right, n / (single[left] * single[right]))
+        vocab.add("".join(best))
+        state.merge(best)
     return vocab
 
 
