@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
-    from millrace.queries import agents, relational, texts, vectors  # noqa: F401
+    from millrace.queries import agents, relational, surfaces, texts, vectors  # noqa: F401
 
     return dict(QUERIES)
 

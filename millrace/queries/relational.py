@@ -452,7 +452,7 @@ def nth_rows(t, spark):
     return sets.every_nth(t("part"), "p_partkey", 100).select("p_partkey")
 
 
-@query()
+@query("SELECT p_partkey, (['easy', 'medium', 'hard'])[1 + ('0x' || left(md5(p_partkey::VARCHAR), 8))::BIGINT % 3] AS level FROM part")
 def sampled_category(t, spark):
     return t("part").select("p_partkey", sets.category(F.col("p_partkey"), ["easy", "medium", "hard"]).alias("level"))
 

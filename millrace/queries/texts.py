@@ -92,7 +92,8 @@ def word_counts(t, spark):
     return t("documents").select("doc_id", text.word_count(F.col("text")).alias("n"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\t-\r ]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents)
+SELECT doc_id, unnest(range(0, len(s)))::INT AS sentence, unnest(s) AS text FROM p""")
 def sent_split(t, spark):
     return t("documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text"))
 
@@ -215,12 +216,14 @@ def export_trees(c):
     return c.groupBy("conv_id").agg(F.map_from_entries(F.transform(rows, entry)).alias("mapping")).withColumn("id", F.col("conv_id").cast("string"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT conv_id, turn, role, text AS q, lead(role, 1) OVER w AS r1, lead(text, 1) OVER w AS t1, lead(role, 2) OVER w AS r2, lead(text, 2) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+a AS (SELECT conv_id, turn, q, CASE WHEN r1 = 'assistant' AND regexp_matches(t1, '[^\t-\r ]') THEN t1 WHEN r2 = 'assistant' AND regexp_matches(t2, '[^\t-\r ]') THEN t2 END AS answer FROM c WHERE role = 'user' AND regexp_matches(q, '[^\t-\r ]'))
+SELECT q AS instruction, answer AS output, CASE WHEN conv_id % 5 > 0 THEN conv_id::VARCHAR ELSE 'unknown' END AS conversation_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS session_id FROM a WHERE answer IS NOT NULL""")
 def tree_walk(t, spark):
     return nested.question_answers(export_trees(t("conversations")))
 
 
-@query()
+@query("""SELECT conv_id, sum(CASE role WHEN 'assistant' THEN 3 ELSE 1 END)::INT AS n, string_agg(CASE role WHEN 'assistant' THEN 'assistant tool assistant' ELSE 'user' END, ' ' ORDER BY turn) AS roles, true AS well_formed FROM conversations GROUP BY 1""")
 def tool_format(t, spark):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     call = F.lit('{"name": "lookup", "arguments": {"k": 1}}')

@@ -47,7 +47,9 @@ def mean_pool(t, spark):
     return vectors.mean_pooled(t("embeddings"), "label", "embedding", 4).select("label", F.posexplode("pooled").alias("i", "m"))
 
 
-@query()
+@query(f"""WITH u AS ({_U}), h AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_C} DESC, r.vec_id)::INT AS rank FROM u q, u r WHERE q.vec_id % 100 = 0),
+c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN benchmark ON vec_id % (SELECT count(*) FROM benchmark) = item_id WHERE rank <= 3 GROUP BY 1)
+SELECT e.vec_id AS query_id, 'Context:' || chr(10) || coalesce(nullif(context, ''), 'No context available for query: query ' || e.vec_id) || chr(10) || chr(10) || 'Question: query ' || e.vec_id || chr(10) || 'Answer:' AS prompt FROM embeddings e LEFT JOIN c ON e.vec_id = c.query_id WHERE e.vec_id % 50 = 0""")
 def rag_prompts(t, spark):
     e, b = t("embeddings"), t("benchmark")
     hits = vectors.cosine_top(e, e.where("vec_id % 100 = 0"), 3)
@@ -59,7 +61,8 @@ def rag_prompts(t, spark):
     return asked.join(ctx, "query_id", "left").select("query_id", vectors.prompt(F.col("q"), F.col("context")).alias("prompt"))
 
 
-@query()
+@query("""SELECT vec_id, j::INT AS i, round(list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * CASE WHEN (i + j) % 7 = 0 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END)), 5) + 0.0 AS x
+FROM (SELECT vec_id, embedding, unnest(range(0, 8)) AS j FROM embeddings)""")
 def projected(t, spark):
     weights = [[(1.0 if (i + j) % 7 == 0 else -0.5) for i in range(64)] for j in range(8)]
     return t("embeddings").select("vec_id", F.transform(vectors.projection(weights)(F.col("embedding")), lambda x: F.round(x, 5) + 0.0).alias("p")).select("vec_id", F.posexplode("p").alias("i", "x"))

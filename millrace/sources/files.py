@@ -72,7 +72,7 @@ def write_csv(df: DataFrame, path: str, index: Column | None = None) -> None:
     """CSV with a header; with index (an order) the first column is an unnamed row number from 0."""
     if index is not None:
         df = df.select((F.row_number().over(W.orderBy(index)) - 1).alias("Unnamed: 0"), "*")
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
