@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import metrics
@@ -83,7 +84,10 @@ def optimistic_update(t, spark):
     return state.optimistic(table, updates, "k", NOW)[1].select("k", "expected_version", "problem")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT user_id AS k, epoch(ts) AS ts, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT k, i, 1 AS version, ts AS created, status FROM w WHERE i = 1
+UNION ALL SELECT w.k, w.i, CASE WHEN w.ts - f.created < 86400 THEN f.version + 1 ELSE 1 END, CASE WHEN w.ts - f.created < 86400 THEN f.created ELSE w.ts END, w.status FROM f JOIN w ON w.k = f.k AND w.i = f.i + 1)
+SELECT k, arg_max(version, i)::INT AS version, arg_max(status, i) AS status FROM f GROUP BY 1""")
 def versioned_state(t, spark):
     w = t("events").select(F.col("user_id").alias("k"), F.col("event_id").alias("o"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_type").alias("status"))
     return state.versioned(w, "k", "o", 86400.0).select("k", "version", "status")
@@ -138,5 +142,6 @@ def swarm_metrics(t, spark):
 
 @query()
 def rouge_scores(t, spark):
-    c = t("conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", metrics.rouge(F.col("text"), F.substring("text", 20, 200)).alias("r")).select("conv_id", "turn", "r.*")
+    """Each answer against the turn before it, both whole."""
+    c = t("conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("role = 'assistant'")
+    return c.select("conv_id", "turn", metrics.rouge(F.col("text"), F.col("before")).alias("r")).select("conv_id", "turn", "r.*")
