@@ -274,7 +274,7 @@ def test_conflicts_of_all_events(spark):
 
     rows = [(1, 0, "a"), (900_040, 0, "x"), (1_000_040, 1, "y")]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
-    assert [tuple(r) for r in relational.conflict_pairs_all(lambda name: df, spark).select("target", "agent_a", "action_a", "agent_b", "action_b").collect()] == [(0, 0, "x", 1, "y")]
+    assert [tuple(r) for r in relational.conflict_pairs(lambda name: df, spark).select("target", "agent_a", "action_a", "agent_b", "action_b").collect()] == [(0, 0, "x", 1, "y")]
 
 
 def test_markdown(spark):
