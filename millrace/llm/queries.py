@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, binary_tokens, chat_format, jaccard_join, lm_scoring, mixing, packing, quality_crf, quality_rules, suffix_dedup
+from millrace.llm import ann, binary_tokens, chat_format, jaccard_join, lm_scoring, merkle, mixing, packing, quality_crf, quality_rules, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.binary_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
