@@ -80,7 +80,7 @@ def test_very_long_text(spark):
     assert found(spark.createDataFrame(rows, FIELDS)) == brute(rows)
 
 
-def test_tampering_shows_only_where_letters_change(docs):
-    got = merkle.manifest_digest(docs).collect()
-    assert any(not r.verified for r in got) and any(r.verified and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
-    assert all(r.verified for r in got if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5)
+def test_tampering_shows_only_where_letters_change(spark):
+    rows = [(i, "s", "en", 1, ("Has Capitals", "none here", None)[i % 3]) for i in range(60)]
+    got = {r.doc_id: r.verified for r in merkle.manifest_digest(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == {r[0]: not (zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[0] % 3 == 0) for r in rows} and False in got.values()
