@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, binary_tokens, byte_pairs, chat_format, jaccard_join, lm_scoring, merkle, mixing, packing, quality_crf, quality_rules, suffix_dedup
+from millrace.llm import ann, binary_tokens, byte_pairs, chat_format, jaccard_join, lm_scoring, merkle, mixing, packing, quality_crf, quality_rules, spelling, suffix_dedup
 from millrace.plans.session import spread
 
 
@@ -64,6 +64,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.round_trip_digest(spread(table(spark, sf_dir, "documents")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spread(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
