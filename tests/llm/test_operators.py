@@ -291,24 +291,73 @@ def test_lm_keeps_all_bigrams(spark):
     assert got[own[0]] > got[own[1]] + 0.1
 
 
-def test_segment_grows_with_items():
-    h = {n: np.random.default_rng(n).integers(0, 2**56, 200_000 * n).astype(np.uint64) for n in (1, 2)}
-    f = lm_scoring.segment({n: (x, np.ones(len(x), np.uint64)) for n, x in h.items()})
-    assert f.size == lm_scoring.BITS * 600_000 and all((f.level(x, n) >= 1).all() and (f.level(x, n) == 1).mean() > 0.97 for n, x in h.items())
-
-
-def test_bloom_levels():
-    h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    q = np.random.default_rng(2).integers(1, 12, 3000)
-    bits = np.zeros(lm_scoring.BUCKETS * lm_scoring.SEGMENT, bool)
-    for level in range(1, 13):
-        x = h[q >= level]
-        for p in range(lm_scoring.PROBES):
-            bits[lm_scoring._bucket(x) * lm_scoring.SEGMENT + lm_scoring._bits(x, 1, level, p).astype(np.int64)] = True
-    f = lm_scoring.Filter(np.packbits(bits, bitorder="little"), {1: 1, 2: 2})
-    got = f.level(h, 1)
-    assert (got >= q).all() and (got == q).mean() > 0.99
-    assert (f.level(np.arange(10**6, 10**6 + 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1) > 0).mean() < 0.01
+def plain_model(rows):
+    """(N, V, P): the same model from plain dictionaries, counts rounded to levels; rows of (doc_id, text)."""
+    mid = lambda n: float(lm_scoring.middle(lm_scoring.level_of(np.array([n])))[0])
+    one, two = Counter(), Counter()
+    for doc, text in rows:
+        if doc is None or zlib.crc32(str(doc).encode()) % 7 != 2:
+            ts = [None, *[w.lower() for w in words(text)], None]
+            one.update(ts[1:])
+            two.update(zip(ts, ts[1:]))
+    total = sum(mid(c) for c in one.values())
+
+    def p(w, v):
+        single = (mid(one[w]) + 1) / (total + len(one) + 1)
+        return (min(mid(two[v, w]), one[v]) + lm_scoring.PRIOR * single) / (one[v] + lm_scoring.PRIOR)
+
+    return one, two, p
+
+
+def test_lm_score_is_the_plain_model(docs, rows):
+    *_, p = plain_model([(r[0], r[1]) for r in rows])
+    got = by_id(lm_scoring.lm_scores(docs))
+    for r in rows:
+        ts = [None, *[w.lower() for w in words(r[1])], None]
+        want = sum(math.log10(p(w, v)) for v, w in zip(ts, ts[1:]))
+        assert any(abs(x[-1] - want) < 1e-6 for x in got[r[0]])
+
+
+def test_lm_is_a_distribution(spark, sf):
+    """Over the whole vocabulary and one unknown word, for contexts met often and seldom."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    one, two, p = plain_model(rows)
+    often = [w for w, _ in one.most_common(12)]
+    for v in [*often, *list(one)[:: len(one) // 12]]:
+        # Words that never follow v share what is left by their own probability.
+        follow = {w for x, w in two if x == v}
+        seen = sum(p(w, v) for w in follow)
+        alone = sum(p(w, object()) for w in follow)  # of an unknown context: P(w) itself
+        rest = lm_scoring.PRIOR * (1 - alone) / (one[v] + lm_scoring.PRIOR)
+        assert abs(seen + rest - 1) < 0.03, (v, seen + rest)
+
+
+def test_lm_same_on_any_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    runs = [{r.doc_id: (r.score, r.base_score) for r in lm_scoring.lm_scores(docs.repartition(n)).collect()} for n in (1, 4, 40)]
+    assert all(abs(x - y) < 1e-6 for run in runs[1:] for d in run for x, y in zip(run[d], runs[0][d]))
+
+
+def test_lm_levels():
+    c = np.concatenate([np.arange(0, 5000), 2 ** np.arange(13, 50)])
+    q = lm_scoring.level_of(c)
+    assert (np.diff(q) >= 0).all() and (lm_scoring.middle(q[:8]) == c[:8]).all()
+    assert (np.abs(lm_scoring.middle(q[1:]) / c[1:] - 1) < 0.11).all()
+    exact = np.arange(lm_scoring.EXACT, 5000)
+    assert abs(lm_scoring.middle(lm_scoring.level_of(exact)).sum() / exact.sum() - 1) < 0.01
+
+
+def test_lm_filter():
+    """Every item at its level, and hardly a hit among what is not there: under 1 / (100 V)."""
+    r = np.random.default_rng(3)
+    h = {n: r.integers(0, 2**63, 30_000 * n).astype(np.uint64) for n in (1, 2)}
+    c = {n: r.integers(1, 40, len(x)).astype(np.uint64) for n, x in h.items()}
+    probes = lm_scoring.probes_for(30_000)
+    assert 2.0**-probes < 1 / (100 * 30_000)
+    f = lm_scoring.segment({n: (h[n], c[n]) for n in h}, probes)
+    assert all((f.level(h[n], n) == lm_scoring.level_of(c[n])).all() for n in h)
+    assert (f.level(r.integers(0, 2**63, 400_000).astype(np.uint64), 2) > 0).sum() == 0
+    assert (lm_scoring.segment({}, 16).level(h[1], 1) == 0).all()
 
 
 # 8
