@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,30 +30,59 @@ def describe(spark: SparkSession, names: list[str], rows: int = 3) -> str:
     return "\n\n".join(out)
 
 
-#: Nodes of a parsed plan that change something; fixed values.
-CHANGES = ("Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Set", "Add", "Cache", "Uncache", "Load", "Refresh", "Repair", "Replace", "Overwrite", "Append", "Analyze", "Rename", "Recover", "Command")
+#: Kinds of parsed nodes that change something, and functions that call other code; fixed values.
+CHANGES = ("Command", "ParsedStatement")
+CALLS = {"reflect", "java_method", "try_reflect"}
+
+
+def _nodes(plan) -> Iterator:
+    """All nodes of a parsed plan, those of common table expressions and subqueries included."""
+    yield plan
+    for below in (plan.children(), plan.innerChildren()):
+        for i in range(below.size()):
+            if below.apply(i).getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical"):
+                yield from _nodes(below.apply(i))
+
+
+def _parsed(spark: SparkSession, sql: str):
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
 def reads_only(spark: SparkSession, sql: str) -> bool:
-    """Whether the statement parses to a plan without a command or a write."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    nodes = plan.collectLeaves().mkString(" ") + " " + plan.toString()
-    heads = [line.strip(" +-:*'").split(" ")[0].split("(")[0] for line in nodes.splitlines() if line.strip()]
-    return not any(h.startswith(CHANGES) or h.endswith("Command") for h in heads)
+    """Whether the statement parses to a plan without a command or a write, and calls no code by name. Asked of the nodes'
+    classes: what texts and names in the statement say has no part in it."""
+    named = spark._jvm.java.lang.Class.forName
+    kinds = [named("org.apache.spark.sql.catalyst.plans.logical." + k) for k in CHANGES]
+    function = named("org.apache.spark.sql.catalyst.analysis.UnresolvedFunction")
+    for node in _nodes(_parsed(spark, sql)):
+        if any(k.isInstance(node) for k in kinds):
+            return False
+        waiting = [node.expressions()]
+        while waiting:
+            some = waiting.pop()
+            for i in range(some.size()):
+                e = some.apply(i)
+                if function.isInstance(e) and str(e.nameParts().last()).lower() in CALLS:
+                    return False
+                waiting.append(e.children())
+    return True
 
 
 def has_limit(spark: SparkSession, sql: str) -> bool:
-    return "GlobalLimit" in spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    """Whether the result as a whole has a limit: the plan's top node is one, below common table expressions at most."""
+    plan = _parsed(spark, sql)
+    while plan.getClass().getSimpleName() == "UnresolvedWith":
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "GlobalLimit"
 
 
-def query(spark: SparkSession, sql: str, most: int = 5, approve: Callable[[str], bool] | None = None) -> DataFrame:
-    """The query's rows, at most that many unless it has a limit of its own. Raises Refused or Spark's errors."""
+def query(spark: SparkSession, sql: str, most: int = 5, approve: Callable[[str], bool] | None = None, ceiling: int = 1000) -> DataFrame:
+    """The query's rows, at most that many; if it has a limit of its own, at most ceiling. Raises Refused or Spark's errors."""
     if not reads_only(spark, sql):
         raise Refused("only queries are run")
     if approve and not approve(sql):
         raise Refused("not approved")
-    df = spark.sql(sql)
-    return df if has_limit(spark, sql) else df.limit(most)
+    return spark.sql(sql).limit(ceiling if has_limit(spark, sql) else most)
 
 
 def answer(spark: SparkSession, sql: str, most: int = 5, approve: Callable[[str], bool] | None = None) -> tuple[DataFrame | None, str | None]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import written
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -22,10 +24,12 @@ def sequence(*steps: Step) -> Step:
 
 
 def branches(key: str, **steps: Step) -> Step:
-    """Independent steps over the same rows, each giving (key, a value column named as the step), joined on key."""
+    """Independent steps over the same rows, each giving (key, a value column named as the step), joined on key.
+
+    The rows are written first: all steps see the same ones, also where a generator made them."""
 
     def run(df: DataFrame) -> DataFrame:
-        out = df
+        df = out = written(df, "branches")
         for name, s in steps.items():
             out = out.join(s(df).select(key, name), key, "left")
         return out
@@ -34,10 +38,12 @@ def branches(key: str, **steps: Step) -> Step:
 
 
 def routed(route: Column, **steps: Step) -> Step:
-    """Each row takes the step that route names; rows without one stay as they are."""
+    """Each row takes the step that route names; rows without one stay as they are.
+
+    Rows and their routes are written first, so that each row takes one route, also where a model or chance chooses it."""
 
     def run(df: DataFrame) -> DataFrame:
-        marked = df.withColumn("_route", route)
+        marked = written(df.withColumn("_route", route), "routed")
         parts = [s(marked.where(F.col("_route") == name)) for name, s in steps.items()]
         rest = marked.where(F.col("_route").isNull() | ~F.col("_route").isin(*steps))
         for p in parts:
@@ -55,14 +61,20 @@ def each_item(df: DataFrame, key: str, items: str, work: Callable[[Column], Colu
 
 
 def until(df: DataFrame, generate: Step, accepted: Column, rounds: int = 5) -> DataFrame:
-    """Rows are generated anew until accepted, at most that often; the last try stays."""
+    """Rows are generated anew until accepted, at most that often; the last try stays.
+
+    Each round is written before it is split: what a generator gave is judged once, and no row is lost or met twice. A round
+    that leaves nothing to generate is the last."""
     done, open_ = None, df
     for _ in range(rounds):
         made = generate(open_)
-        ok = made.where(F.coalesce(accepted, F.lit(False)))
+        tried = written(made.withColumn("_accepted", F.coalesce(accepted, F.lit(False))), "until")
+        ok = tried.where("_accepted").drop("_accepted")
         done = ok if done is None else done.unionByName(ok)
-        open_ = made.where(~F.coalesce(accepted, F.lit(False)))
-    return done.unionByName(open_)
+        open_ = tried.where("not _accepted").drop("_accepted")
+        if open_.isEmpty():
+            break
+    return open_ if done is None else done.unionByName(open_)
 
 
 def structured(call: Callable[[str], str], schema: str, tries: int = 3):

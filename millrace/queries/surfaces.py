@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from contextlib import contextmanager
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from millrace.functions import json_text, subword, text
@@ -96,40 +99,46 @@ def stamped_names(t, spark):
 # The SQL surface.
 
 
-def _views(t):
-    for name in ("nation", "region"):
-        t(name).createOrReplaceTempView(f"guarded_{name}")
+@contextmanager
+def _views(spark, **frames):
+    """Temporary views that go when they have been used: a query that was analysed no longer needs them."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
 
 
 @query("SELECT * FROM (VALUES ('guarded_nation'), ('guarded_region')) AS v(name)")
 def sql_tables(t, spark):
-    _views(t)
-    t("region").createOrReplaceTempView("_guarded_hidden")
-    return spark.createDataFrame([(n,) for n in sqlguard.tables(spark) if "guarded_" in n], "name string")
+    with _views(spark, guarded_nation=t("nation"), guarded_region=t("region"), _guarded_hidden=t("region")):
+        return spark.createDataFrame([(n,) for n in sqlguard.tables(spark) if "guarded_" in n], "name string")
 
 
 @query("SELECT 'guarded_region (r_regionkey int, r_name string)' || chr(10) || string_agg('(' || r_regionkey || ', ''' || r_name || ''')', chr(10) ORDER BY r_regionkey) || chr(10) || chr(10) || 'Error: guarded_none: TABLE_OR_VIEW_NOT_FOUND' AS text FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 3)")
 def sql_described(t, spark):
-    t("region").orderBy("r_regionkey").createOrReplaceTempView("guarded_region")
-    return spark.createDataFrame([(sqlguard.describe(spark, ["guarded_region", "guarded_none"]),)], "text string")
+    with _views(spark, guarded_region=t("region").orderBy("r_regionkey")):
+        return spark.createDataFrame([(sqlguard.describe(spark, ["guarded_region", "guarded_none"]),)], "text string")
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey DESC LIMIT 5")
 def sql_capped(t, spark):
-    _views(t)
-    return sqlguard.query(spark, "SELECT n_nationkey, n_name FROM guarded_nation ORDER BY n_nationkey DESC")
+    with _views(spark, guarded_nation=t("nation")):
+        return sqlguard.query(spark, "SELECT n_nationkey, n_name FROM guarded_nation ORDER BY n_nationkey DESC")
 
 
 @query("""SELECT 'SELECT count(*) FROM guarded_nation' AS statement, count(*)::VARCHAR AS outcome FROM nation
-UNION ALL SELECT * FROM (VALUES ('DELETE FROM guarded_nation', 'Error: only queries are run'), ('DROP VIEW guarded_nation', 'Error: only queries are run'), ('INSERT INTO guarded_nation VALUES (1, ''x'', 1)', 'Error: only queries are run'),
+UNION ALL SELECT * FROM (VALUES ('SELECT ''Insert'' FROM guarded_nation', 'Insert'), ('DELETE FROM guarded_nation', 'Error: only queries are run'), ('DROP VIEW guarded_nation', 'Error: only queries are run'), ('INSERT INTO guarded_nation VALUES (1, ''x'', 1)', 'Error: only queries are run'),
 ('SELECT nope FROM guarded_nation', 'Error: UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('SELEC 1', 'Error: PARSE_SYNTAX_ERROR'), ('SELECT 1 AS refused', 'Error: not approved')) AS v(statement, outcome)""")
 def sql_answers(t, spark):
-    _views(t)
-    said = ["SELECT count(*) FROM guarded_nation", "DELETE FROM guarded_nation", "DROP VIEW guarded_nation", "INSERT INTO guarded_nation VALUES (1, 'x', 1)", "SELECT nope FROM guarded_nation", "SELEC 1", "SELECT 1 AS refused"]
+    said = ["SELECT count(*) FROM guarded_nation", "SELECT 'Insert' FROM guarded_nation", "DELETE FROM guarded_nation", "DROP VIEW guarded_nation", "INSERT INTO guarded_nation VALUES (1, 'x', 1)", "SELECT nope FROM guarded_nation", "SELEC 1", "SELECT 1 AS refused"]
     out = []
-    for s in said:
-        rows, error = sqlguard.answer(spark, s, approve=lambda q: "refused" not in q)
-        out.append((s, error or str(rows.first()[0])))
+    with _views(spark, guarded_nation=t("nation")):
+        for s in said:
+            rows, error = sqlguard.answer(spark, s, approve=lambda q: "refused" not in q)
+            out.append((s, error or str(rows.first()[0])))
     return spark.createDataFrame(out, "statement string, outcome string")
 
 
@@ -260,10 +269,12 @@ def clamped_steps(t, spark):
 
 @query("SELECT user_id::VARCHAR AS agent_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS sequence, true AS alive FROM events GROUP BY 1")
 def resumed_stream(t, spark):
-    """Heartbeats read as a stream in two runs over one checkpoint: the second resumes where the first ended."""
-    at, name = _folder(spark, "beats"), f"beats_{uuid.uuid4().hex}"
+    """Heartbeats read as a stream in three runs over one checkpoint. The second fails between a batch's write and its commit;
+    the third repeats the batch and goes on with what has come since."""
+    at = _folder(spark, "beats")
     beats = t("events").select(F.col("user_id").cast("string").alias("agent_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("sequence"), F.lit(True).alias("alive"))
-    for part in (0, 1):
-        files.write_batches(beats.where(F.col("sequence") % 2 == part), f"{at}/in")
-        out = heartbeats.run_to_end(heartbeats.latest(heartbeats.source(spark, f"{at}/in")), name, "complete", f"{at}/checkpoint")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for part, fail in ((0, None), (1, lambda batch: True), (2, None)):
+        files.write_batches(beats.where(F.col("sequence") % 3 == part), f"{at}/in")
+        with contextlib.suppress(*[StreamingQueryException] if fail else []):
+            out = heartbeats.run_to_end(heartbeats.latest(heartbeats.source(spark, f"{at}/in")), f"{at}/out", "update", f"{at}/checkpoint", fail)
+    return heartbeats.merged(out, "agent_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

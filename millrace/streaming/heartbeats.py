@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators import state
 
@@ -96,11 +97,40 @@ def windowed(events: DataFrame, ts: str, size: str, key: str, late: str = "10 mi
     return timed.groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there into a memory table; the checkpoint lets a later run resume."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def batch_sink(path: str, fail: Callable[[int], bool] | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch that can be repeated: a batch is the folder of its number, and is written over if it comes again.
+
+    A stream that ends between a batch's write and its commit repeats the batch when it resumes; so each is there once.
+    fail(batch) is for tests: whether the sink is to raise after that batch's write."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if fail and fail(number):
+            raise RuntimeError(f"stopped after the write of batch {number}")
+
+    return write
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str, checkpoint: str, fail: Callable[[int], bool] | None = None) -> DataFrame:
+    """Run a stream over all that is there into a folder of batches; the checkpoint lets a later run resume. Returns what sunk() does."""
+    stream.writeStream.outputMode(mode).foreachBatch(batch_sink(path, fail)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sunk(stream.sparkSession, path, stream.schema, mode)
+
+
+def sunk(spark: SparkSession, path: str, schema: StructType, mode: str = "append") -> DataFrame:
+    """What a sink's folder holds: the last batch of mode complete, all of others with their batch."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode != "complete":
+        return rows
+    last = rows.agg(F.max("batch").alias("_last"))  # a complete result isn't empty once it has had a row
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")
+
+
+def merged(updates: DataFrame, key: str) -> DataFrame:
+    """The last row of each key over the batches of a stream in update mode."""
+    values = [c for c in updates.columns if c not in (key, "batch")]
+    last = updates.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(key, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def action_log(actions: DataFrame, kind: str = "All", n: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from millrace.plans import sqlguard, workflow
@@ -53,8 +54,15 @@ def test_sql_guard(spark):
     assert "a int" in text and "Error: nope" in text
     assert sqlguard.query(spark, "SELECT * FROM things").count() == 5
     assert sqlguard.query(spark, "SELECT * FROM things LIMIT 7").count() == 7
+    assert sqlguard.query(spark, "WITH t AS (SELECT * FROM things) SELECT * FROM t LIMIT 7").count() == 7
+    assert sqlguard.query(spark, "SELECT * FROM things LIMIT 7", ceiling=6).count() == 6
+    # A limit elsewhere in the statement, or its name in a text, is no limit of the result.
+    for sql in ("SELECT t.a FROM things t CROSS JOIN (SELECT 1 AS one LIMIT 1)", "SELECT a, 'GlobalLimit' AS x FROM things", "WITH u AS (SELECT 1 AS one LIMIT 1) SELECT a FROM things, u", "SELECT a FROM things WHERE a >= (SELECT min(a) FROM things LIMIT 1)", "(SELECT a FROM things LIMIT 8) UNION ALL (SELECT a FROM things LIMIT 8)"):
+        assert sqlguard.query(spark, sql).count() == 5, sql
+    for sql in ("SELECT '\nInsert into x' AS a", "SELECT 'DROP TABLE things' AS `Set`", "SELECT a AS `Command` FROM things", "VALUES (1)", "FROM things SELECT a"):
+        assert sqlguard.query(spark, sql).count() >= 1, sql
     assert sqlguard.query(spark, "WITH t AS (SELECT max(a) AS m FROM things) SELECT m FROM t").first().m == 8
-    for bad in ("DROP TABLE things", "INSERT INTO things VALUES (1, 'y')", "CREATE TABLE z AS SELECT 1", "DELETE FROM things", "SET x = 1", "TRUNCATE TABLE things", "CACHE TABLE things", "UPDATE things SET a = 1"):
+    for bad in ("DROP TABLE things", "INSERT INTO things VALUES (1, 'y')", "CREATE TABLE z AS SELECT 1", "DELETE FROM things", "SET x = 1", "TRUNCATE TABLE things", "CACHE TABLE things", "UPDATE things SET a = 1", "FROM things INSERT INTO z SELECT a", "WITH t AS (SELECT 1) INSERT INTO things SELECT * FROM t", "EXPLAIN SELECT 1", "SELECT reflect('java.lang.System', 'gc')", "SELECT * FROM things WHERE a IN (SELECT java_method('java.lang.System', 'nanoTime'))"):
         assert sqlguard.answer(spark, bad) == (None, "Error: only queries are run"), bad
     assert sqlguard.answer(spark, "SELECT nope FROM things")[1].startswith("Error: UNRESOLVED")
     assert sqlguard.answer(spark, "SELEC 1")[1].startswith("Error: PARSE")
@@ -73,6 +81,12 @@ def test_workflow(spark):
     assert {r.k: r.results for r in workflow.each_item(df, "k", "xs", lambda x: x + 1).collect()} == {1: [2, 3], 2: None, 3: None}
     grown = workflow.until(df.select("k"), lambda d: d.withColumn("k", F.col("k") + 1), F.col("k") >= 3, 2)
     assert sorted(r.k for r in grown.collect()) == [3, 3, 4]
+    many = spark.range(200).withColumnRenamed("id", "k")
+    for kept in (workflow.until(many, lambda d: d.withColumn("x", F.rand()), F.col("x") > 0.5, 3), workflow.routed(F.when(F.rand() > 0.5, "a"), a=add(1))(many)):
+        assert sorted(r.k for r in kept.collect()) == list(range(200))  # what chance gives is seen once
+    drawn = workflow.branches("k", x=lambda d: d.select("k", F.col("r").alias("x")), y=lambda d: d.select("k", F.col("r").alias("y")))(many.withColumn("r", F.rand()))
+    assert drawn.where("x = y and x = r").count() == 200
+    assert workflow.until(many, lambda d: d, F.lit(True), 0).count() == 200
     call = workflow.structured(lambda t: '{"a": 1}' if t == "a" else "broken", "struct<a:int>")
     assert [r.x and r.x.a for r in df.select("k", call(F.col("kind")).alias("x")).orderBy("k").collect()] == [1, None, None]
     assert workflow.mapped(df.select("k"), lambda p: p + 1, "k int").agg(F.sum("k")).first()[0] == 9
@@ -103,12 +117,24 @@ def test_supervisor(spark):
 def test_streams(spark, tmp_path):
     beats(spark).repartition(3).write.parquet(f"{tmp_path}/in")
     src = H.source(spark, f"{tmp_path}/in")
-    H.run_to_end(H.latest(src), "latest_beats", "update", f"{tmp_path}/c1")
-    last = spark.table("latest_beats").groupBy("agent_id").agg(F.max("sequence").alias("s"))
-    assert {r.agent_id: r.s for r in last.collect()} == {r.agent_id: r.sequence for r in H.latest(beats(spark)).collect()}
-    done = H.run_to_end(H.windowed(src, "ts", "10 seconds", "agent_id", "1 hour"), "windows", "complete", f"{tmp_path}/c2")
+    last = H.merged(H.run_to_end(H.latest(src), f"{tmp_path}/o1", "update", f"{tmp_path}/c1"), "agent_id")
+    assert {r.agent_id: r.sequence for r in last.collect()} == {r.agent_id: r.sequence for r in H.latest(beats(spark)).collect()}
+    done = H.run_to_end(H.windowed(src, "ts", "10 seconds", "agent_id", "1 hour"), f"{tmp_path}/o2", "complete", f"{tmp_path}/c2")
     want = H.windowed(beats(spark), "ts", "10 seconds", "agent_id")
     assert sorted(map(tuple, done.collect())) == sorted(map(tuple, want.collect()))
-    acts = H.run_to_end(H.supervise_stream(H.source(spark, f"{tmp_path}/in", 100)), "acts", "append", f"{tmp_path}/c3")
+    acts = H.run_to_end(H.supervise_stream(H.source(spark, f"{tmp_path}/in", 100)), f"{tmp_path}/o3", "append", f"{tmp_path}/c3")
     kinds = {(r.agent_id, r.action) for r in acts.collect()}
     assert ("a", "healthy") in kinds and {k for _, k in kinds} <= {"healthy", "restarted", "backoff_skipped"}
+
+
+def test_a_batch_that_is_repeated(spark, tmp_path):
+    """The sink fails after a write: the batch comes again, and each row is there once."""
+    rows = spark.range(90).select(F.col("id").cast("string").alias("agent_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("sequence"), F.lit(True).alias("alive"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    tried = []
+    run = lambda fail: H.run_to_end(H.source(spark, f"{tmp_path}/in"), f"{tmp_path}/out", "append", f"{tmp_path}/c", fail)
+    with pytest.raises(StreamingQueryException):
+        run(lambda batch: tried.append(batch) or batch == 1)
+    got = run(lambda batch: tried.append(batch))
+    assert tried == [0, 1, 1, 2] and sorted(r.sequence for r in got.collect()) == list(range(90))
+    assert {r.batch for r in got.collect()} == {0, 1, 2}
