@@ -13,7 +13,7 @@ from millrace.functions import json_text, subword, text
 from millrace.operators import agents, nested, sets, sim
 from millrace.plans import sqlguard, workflow
 from millrace.queries.registry import query
-from millrace.sources import files
+from millrace.sources import files, sqlite
 from millrace.sources.shared import shared_dir
 from millrace.streaming import heartbeats
 
@@ -91,6 +91,15 @@ def split_load(t, spark):
     return sets.concat([files.split_of(spark, at, s).select(F.lit(s).alias("split"), "o_orderkey") for s in ("train", "test")])
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 100 AND o_totalprice > 1000")
+def sqlite_scan(t, spark):
+    """Orders exported to SQLite and read again in ranges of rowids; SQLite decides the filters on numbers and texts."""
+    at, o = _folder(spark, "sqlite"), t("orders")
+    sqlite.write_sqlite(o.repartition(3, "o_orderkey"), at, "orders")
+    back = sqlite.read_sqlite(spark, at, "orders", o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").schema, rows=2000)
+    return back.where("o_orderstatus = 'F' AND o_custkey >= 100 AND o_totalprice > 1000").drop("o_orderstatus")
+
+
 @query("SELECT event_id, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' AS name FROM events")
 def stamped_names(t, spark):
     return t("events").select("event_id", files.stamped("run", "csv", F.date_trunc("second", "ts")).alias("name"))
