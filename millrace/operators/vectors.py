@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators import nearest
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
@@ -55,25 +56,21 @@ def similarity(distance: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + distance)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, distance: Column, k: int, query: str, row: str) -> DataFrame:
-    """The k rows of least distance of each stated query, ties by row: a scan of all rows for the block of queries."""
-    pairs = queries.crossJoin(rows).withColumn("distance", distance)
-    w = W.partitionBy(query).orderBy("distance", row)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def hamming_top(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, distance, score, rank) by bits; words are packed once a row."""
-    q = queries.select(F.col(id_).alias("query_id"), words_of_bits(F.col(vector)).alias("_q"))
-    r = rows.select(id_, words_of_bits(F.col(vector)).alias("_r"))
-    return nearest(q, r, hamming(F.col("_q"), F.col("_r")), k, "query_id", id_).select("query_id", id_, "distance", similarity(F.col("distance")).alias("score"), "rank")
+def hamming_top(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", hot: int = 4096) -> DataFrame:
+    """(query_id, vec_id, distance, score, rank) by bits, exactly, by multi-index hashing; words are packed once a row."""
+    bits_ = rows.agg(F.max(F.size(vector))).first()[0] or 1
+    q = queries.select(F.col(id_).alias("query_id"), words_of_bits(F.col(vector)).alias("v"))
+    r = rows.select(F.col(id_).alias("row_id"), words_of_bits(F.col(vector)).alias("v"))
+    out = nearest.multi_index_top(r, q, k, bits_, hot)
+    return out.select("query_id", F.col("row_id").alias(id_), F.col("distance").cast("int").alias("distance"), similarity(F.col("distance")).alias("score"), "rank")
 
 
 def cosine_top(rows: DataFrame, queries: DataFrame, k: int = 3, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    q = queries.select(F.col(id_).alias("query_id"), normalised(F.col(vector)).alias("_q"))
-    r = rows.select(id_, normalised(F.col(vector)).alias("_r"))
-    out = nearest(q, r, -F.round(dot(F.col("_q"), F.col("_r")), 6), k, "query_id", id_)
-    return out.select("query_id", id_, (-F.col("distance")).alias("cosine"), "rank")
+    """(query_id, vec_id, cosine, rank) by the cosine to six places, exactly, in blocks."""
+    q = queries.select(F.col(id_).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    r = rows.select(F.col(id_).alias("row_id"), F.col(vector).cast("array<double>").alias("v"))
+    out = nearest.block_top(r, q, k, nearest.cosine_distance)
+    return out.select("query_id", F.col("row_id").alias(id_), (-F.col("distance") + F.lit(0.0)).alias("cosine"), "rank")
 
 
 def mean_pooled(df: DataFrame, key: str, vector: str, scale: int = 6) -> DataFrame:
