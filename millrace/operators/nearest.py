@@ -6,7 +6,7 @@ which the k least of each query leave the task. So at most k rows for each query
 Multi-index hashing cuts codes into parts of about log2(codes) bits. Two codes that differ in fewer than parts * (r + 1) bits
 differ in at most r bits of some part. So the codes that share a part with a query up to r flipped bits, an equi-join, hold
 all that are nearer than that; r grows until a query's k-th distance is within the bound, and only the other queries go on.
-Those that would ask for more buckets than there are codes are searched in blocks. Equal codes are one code with its k
+Those that would ask for more buckets than a scan of the codes is worth are searched in blocks. Equal codes are one code with its k
 least rows, and buckets with more than hot codes are split. Both ways are exact, ties by the row's id.
 
 Rows and queries with null vectors take no part; a vector of zeros has no direction, and its cosine is 0. All vectors are of
@@ -28,6 +28,8 @@ from millrace.sources.shared import written
 
 ROW_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
 CELLS = 1 << 22  # distances in memory together
+PROBE = 4  # what asking a bucket costs, in rows of a scan
+FIRST_ASKS = 512  # buckets that a query asks for in the first round
 FOUND = "query_id long, row_id long, distance double"
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -107,6 +109,8 @@ class Parts:
         self.n, self.words = -(-bits // size), -(-bits // 64)
         self.edges = [bits * p // self.n for p in range(self.n + 1)]
 
+        self.longest = max(b - a for a, b in zip(self.edges, self.edges[1:]))
+
     def values(self, codes: np.ndarray) -> np.ndarray:
         """A row for each code, a column for each part."""
         bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(len(codes), -1), axis=1)
@@ -141,12 +145,19 @@ def _bucketed(table: DataFrame, parts: Parts, radii: list[int], keep: str, schem
     return table.mapInArrow(run, f"part int, value long, r int, {schema}, v array<long>")
 
 
-def _split(index: DataFrame, asks: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Both with salt: a bucket's codes are dealt out if they are more than hot, and who asks for it asks all of its parts."""
-    sizes = index.groupBy("part", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("part", "value", F.ceil(F.col("_n") / hot).cast("int").alias("_s"))
-    salts = F.coalesce("_s", F.lit(1))
-    dealt = index.join(sizes, ["part", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("code"), salts).cast("int")).drop("_s")
-    return dealt, asks.join(sizes, ["part", "value"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_s")
+def _hot_buckets(index: DataFrame, hot: int) -> DataFrame | None:
+    """(part, value, parts) of the buckets with more than hot codes, if there are any."""
+    sizes = index.groupBy("part", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    sizes = written(sizes.select("part", "value", F.ceil(F.col("_n") / hot).cast("int").alias("_s")), "hamming-hot")
+    return None if sizes.isEmpty() else sizes
+
+
+def _salted(table: DataFrame, hot: DataFrame | None, each: bool) -> DataFrame:
+    """table with salt: a hot bucket's codes are dealt out; who asks for it (each) asks all of its parts."""
+    if hot is None:
+        return table.withColumn("salt", F.lit(0))
+    both, parts = table.join(hot, ["part", "value"], "left"), F.coalesce("_s", F.lit(1))
+    return both.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)) if each else F.pmod(F.xxhash64("code"), parts).cast("int")).drop("_s")
 
 
 def multi_index_top(rows: DataFrame, queries: DataFrame, k: int, bits: int, hot: int = 4096) -> DataFrame:
@@ -158,19 +169,26 @@ def multi_index_top(rows: DataFrame, queries: DataFrame, k: int, bits: int, hot:
     n = codes.count()
     parts = Parts(bits, n)
     index = written(_bucketed(codes.select("code", "v"), parts, [0], "code", "code long").drop("r"), "hamming-index")
+    sizes = _hot_buckets(index, hot)
+    dealt = _salted(index, sizes, False)
     found, open_, r, asked = None, queries, 0, 0
     while True:
-        radii = [0, 1] if r == 0 else [r]
+        # The first radii together, while they ask little; then one at a time.
+        radii = [r]
+        while r == 0 and len(radii) <= parts.longest and sum(parts.asked(x) for x in [*radii, len(radii)]) <= FIRST_ASKS:
+            radii.append(len(radii))
         asked += sum(parts.asked(x) for x in radii)
-        if asked > n or open_.isEmpty():
+        if asked * PROBE > n or open_.isEmpty():
             break
-        dealt, asks = _split(index, _bucketed(open_, parts, radii, "query_id", "query_id long"), hot)
+        asks = _salted(_bucketed(open_, parts, radii, "query_id", "query_id long"), sizes, True)
         pairs = asks.withColumnRenamed("v", "asked").join(dealt, ["part", "value", "salt"]).select("query_id", "part", "r", "asked", "code", "v")
         new = pairs.mapInArrow(_once(parts), "query_id long, code long, distance double")
         new = new.join(codes.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("row_id"), "distance")
         found = written(_ranked(new if found is None else new.unionByName(found.drop("rank")), k), "hamming-found")
         r = radii[-1]
         # All that differ in fewer bits than this have been met.
+        if r >= parts.longest:  # every row differs in no more, so every row has been met
+            return found
         sure = found.groupBy("query_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n")).where((F.col("_n") == k) & (F.col("_far") < parts.n * (r + 1)))
         open_ = written(open_.join(sure, "query_id", "left_anti"), "hamming-open")
         r += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from millrace.functions import metrics
 from millrace.operators import agents, sim, state
 from millrace.plans import workflow
 from millrace.queries.registry import query
+from millrace.sources.shared import shared_dir
 from millrace.streaming import heartbeats
 
 NOW = 1706659200.0  # 2024-01-31 00:00:00 UTC, after the last event
@@ -71,11 +74,32 @@ def backoff(t, spark):
     return state.backoff_table(spark, 10)
 
 
-@query()
+_ACTIONS = f"""WITH RECURSIVE c AS (SELECT i, {NOW} - 86400 * (11 - i) AS tm FROM range(1, 11) AS r(i)),
+s AS (SELECT 'agent-' || user_id AS agent_id, i, tm, max({_TS}) FILTER ({_TS} <= tm) AS seen FROM events, c GROUP BY 1, 2, 3),
+f AS (SELECT DISTINCT agent_id, 0::BIGINT AS i, 0.0::DOUBLE AS tm, 'none' AS action, 0 AS failures, 0.0::DOUBLE AS wait, 0 AS restarts FROM s
+UNION ALL SELECT agent_id, s.i, s.tm, CASE WHEN ok THEN 'healthy' WHEN skip THEN 'backoff_skipped' ELSE 'restarted' END, CASE WHEN ok OR NOT skip THEN 0 ELSE n END, CASE WHEN ok THEN 0.0 ELSE w END, restarts + (NOT ok AND NOT skip)::INT
+  FROM f JOIN s USING (agent_id), LATERAL (SELECT coalesce(s.tm - seen <= 90000, false) AS ok, failures + 1 AS n), LATERAL (SELECT least(40000.0 * power(2, n - 1), 400000.0) AS w), LATERAL (SELECT action = 'restarted' AND s.tm - f.tm < w AS skip) WHERE s.i = f.i + 1)
+SELECT agent_id, tm AS check_at, action, failures::INT AS consecutive_failures, wait::DOUBLE AS backoff_seconds, restarts::INT AS total_restarts FROM f WHERE i > 0"""
+
+
+@query(_ACTIONS)
 def supervisor_actions(t, spark):
     return heartbeats.supervised(_beats(t), [NOW - 86400 * k for k in range(10, 0, -1)], 90000.0, 40000.0, 2.0, 400000.0)
 
 
+@query(_ACTIONS)
+def supervisor_stream(t, spark):
+    """The same checks by timers over a stream in two runs, with a clock's heartbeat behind all others."""
+    at, beats = f"{shared_dir(spark)}/supervised-{uuid.uuid4().hex}", _beats(t)
+    clock = spark.range(1).select(F.lit("clock").alias("agent_id"), F.timestamp_seconds(F.lit(NOW + 86400)).alias("ts"), F.lit(0).cast("long").alias("sequence"), F.lit(True).alias("alive"))
+    middle = F.col("ts").cast("double") < NOW - 86400 * 6
+    for part in (beats.where(middle), beats.where(~middle).unionByName(clock)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = heartbeats.supervise_stream(heartbeats.source(spark, f"{at}/in"), NOW - 86400 * 10, 86400.0, NOW - 86400, 90000.0, 40000.0, 2.0, 400000.0)
+        out = heartbeats.run_to_end(stream, f"{at}/out", "append", f"{at}/checkpoint")
+    return out.where("agent_id <> 'clock'").drop("batch")
+
+
 @query(f"""WITH s AS (SELECT user_id AS k, epoch(max(ts)) AS ts, count(*)::INT AS v FROM events GROUP BY 1)
 SELECT k, v + (k % 3 = 0)::INT AS expected_version, CASE WHEN NOT ({NOW} - ts < 90000) THEN 'missing' ELSE 'conflict' END AS problem FROM s WHERE NOT ({NOW} - ts < 90000) OR k % 3 = 0""")
 def optimistic_update(t, spark):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators import state
@@ -14,6 +17,8 @@ from millrace.operators import state
 BEAT = "agent_id string, ts timestamp, sequence long, alive boolean"
 ACTION = "agent_id string, check_at double, action string, consecutive_failures int, backoff_seconds double, total_restarts int"
 MEMORY = "last_seen double, failures int, last_action string, last_action_at double, restarts int"
+_ACTION = [c.split(" ")[0] for c in ACTION.split(", ")]
+_MEMORY = ("last_seen", "failures", "last_action", "last_action_at", "restarts", "next")
 
 
 def source(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
@@ -53,42 +58,117 @@ def _checked(memory: dict, seen: float | None, now: float, timeout: float, waits
 
 
 def supervised(beats: DataFrame, checks: list[float], timeout: float = 8.0, base: float = 2.0, factor: float = 2.0, most: float = 60.0) -> DataFrame:
-    """The supervisor's actions for each agent at the given check times, each seeing the heartbeats up to it."""
+    """The supervisor's actions for each agent at the given check times, each seeing the heartbeats up to it.
+
+    Only the last heartbeat before each check matters, so an agent's frame has as many rows as there are checks at most."""
+    times = sorted(checks)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, agent = sorted(pdf["t"]), pdf["agent_id"].iloc[0]
+        last, agent = dict(zip(pdf["nth"], pdf["t"])), pdf["agent_id"].iloc[0]
         memory = {"last_seen": None, "failures": 0, "last_action": "none", "last_action_at": 0.0, "restarts": 0}
-        rows, i = [], 0
-        for now in sorted(checks):
-            while i < len(times) and times[i] <= now:
-                i += 1
-            action, wait = _checked(memory, times[i - 1] if i else None, now, timeout, (base, factor, most))
+        rows, seen = [], None
+        for nth, now in enumerate(times):
+            seen = last.get(nth, seen)
+            action, wait = _checked(memory, seen, now, timeout, (base, factor, most))
             rows.append((agent, now, action, memory["failures"], wait, memory["restarts"]))
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ACTION.split(", ")])
+        return pd.DataFrame(rows, columns=_ACTION)
+
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in times]).cast("array<double>"), lambda c: c < F.col("t")))  # the first check that sees it
+    last = beats.select("agent_id", F.col("ts").cast("double").alias("t")).groupBy("agent_id", at.alias("nth")).agg(F.max("t").alias("t"))
+    return last.groupBy("agent_id").applyInPandas(one, ACTION)
+
+
+class _Supervisor(StatefulProcessor):
+    """The state of an agent: its memory, the last heartbeat of each interval between checks that is still to come, and one
+    timer, for the next check."""
+
+    def __init__(self, start: float, interval: float, last: float | None, timeout: float, waits: tuple[float, float, float]) -> None:
+        self.start, self.interval, self.last, self.timeout, self.waits = start, interval, last, timeout, waits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", MEMORY + ", next long")
+        self.ahead = handle.getMapState("ahead", "nth long", "t double")
+
+    def _time(self, nth: int) -> float:
+        return self.start + nth * self.interval
+
+    def _remembered(self) -> dict:
+        if self.memory.exists():
+            return dict(zip(_MEMORY, self.memory.get()))
+        return dict(zip(_MEMORY, (None, 0, "none", 0.0, 0, 0)))
+
+    def _timed(self, nth: int) -> None:
+        if self.last is None or self._time(nth) <= self.last:
+            self.handle.registerTimer(int(self._time(nth) * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if not self.memory.exists():
+            memory = self._remembered()
+            self.memory.update(tuple(memory.values()))
+            self._timed(0)
+        for pdf in rows:
+            nth = np.maximum(np.ceil((pdf["t"] - self.start) / self.interval), 0).astype(int)  # the first check that sees it
+            for n, t in pdf["t"].groupby(nth).max().items():
+                held = self.ahead.getValue((int(n),))[0] if self.ahead.containsKey((int(n),)) else t
+                self.ahead.updateValue((int(n),), (max(float(t), held),))
+        yield pd.DataFrame([], columns=_ACTION)
 
-    return beats.select("agent_id", F.col("ts").cast("double").alias("t")).groupBy("agent_id").applyInPandas(one, ACTION)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        memory, now, out = self._remembered(), timerValues.getCurrentWatermarkInMs() / 1000.0, []
+        while self._time(memory["next"]) <= now and (self.last is None or self._time(memory["next"]) <= self.last):
+            at, nth = self._time(memory["next"]), memory["next"]
+            if self.ahead.containsKey((nth,)):
+                memory["last_seen"] = max(self.ahead.getValue((nth,))[0], memory["last_seen"] or 0.0)
+                self.ahead.removeKey((nth,))
+            action, wait = _checked(memory, memory["last_seen"], at, self.timeout, self.waits)
+            out.append((key[0], at, action, memory["failures"], wait, memory["restarts"]))
+            memory["next"] = nth + 1
+        self.memory.update(tuple(memory.values()))
+        self._timed(memory["next"])
+        yield pd.DataFrame(out, columns=_ACTION)
 
+    def close(self) -> None:
+        pass
 
-def supervise_stream(beats: DataFrame, timeout: float = 8.0, base: float = 2.0, factor: float = 2.0, most: float = 60.0) -> DataFrame:
-    """The same state machine over a stream: an agent is checked with the heartbeats of each batch, and when its timeout passes without any.
 
-    The check time is that of the last heartbeat, or the watermark when a timeout fires."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def supervise_stream(beats: DataFrame, start: float, interval: float, last: float | None = None, timeout: float = 8.0, base: float = 2.0, factor: float = 2.0, most: float = 60.0, late: str = "0 seconds") -> DataFrame:
+    """supervised() over a stream: each agent is checked at start, start + interval, ... up to last, when the watermark has passed
+    the time, with the heartbeats up to it. Memory and timers are keyed state, so a restarted stream goes on where it was.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        names = ("last_seen", "failures", "last_action", "last_action_at", "restarts")
-        memory = dict(zip(names, held.get)) if held.exists else dict(zip(names, (0.0, 0, "none", 0.0, 0)))
-        if held.hasTimedOut:
-            now = held.getCurrentWatermarkMs() / 1000.0
-        else:
-            memory["last_seen"] = now = max(memory["last_seen"], *(float(p["t"].max()) for p in pdfs))
-        action, wait = _checked(memory, memory["last_seen"], now, timeout, (base, factor, most))
-        held.update(tuple(memory[n] for n in names))
-        held.setTimeoutTimestamp(max(int((now + timeout) * 1000) + 1, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], now, action, memory["failures"], wait, memory["restarts"])], columns=[c.split(" ")[0] for c in ACTION.split(", ")])
+    State is bounded: an agent's memory, and a heartbeat for each interval that the watermark hasn't passed."""
+    _keyed_state(beats.sparkSession)
+    timed = beats.withWatermark("ts", late).select("agent_id", "ts", F.col("ts").cast("double").alias("t"))
+    return timed.groupBy("agent_id").transformWithStateInPandas(_Supervisor(start, interval, last, timeout, (base, factor, most)), ACTION, "append", "EventTime")
 
-    timed = beats.withWatermark("ts", "0 seconds").select("agent_id", "ts", F.col("ts").cast("double").alias("t"))
-    return timed.groupBy("agent_id").applyInPandasWithState(step, ACTION, MEMORY, "append", GroupStateTimeout.EventTimeTimeout)
+
+def _keyed_state(spark: SparkSession) -> None:
+    """Timers, maps and expiry need the state store that keeps its tables on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Arrivals(StatefulProcessor):
+    def __init__(self, ttl: float) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "beats long", ttlDurationMs=int(self.ttl * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new, n = not self.seen.exists(), sum(map(len, rows))
+        n += 0 if new else self.seen.get()[0]
+        self.seen.update((n,))
+        yield pd.DataFrame([(key[0], "joined" if new else "seen", n)], columns=["agent_id", "event", "beats"])
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(beats: DataFrame, ttl: float) -> DataFrame:
+    """(agent_id, event, beats) for each agent in a batch of a stream: 'joined' if nothing was heard of it within ttl seconds of
+    processing time, else 'seen'; beats since it joined. Who is silent for longer expires from the state by itself."""
+    _keyed_state(beats.sparkSession)
+    return beats.select("agent_id", "ts").groupBy("agent_id").transformWithStateInPandas(_Arrivals(ttl), "agent_id string, event string, beats long", "append", "ProcessingTime")
 
 
 def windowed(events: DataFrame, ts: str, size: str, key: str, late: str = "10 minutes") -> DataFrame:
@@ -111,9 +191,12 @@ def batch_sink(path: str, fail: Callable[[int], bool] | None = None) -> Callable
     return write
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str, checkpoint: str, fail: Callable[[int], bool] | None = None) -> DataFrame:
-    """Run a stream over all that is there into a folder of batches; the checkpoint lets a later run resume. Returns what sunk() does."""
-    stream.writeStream.outputMode(mode).foreachBatch(batch_sink(path, fail)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(stream: DataFrame, path: str, mode: str, checkpoint: str, fail: Callable[[int], bool] | None = None, **trigger: bool) -> DataFrame:
+    """Run a stream over all that is there into a folder of batches; the checkpoint lets a later run resume. Returns what sunk() does.
+
+    State that expires by processing time never has all that is there behind it: such streams take the trigger once=True."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(batch_sink(path, fail)).option("checkpointLocation", checkpoint)
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
     return sunk(stream.sparkSession, path, stream.schema, mode)
 
 

@@ -50,7 +50,7 @@ def test_multi_index(spark, kind, words, hot):
 
 
 def test_radius_grows_and_the_rest_is_scanned(spark, monkeypatch):
-    """Queries in clusters end early; those that would ask for more buckets than there are codes are searched in blocks."""
+    """Queries in clusters end early; those that would ask for too many buckets are searched in blocks."""
     r = np.random.default_rng(9)
     codes = np.concatenate([codes_of("clustered", 600, 2, r), codes_of("random", 40, 2, r)])
     asked, scanned = [0, 1, 2, 630, 639], []
