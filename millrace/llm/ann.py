@@ -7,14 +7,16 @@ node, their vectors by a join on the neighbour, and what beats a neighbour's wor
 go on until one changes fewer than SETTLED of all edges; edges only get shorter, so they end.
 
 Queries are searched in blocks of stated ids: all start from their own node, expand the best nodes not yet expanded, and
-keep the nearest (a beam that grows with the table), with one join for the neighbours of what is expanded and one for
+keep the nearest (a beam of 512, which grows with tables over 131,072 vectors), with one join for the neighbours of what is expanded and one for
 their distances a round. All rows are indexed; candidates aren't capped, only the beam is. Scores are double-precision distances between original vectors.
 
-Vectors that are null, zero, or hold null or non-finite components, or another dimension than the most frequent one, take no
-part; null ids take no part; equal ids are different rows; fewer rows than asked for are all returned; extra columns are ignored."""
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of several lengths are searched each
+among those of its own length, one length after the other; a query alone in its length finds nothing. Null ids take no part; equal ids are different rows; fewer rows than asked for are all returned; extra columns are ignored."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,7 @@ REVERSE = 24
 TREES = 6
 LEAF = 512
 SETTLED = 0.01  # of n * DEGREE: a round that changes fewer edges is the last
-BEAM = 128  # at least
-BEAM_AT = (1 << 17, 512)  # over so many vectors the beam is this; it grows as n ** BEAM_POWER
+BEAM_AT = (1 << 17, 512)  # up to so many vectors the beam is this; beyond it grows as n ** BEAM_POWER
 BEAM_POWER = 0.7
 STEP = 512
 TOP = 10
@@ -44,7 +45,7 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 def beam_for(n: int) -> int:
     """The beam over n vectors: the one that holds recall grows with the table."""
-    return max(BEAM, int(np.ceil(BEAM_AT[1] * (n / BEAM_AT[0]) ** BEAM_POWER)))
+    return max(BEAM_AT[1], int(np.ceil(BEAM_AT[1] * (n / BEAM_AT[0]) ** BEAM_POWER)))
 
 
 def _bucket(node: np.ndarray, parts: int) -> np.ndarray:
@@ -91,16 +92,16 @@ def _tasks(df: DataFrame, parts: int, work) -> DataFrame:
     return df.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PACK)
 
 
-def vector_nodes(df: DataFrame, id_: str, vector: str, top: int) -> DataFrame:
-    """(node, v, ids): one row a different vector; node is a hash of it, ids the top + 1 least ids of its rows."""
+def sound_rows(df: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(id, v) of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.col(vector).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     # -0.0 and 0.0 are equal numbers.
-    rows = df.where(F.coalesce(sound, F.lit(False)) & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.transform(v, lambda x: x + 0.0).alias("v"))
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
-    if dim:
-        rows = rows.where(F.size("v") == dim[0]["d"])
+    return df.where(F.coalesce(sound, F.lit(False)) & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.transform(v, lambda x: x + 0.0).alias("v"))
+
 
+def vector_nodes(rows: DataFrame, top: int) -> DataFrame:
+    """(node, v, ids) of rows (id, v): one row a different vector; node is a hash of it, ids the top + 1 least ids of its rows."""
     # The least ids of each vector: ranked within salts first, so one vector's copies aren't sorted in one task.
     keyed = rows.select("id", "v", F.xxhash64("v").alias("node"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     some = keyed.groupBy("node", "salt").agg(F.slice(F.array_sort(F.collect_list("id")), 1, top + 1).alias("ids"), F.first("v").alias("v"))
@@ -297,7 +298,7 @@ def _opened(blob: bytes):
     return (*out, blob[at : at + k])
 
 
-def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: DataFrame, parts: int, beam: int = BEAM, step: int = STEP) -> DataFrame:
+def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: DataFrame, parts: int, beam: int = BEAM_AT[1], step: int = STEP) -> DataFrame:
     """State rows (kind 6) of the queries (node, v) when nothing in their beams is left to expand."""
     q = queries.select(F.lit(0).alias("bucket"), F.lit(6).alias("kind"), "node", F.col("blob"))
 
@@ -392,8 +393,17 @@ def searched(nodes: DataFrame, packed: DataFrame, lists: DataFrame, queries: Dat
 
 
 def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id", vector: str = "embedding", beam: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the top found for each row whose id is divisible by every, all rows being candidates but its own."""
-    nodes = written(vector_nodes(df, id_, vector, top), "ann-nodes")
+    """(query_id, rank, vec_id, score): the top found for each row whose id is divisible by every, all rows being candidates but its own.
+
+    Vectors of different lengths have no distance: each length is searched among its own."""
+    rows = sound_rows(df, id_, vector)
+    lengths = sorted(r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().collect()) or [0]
+    return reduce(DataFrame.union, [_nearest(rows.where(F.size("v") == d), every, top, beam) for d in lengths])
+
+
+def _nearest(vectors: DataFrame, every: int, top: int, beam: int | None) -> DataFrame:
+    """nearest() of rows (id, v) of one length."""
+    nodes = written(vector_nodes(vectors, top), "ann-nodes")
     n = nodes.count()
     parts = max(1, -(-n // PART))  # buckets follow the vectors, so a bucket's arrays have a bounded size
 
@@ -409,9 +419,9 @@ def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id"
     lists = written(adjacency(graph, parts), "ann-lists")
 
     # The stated queries; equal ones are searched once.
-    good = df.where(F.col(id_).isNotNull() & (F.pmod(F.col(id_), F.lit(every)) == 0))
-    asked = vector_nodes(good, id_, vector, top).select("node").join(nodes.select("node", "v"), "node") if n else nodes.select("node", "v")
-    blobs = packed.select("node", "blob").join(asked.select("node"), "node", "left_semi")
+    good = vectors.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("q"))
+    asked = good.select(F.col("q").alias("node")).distinct()
+    blobs = packed.select("node", "blob").join(asked, "node", "left_semi")
     state = searched(nodes, packed, lists, blobs, parts, beam or beam_for(n))
 
     def beams(batches):
@@ -432,12 +442,10 @@ def nearest(df: DataFrame, every: int = 100, top: int = TOP, id_: str = "vec_id"
     score = F.sqrt(F.aggregate(F.zip_with("_qv", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     near = pairs.select("q", F.explode(F.transform("_ids", lambda i: F.struct(score.alias("score"), i.alias("vec_id")))).alias("c"))
     best = near.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("c")), 1, top + 1).alias("best"))
-    v0 = F.transform(F.col(vector), lambda x: x.cast("double") + 0.0)
-    rows = good.select(F.col(id_).cast("long").alias("query_id"), F.xxhash64(v0).alias("q"))
     # A query's own row goes once; rows with its id but another vector, or more copies of it, stay.
     others = F.transform(
         F.array(F.array_position(F.transform("best", lambda b: (b["vec_id"] == F.col("query_id")) & (b["score"] == 0)), True)),
         lambda at: F.slice(F.filter("best", lambda b, i: i + 1 != at), 1, top),
     )[0]
-    out = rows.join(best, "q").select("query_id", F.posexplode(others).alias("_r", "b"))
+    out = good.join(best, "q").select("query_id", F.posexplode(others).alias("_r", "b"))
     return out.select("query_id", (F.col("_r") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -186,6 +186,18 @@ def test_nearest(spark):
     assert ann.nearest(few).count() == 3 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_several_lengths(spark):
+    r = np.random.default_rng(5)
+    x = {i: r.normal(size=4 if i in (100, 200, 7, 9) else 3 if i == 300 else 8).astype(np.float32) for i in range(400)}
+    got = defaultdict(list)
+    for q in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<float>")).collect():
+        got[q.query_id].append((q["rank"], q.vec_id))
+    for q in (0, 100, 200):
+        d = sorted((float(((x[i].astype(float) - x[q].astype(float)) ** 2).sum()), i) for i in x if i != q and len(x[i]) == len(x[q]))
+        assert [i for _, i in sorted(got[q])] == [i for _, i in d[:10]]
+    assert len(got[100]) == len(got[200]) == 3 and 300 not in got  # alone in its length
+
+
 def test_descent_settles(spark):
     n, parts = 4000, 2
     x = np.random.default_rng(4).normal(size=(n, 24)).astype(np.float32)
@@ -202,7 +214,7 @@ def test_descent_settles(spark):
         near[u].add(v)
     hit = sum(len(near[q] & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11].tolist())) for q in range(0, n, 40))
     assert hit >= 0.985 * 1000
-    assert ann.beam_for(1 << 10) == ann.BEAM and ann.beam_for(1 << 17) == ann.BEAM_AT[1] and ann.beam_for(1 << 21) > 3 * ann.BEAM_AT[1]
+    assert ann.beam_for(1 << 10) == ann.beam_for(1 << 17) == ann.BEAM_AT[1] and ann.beam_for(1 << 21) > 3 * ann.BEAM_AT[1]
 
 
 # 6
