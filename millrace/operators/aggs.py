@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import written
+
 
 def exact(c: str | Column, scale: int = 2) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(f"decimal(18,{scale})")
@@ -93,10 +95,33 @@ def kpis(df: DataFrame, ok: str, measures: list[str]) -> DataFrame:
     )
 
 
+ACCURACY = 10_000  # of the sketch: its ranks are off by n / ACCURACY at most
+SMALL = 100_000  # rows that are broadcast at most
+
+
 def quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, low, q1, median, q3, high), exact percentiles with linear interpolation."""
-    p = df.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"))
-    return p.select(key, *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    """(key, low, q1, median, q3, high), exact percentiles with linear interpolation; nulls take no part.
+
+    No group is gathered: a sketch of each brackets the ranks, one more pass counts what lies below each bracket and the
+    different values inside, some 8 n / ACCURACY of a group's, and those are ranked."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("x"))
+    shares, margin = (0.25, 0.5, 0.75), 4 / ACCURACY
+    bounds = F.array(*[F.lit(s) for q in shares for s in (max(0.0, q - margin), min(1.0, q + margin))])
+    sketch = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.percentile_approx("x", bounds, ACCURACY).alias("b"))
+    sketch = written(sketch, "quartile-bounds")
+    few = sketch.count() <= SMALL
+    whole = F.col("n") <= ACCURACY  # a rank is more than the margin there
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * q).alias("at"), F.when(whole, F.col("low")).otherwise(F.col("b")[2 * i]).alias("from"), F.when(whole, F.col("high")).otherwise(F.col("b")[2 * i + 1]).alias("to")) for i, q in enumerate(shares)]))
+    asked = sketch.select(F.col("k").alias("_k"), near.alias("t")).select("_k", "t.*")
+    met = rows.join(F.broadcast(asked) if few else asked, F.col("k").eqNullSafe(F.col("_k")) & (F.col("x") <= F.col("to")))
+    counts = met.groupBy("k", "i", "at", F.when(F.col("x") >= F.col("from"), F.col("x")).alias("v")).agg(F.count("*").alias("c"))  # null: below
+    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("k", "i").orderBy(F.col("v").asc_nulls_first())))
+    of = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
+    found = upto.groupBy("k", "i", "at").agg(of(F.floor("at")).alias("a"), of(F.ceil("at")).alias("z"))
+    part = F.col("at") - F.floor("at")
+    found = found.select("k", "i", ((1 - part) * F.col("a") + part * F.col("z")).alias("x"))
+    each = found.groupBy(F.col("k").alias("_k")).agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    return sketch.join(each, F.col("k").eqNullSafe(F.col("_k"))).select(F.col("k").alias(key), *[F.round(F.col(n).cast("double"), 4).alias(n) for n in ("low", "q1", "median", "q3", "high")])
 
 
 def success_failure(df: DataFrame, key: str, ok: Column) -> DataFrame:
