@@ -1,11 +1,11 @@
-"""Chunkers as folds over arrays: paragraphs merged up to a size, small chunks joined, sections merged and split.
+"""Chunkers as expressions over arrays, linear in a text: paragraphs merged up to a size, small chunks joined, sections merged and split.
 
 Sizes are counted by a pluggable function Column -> Column (default: words); lengths of merged chunks are sums of the
 parts' lengths, so joining spaces aren't counted. Only the Markdown reader is Python."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from millrace.functions.text import by_space, paragraphs, sentences, word_count
 
 Counter = Callable[[Column], Column]
-_ACC = "struct<done:array<string>,cur:string,n:int>"
 _UNIT = "struct<text:string,n:int,alone:boolean>"
 
 
@@ -22,20 +21,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _places(units: Column) -> Column:
+    """The places of an array from 0, none of an empty one."""
+    return F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _from_starts(parts: Column, starts: Column, glue: str) -> Column:
+    """Parts joined from each of starts up to the next: each part is copied once."""
+    ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(parts))
+    return F.transform(starts, lambda at, k: F.array_join(F.slice(parts, at + 1, ends(k) - at), glue))
+
+
 def _greedy(units: Column, most: int) -> Column:
-    """Units joined by spaces while the sum of their sizes stays within most; a unit marked alone is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n")).cast(_ACC)
+    """Units joined by spaces while the sum of their sizes stays within most; a unit marked alone is a chunk of its own.
+
+    The fold keeps the places where chunks start and the size of the last one, no texts."""
+    state = "struct<starts:array<int>,n:int>"  # n is null where the next unit has to start a chunk
 
-    def closed(a: Column) -> Column:
-        return F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+    def made(starts: Column, n: Column) -> Column:
+        return F.struct(starts.alias("starts"), n.cast("int").alias("n"))
 
-    def step(a: Column, u: Column) -> Column:
-        alone = F.struct(F.concat(closed(a), F.array(u["text"])).alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n")).cast(_ACC)
-        fits = F.struct(a["done"].alias("done"), F.when(a["cur"].isNull(), u["text"]).otherwise(F.concat(a["cur"], F.lit(" "), u["text"])).alias("cur"), (a["n"] + u["n"]).alias("n")).cast(_ACC)
-        opened = F.struct(closed(a).alias("done"), u["text"].alias("cur"), u["n"].alias("n")).cast(_ACC)
-        return F.when(u["alone"], alone).when(a["n"] + u["n"] <= most, fits).otherwise(opened)
+    def step(us: Column) -> Callable[[Column, Column], Column]:
+        def one(a: Column, i: Column) -> Column:
+            u = F.get(us, i)
+            fits = ~u["alone"] & a["n"].isNotNull() & (a["n"] + u["n"] <= most)
+            return F.when(fits, made(a["starts"], a["n"] + u["n"])).otherwise(made(F.concat(a["starts"], F.array(i)), F.when(~u["alone"], u["n"])))
 
-    return F.aggregate(units, start, step, closed)
+        return one
+
+    def packed(us: Column) -> Column:
+        starts = F.aggregate(_places(us), made(F.array().cast("array<int>"), F.lit(None)).cast(state), step(us), lambda a: a["starts"])
+        return _let(F.transform(us, lambda u: u["text"]), lambda texts: _let(starts, lambda st: _from_starts(texts, st, " ")))
+
+    return _let(units, packed)
 
 
 def _unit(text: Column, n: Column, alone: Column) -> Column:
@@ -64,12 +82,16 @@ def merge_paragraphs(parts: Column, most: int, count: Counter = word_count) -> C
 def merge_small(chunks: Column, least: int, most: int, count: Counter = word_count) -> Column:
     """A chunk under least joins the one before it if both stay within most."""
 
-    def step(a: Column, c: Column) -> Column:
-        last = F.element_at(a, -1)
-        joined = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(last, F.lit(" "), c)))
-        return F.when((F.size(a) > 0) & (count(c) < least) & (F.coalesce(count(F.try_element_at(a, F.lit(-1))), F.lit(0)) + count(c) <= most), joined).otherwise(F.concat(a, F.array(c)))
+    def merged(cs: Column) -> Column:
+        def step(starts: Column, i: Column) -> Column:
+            last = F.try_element_at(starts, F.lit(-1))
+            before = F.array_join(F.slice(cs, last + 1, i - last), " ")  # looked at only where the chunk is small
+            joins = (F.size(starts) > 0) & (count(F.get(cs, i)) < least) & (F.coalesce(count(before), F.lit(0)) + count(F.get(cs, i)) <= most)
+            return F.when(joins, starts).otherwise(F.concat(starts, F.array(i)))
 
-    return F.aggregate(chunks, F.array().cast("array<string>"), step)
+        return _let(F.aggregate(_places(cs), F.array().cast("array<int>"), step), lambda st: _from_starts(cs, st, " "))
+
+    return _let(chunks, merged)
 
 
 def chunks(text: Column, most: int = 600, least: int = 150, overlap: int = 0, count: Counter = word_count) -> Column:
@@ -82,45 +104,65 @@ def chunks(text: Column, most: int = 600, least: int = 150, overlap: int = 0, co
 SECTION = "struct<title:string,content:string>"
 
 
-def _sections(text: str | None) -> list[dict]:
-    """Headings and the plain paragraphs under them; lists, quotes, tables and code are left out."""
-    out, title, paras, para, fenced = [], "Untitled", [], [], False
+def _sections(text: str | None) -> Iterator[tuple[str, str]]:
+    """(title, content) of the headings, underlined ones too, and the plain paragraphs under them; lists, quotes, tables and code
+    are left out, with the lines that go on with them."""
+    title, paras, para = "Untitled", [], []
+    fence, apart = "", False  # the fence of the code we are in; whether a list, quote or table goes on
 
-    def end_paragraph():
+    def end_paragraph() -> None:
         if para:
             paras.append("\n".join(para))
             para.clear()
 
-    def end_section():
+    def section() -> Iterator[tuple[str, str]]:
         end_paragraph()
         if paras:
-            out.append({"title": title, "content": "\n".join(paras).strip()})
+            yield title, "\n".join(paras).strip()
             paras.clear()
 
     for line in (text or "").split("\n"):
         bare = line.strip()
-        if bare.startswith(("```", "~~~")):
-            end_paragraph()
-            fenced = not fenced
-            continue
-        if fenced:
+        if fence or bare.startswith(("```", "~~~")):
+            if not fence:
+                end_paragraph()
+                fence = bare[:3]
+            elif bare.startswith(fence) and not bare.strip(fence[0]):
+                fence = ""
             continue
         hashes = len(bare) - len(bare.lstrip("#"))
         if 1 <= hashes <= 6 and (len(bare) == hashes or bare[hashes] == " "):
-            end_section()
-            title = bare[hashes:].strip().rstrip("#").strip()
+            yield from section()
+            title, apart = bare[hashes:].strip().rstrip("#").strip(), False
         elif not bare:
             end_paragraph()
-        elif not para and (bare[0] in "-*+>|" and bare[1:2] in ("", " ") or line.startswith("    ")):
-            continue
+            apart = False
+        elif para and bare in ("=" * len(bare), "-" * len(bare)):
+            name = " ".join(para)
+            para.clear()
+            yield from section()
+            title = name
+        elif not para and (apart or bare[0] in "-*+>|" and bare[1:2] in ("", " ") or line.startswith("    ") or not bare.strip("-*_") and len(bare) > 2):
+            apart = bare.strip("-*_") != ""  # a rule is one line
         else:
             para.append(bare)
-    end_section()
-    return out
+    yield from section()
+
+
+class _Sections:
+    def eval(self, text: str | None) -> Iterator[tuple[int, str, str]]:
+        for place, (title, content) in enumerate(_sections(text)):
+            yield place, title, content
+
+
+def section_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with place (from 0), title and content for each section of its Markdown: a table function that yields sections as it
+    reads, joined laterally, so no text's sections are held together. Rows without sections go."""
+    return df.lateralJoin(F.udtf(_Sections, returnType="place int, title string, content string", useArrow=True)(F.col(text).outer()))
 
 
 def _all_sections(texts: pd.Series) -> pd.Series:
-    return texts.map(_sections)
+    return texts.map(lambda t: [{"title": a, "content": b} for a, b in _sections(t)])
 
 
 def markdown_sections(text: Column) -> Column:
@@ -130,19 +172,23 @@ def markdown_sections(text: Column) -> Column:
 
 def merge_short_sections(sections: Column, least: int = 100) -> Column:
     """Sections under least words wait for the next ones; titles are joined only where a long one ends the wait."""
-    acc = f"struct<done:array<{SECTION}>,held:{SECTION}>"
-    start = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.lit(None).cast(SECTION).alias("held")).cast(acc)
 
-    def both(h: Column, s: Column, title: Column) -> Column:
-        return F.struct(title.alias("title"), F.concat(h["content"], F.lit("\n\n"), s["content"]).alias("content")).cast(SECTION)
+    def merged(ss: Column) -> Column:
+        long = lambda i: word_count(F.get(ss, i)["content"]) >= least
+        ends = F.filter(_places(ss), lambda i: (i == F.size(ss) - 1) | long(i))
+
+        def section(es: Column) -> Callable[[Column, Column], Column]:
+            def one(at: Column, k: Column) -> Column:
+                start = F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1) + 1)
+                first, last = F.get(ss, start)["title"], F.get(ss, at)["title"]
+                title = F.when((at > start) & long(at), F.concat(first, F.lit(" | "), last)).otherwise(first)
+                return F.struct(title.alias("title"), F.array_join(F.transform(F.slice(ss, start + 1, at - start + 1), lambda s: s["content"]), "\n\n").alias("content"))
+
+            return one
 
-    def step(a: Column, s: Column) -> Column:
-        held, short = a["held"], word_count(s["content"]) < least
-        waits = F.when(held.isNull(), s).otherwise(both(held, s, held["title"]))
-        ends = F.when(held.isNull(), s).otherwise(both(held, s, F.concat(held["title"], F.lit(" | "), s["title"])))
-        return F.when(short, F.struct(a["done"].alias("done"), waits.alias("held")).cast(acc)).otherwise(F.struct(F.concat(a["done"], F.array(ends)).alias("done"), F.lit(None).cast(SECTION).alias("held")).cast(acc))
+        return _let(ends, lambda es: F.transform(es, section(es)))
 
-    return F.aggregate(sections, start, step, lambda a: F.when(a["held"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
+    return _let(sections, merged)
 
 
 def split_long_sections(sections: Column, most: int = 1000) -> Column:

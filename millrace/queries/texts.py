@@ -123,6 +123,13 @@ def chunk_topics(t, spark):
     return d.select("doc_id", F.posexplode("s").alias("chunk", "x")).select("doc_id", "chunk", "x.title", "x.content")
 
 
+@query()
+def markdown_rows(t, spark):
+    """The sections of each text, as a table function yields them."""
+    d = t("documents").select("doc_id", markdown(F.col("text")).alias("md"))
+    return chunk.section_rows(d, "md").select("doc_id", "place", "title", F.md5(F.encode("content", "UTF-8")).alias("content"))
+
+
 @query()
 def first_two_chunks(t, spark):
     d = t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))

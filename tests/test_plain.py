@@ -1,12 +1,15 @@
 """Queries that SQL can't say, against plain Python over whole tables."""
 
+import hashlib
 import re
 from collections import Counter
 from functools import lru_cache
 
 import pytest
 
-from millrace.functions import metrics, subword
+from pyspark.sql import functions as F
+
+from millrace.functions import chunk, metrics, subword
 from millrace.queries import registry
 
 
@@ -125,3 +128,116 @@ def test_rouge(spark, sf):
                 both = [f1((grams(a, n) & grams(b, n)).total(), grams(a, n).total(), grams(b, n).total()) for n in (1, 2)]
                 want[c, r.turn] = (*both, f1(lcs(len(a), len(b)), len(a), len(b)))
     assert got == want
+
+
+def plain_sections(text):
+    """The sections of texts whose lines are all apart: a block is one line."""
+    lines, out, title, held, fence = (text or "").split("\n"), [], "Untitled", [], None
+    for i, line in enumerate(lines):
+        heads = [] if i % 5 else [f"# {line[:40]}"]
+        for block in [*heads, line]:
+            b = block.strip()
+            if fence:
+                fence = None if b and not b.replace(fence, "") and len(b) >= 3 else fence
+            elif b.startswith(("```", "~~~")):
+                fence = b[0]
+            elif re.match(r"#{1,6}( |$)", b):
+                out += [(title, "\n".join(held))] if held else []
+                title, held = re.sub(r"#+$", "", b.lstrip("#").strip()).strip(), []
+            elif b and not (re.match(r"[-*+>|]( |$)", b) or block.startswith("    ") or re.fullmatch(r"[-*_]{3,}", b)):
+                held.append(b)
+    return out + ([(title, "\n".join(held).strip())] if held else [])
+
+
+def plain_topics(sections, least, most):
+    merged, wait = [], None
+    for title, content in sections:
+        short = len(space(content)) < least
+        wait = (title, content) if wait is None else (wait[0] if short else f"{wait[0]} | {title}", f"{wait[1]}\n\n{content}")
+        if not short:
+            merged.append(wait)
+            wait = None
+    out, strip = [], lambda x: re.sub(r"^\s+|\s+\Z", "", x, flags=re.ASCII)
+    for title, content in merged + ([wait] if wait else []):
+        parts = re.split(r"\n(?=#{1,6}\s)", content, flags=re.ASCII)
+        if len(space(content)) <= most:
+            out.append((title, content))
+        elif len(parts) > 1:
+            for p in map(strip, parts):
+                line = p.split("\n")[0]
+                one = (f"{title} > {strip(line.lstrip('#'))}", strip(p[len(line) :])) if re.match(r"#{1,6}\s", line, flags=re.ASCII) else (title, p)
+                out += [one] if space(one[1]) else []
+        else:
+            out += [(f"{title} (part {i + 1})", strip(p)) for i, p in enumerate(re.split(r"\n\s*\n", content, flags=re.ASCII)) if strip(p)]
+    return out
+
+
+def test_chunk_topics(spark, sf, docs):
+    got = {}
+    for r in rows(spark, sf, "chunk_topics"):
+        got.setdefault(r.doc_id, {})[r.chunk] = (r.title, r.content)
+    for d, text in docs.items():
+        assert [x for _, x in sorted(got.get(d, {}).items())] == plain_topics(plain_sections(text), 30, 120), d
+
+
+def test_markdown_rows(spark, sf, docs):
+    got = {}
+    for r in rows(spark, sf, "markdown_rows"):
+        got.setdefault(r.doc_id, {})[r.place] = (r.title, r.content)
+    for d, text in docs.items():
+        assert [x for _, x in sorted(got.get(d, {}).items())] == [(t, hashlib.md5(c.encode()).hexdigest()) for t, c in plain_sections(text)], d
+
+
+MARKDOWN = """before
+all
+
+Under lined
+===========
+first para
+goes on
+
+- item
+goes on with the item
+
+after the list
+---
+Second, by dashes above? no: "after the list" is the heading
+
+```python
+# not a heading
+```
+~~~
+``` still code
+# nor this
+~~~
+> quote
+and its lazy line
+
+***
+
+| a | b |
+
+    indented code
+
+### Third ###
+text
+
+# Empty
+
+## Last
+end"""
+
+
+def test_markdown_blocks(spark):
+    want = [("Untitled", "before\nall"), ("Under lined", "first para\ngoes on"), ("after the list", 'Second, by dashes above? no: "after the list" is the heading'), ("Third", "text"), ("Last", "end")]
+    assert list(chunk._sections(MARKDOWN)) == want
+    df = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, ""), (4, "plain")], "id int, text string")
+    got = chunk.section_rows(df).orderBy("id", "place").collect()
+    assert [(r.id, r.place, r.title, r.content) for r in got] == [(1, i, t, c) for i, (t, c) in enumerate(want)] + [(4, 0, "Untitled", "plain")]
+    assert [tuple(x) for x in df.where("id = 1").select(chunk.markdown_sections(F.col("text")).alias("s")).first().s] == want
+
+
+def test_long_texts_are_chunked_in_linear_time(spark):
+    text = " ".join(f"word{i % 977}" + (". Next" if i % 13 == 0 else "") + ("\n\n" if i % 200 == 0 else "") for i in range(150_000))
+    got = spark.createDataFrame([(text,)], "text string").select(chunk.chunks(F.col("text"), 600, 150).alias("c")).first().c
+    assert got == plain_chunks(text, 600, 150)
