@@ -1,22 +1,24 @@
 """Trained subword vocabularies: byte-pair encoding, word pieces, greedy longest match.
 
-Counting words is distributed. learnt_bpe and learnt_wordpiece train on all different words. Up to HELD of them, counted before,
-the words themselves come to the driver (train_bpe, train_wordpiece). Beyond that they stay in Spark: their symbols and pairs are
-counted there once, after a merge only the words that hold it are counted again, and the counts of pairs, a table of the size of
-the alphabet's square at most, come to the driver. Both ways count alike and give the same vocabulary.
-Encoding runs in pandas UDFs over distinct words' caches."""
+Training is distributed, in one way at all sizes. All different words are spelled out once as arrays of symbol numbers, in
+shards of a bounded number of symbols, and written. A job makes a batch of merges in every shard, an array pass for the
+whole batch, and counts again only the words that hold one of its pairs: what comes back are the changes of pair counts,
+summed in Spark. The driver keeps the counts of pairs of neighbouring symbols, no words: a table that the alphabet and the
+merges bound, whatever the corpus. It chooses as many merges for the next batch as can't change each other's order.
+Encoding runs in pandas UDFs over distinct words' caches; longest matches are found by descent in a trie."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import base64
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import adjacent_pairs, bound, by_space
+from millrace.functions.text import adjacent_pairs, by_space
 from millrace.sources.shared import dropped, written
 
 END = "</w>"
@@ -51,124 +53,153 @@ def _joined(symbols: tuple[str, ...], pair: tuple[str, str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-class _Held:
-    """Spelled words as one array of symbol numbers, each word followed by -1, and the weight of each place."""
-
-    def __init__(self, forms: list[tuple[str, ...]], weights: list[int]) -> None:
-        self.names = sorted({t for f in forms for t in f})
-        self.number = {t: i for i, t in enumerate(self.names)}
-        self.at = np.fromiter((i for f in forms for i in (*map(self.number.__getitem__, f), -1)), np.int64)
-        self.weight = np.repeat(np.asarray(weights, np.float64), [len(f) + 1 for f in forms])
-
-    def singles(self) -> np.ndarray:
-        """The weight of each symbol."""
-        real = self.at >= 0
-        return np.bincount(self.at[real], self.weight[real], len(self.names))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left, right, weight) of the different pairs of neighbours."""
-        real, n = (self.at[:-1] >= 0) & (self.at[1:] >= 0), len(self.names)
-        key, weight = self.at[:-1][real] * n + self.at[1:][real], self.weight[:-1][real]
-        if n <= 4096:
-            total = np.bincount(key, weight, n * n)
-            key = np.flatnonzero(total)
-            total = total[key]
-        else:
-            key, place = np.unique(key, return_inverse=True)
-            total = np.bincount(place, weight, len(key))
-        return key // n, key % n, total
-
-    def best(self, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> tuple[str, str]:
-        """The pair of the highest score, ties by symbols."""
-        top = np.flatnonzero(score == score.max())
-        return min((self.names[left[i]], self.names[right[i]]) for i in top)
-
-    def merge(self, pair: tuple[str, str]) -> None:
-        """Make each occurrence of the pair, from the left, one symbol."""
-        joined = "".join(pair)
-        if joined not in self.number:
-            self.number[joined] = len(self.names)
-            self.names.append(joined)
-        l, r = (self.number[t] for t in pair)
-        hits = np.flatnonzero((self.at[:-1] == l) & (self.at[1:] == r))
-        if l == r:  # of a run of equal symbols every other place
-            place = np.arange(len(hits))
-            opens = np.diff(hits, prepend=-2) > 1
-            hits = hits[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]
-        self.at[hits] = self.number[joined]
-        self.at, self.weight = np.delete(self.at, hits + 1), np.delete(self.weight, hits + 1)
-
-
-def train_bpe(words: dict[str, int], merges: int) -> list[tuple[str, str]]:
-    """Up to that many merges, most frequent pair first, ties by the pair's symbols."""
-    state, out = _Held([(*w, END) for w in words], list(words.values())), []
-    while len(out) < merges:
-        left, right, n = state.pairs()
-        if not len(n):
-            break
-        out.append(state.best(left, right, n))
-        state.merge(out[-1])
-    return out
-
+SHARD = 1 << 20  # symbols of a shard
+CUT = 16  # batches after which the shards are written anew
+ALONE = (1 << 31) - 1  # in the place of a pair's right symbol: the left one's own count
+Batch = list[tuple[int, int, int]]  # (left, right, what they make), no symbol twice
 
-HELD = 1_000_000  # most words that train on the driver
-CUT = 16  # merges after which the words are written anew
 
+def _keys(at: np.ndarray, weight: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbours in one number each, and the symbols alone, with their weights."""
+    both = (at[:-1] >= 0) & (at[1:] >= 0)
+    key, n = at[:-1][both] << 32 | at[1:][both], weight[:-1][both]
+    if singles:
+        real = at >= 0
+        key, n = np.concatenate([key, at[real] << 32 | ALONE]), np.concatenate([n, weight[real]])
+    return key, n
 
-def _spelled(words: DataFrame, *end: str) -> DataFrame:
-    """(w, s, n), written: the word, its symbols between spaces, which no word has, and its count, for (word, n)."""
-    symbols = F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.array(*[F.lit(e) for e in end]).cast("array<string>"))
-    return written(words.select(F.array_join(symbols, "").alias("w"), F.concat(F.lit(" "), F.array_join(symbols, " "), F.lit(" ")).alias("s"), "n"), "words")
 
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(key, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, place, n)
+    return key[total != 0], total[total != 0]
 
-def _met(s: Column, weight: Column, singles: bool) -> Column:
-    """(l, r, w) of each pair of neighbouring symbols of s, and of each symbol alone (r is null)."""
-    symbols = F.filter(F.split(s, " "), lambda c: c != "")
-    pairs = F.transform(adjacent_pairs(symbols), lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"), weight.alias("w")))
-    alone = F.transform(symbols, lambda c: F.struct(c.alias("l"), F.lit(None).cast("string").alias("r"), weight.alias("w")))
-    return F.concat(pairs, alone) if singles else pairs
 
-
-def _rejoined(s: Column, pair: tuple[str, str]) -> Column:
-    joined = "".join(pair).replace("\\", r"\\").replace("$", r"\$")
-    return F.regexp_replace(s, f"(?<= ){re.escape(pair[0])} {re.escape(pair[1])}(?= )", joined)
+def _merged(at: np.ndarray, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """(at with each of the batch's pairs made one symbol, from the left; the places of the pairs before that). Words end with -1."""
+    most = max(int(at.max(initial=0)), *(x for m in batch for x in m)) + 2
+    right, made = np.full(most, -2, np.int64), np.zeros(most, np.int64)
+    for l, r, m in batch:
+        right[l], made[l] = r, m
+    hits = np.flatnonzero(right[at[:-1]] == at[1:])  # -1 looks at the last entry, which nothing equals
+    run = at[hits] == at[hits + 1]
+    if run.any():  # of a run of equal symbols every other place
+        place = np.arange(len(hits))
+        opens = np.diff(hits, prepend=-2) > 1
+        hits = hits[~run | ((place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0)]
+    out = at.copy()
+    out[hits] = made[at[hits]]
+    return np.delete(out, hits + 1), hits
 
 
 class _Training:
-    """The words of a training, spelled as after the merges up to the last writing, those since, and the counts of symbols and pairs."""
-
-    def __init__(self, words: DataFrame, weighted: bool, *end: str) -> None:
-        self.table = _spelled(words, *end)
-        self.weight = F.col("n") if weighted else F.lit(1).cast("long")
-        self.singles, self.since = not weighted, []
-        self.counts: Counter = Counter()
-        self._count(self.table.select(F.explode(_met(F.col("s"), self.weight, self.singles)).alias("x")))
-
-    def _count(self, found: DataFrame) -> None:
-        for x in found.groupBy("x.l", "x.r").agg(F.sum("x.w").alias("w")).collect():
-            self.counts[x["l"], x["r"]] += x["w"]
-
-    def _now(self, s: Column, pairs: list[tuple[str, str]]) -> Column:
-        for p in pairs:
-            s = _rejoined(s, p)
-        return s
+    """The shards of a training as last written, the batches since, and the counts of pairs (and of symbols, for singles)."""
+
+    def __init__(self, words: DataFrame, singles: bool, *end: str) -> None:
+        words = written(words.select("word", "n"), "words")
+        self.singles, self.pending = singles, []
+        letters = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()
+        self.names = sorted({r["c"] for r in letters} | set(end))
+        self.number = {c: i for i, c in enumerate(self.names)}
+        number, tail = self.number, [self.number[e] for e in end]
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, weight, size = [], [], 0
+
+            def shard() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([np.array([x for w in at for x in w], "<i4").tobytes()]), pa.array([np.array(weight, "<i8").tobytes()])], ["at", "weight"])
+
+            for b in batches:
+                for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    at.append([*map(number.__getitem__, word), *tail, -1])
+                    weight.append(1 if singles else n)
+                    size += len(at[-1])
+                    if size >= SHARD:
+                        yield shard()
+                        at, weight, size = [], [], 0
+            if at:
+                yield shard()
+
+        self.table = written(words.repartition("word").mapInArrow(spell, "at binary, weight binary"), "shards")
+        dropped(words)
+        self.keys, self.counts = self._counted(None)
+
+    def _shards(self, work, schema: str) -> DataFrame:
+        """work(symbols, each word's weight) -> record batch, over the shards as they are after the batches since the last writing."""
+        pending = list(self.pending)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x, w in zip(b.column(0), b.column(1)):
+                    at = np.frombuffer(x.as_buffer(), "<i4").astype(np.int64)
+                    for batch in pending:
+                        at = _merged(at, batch)[0]
+                    yield work(at, np.frombuffer(w.as_buffer(), "<i8"))
+
+        return self.table.mapInArrow(run, schema)
+
+    def _counted(self, batch: Batch | None) -> tuple[np.ndarray, np.ndarray]:
+        """What a batch changes in the counts, or the counts themselves."""
+        singles = self.singles
+
+        def count(at: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+            word = np.cumsum(at == -1) - (at == -1)  # the word of each place
+            if batch is None:
+                key, n = _keys(at, weight[word], singles)
+            else:
+                new, hits = _merged(at, batch)
+                touched = np.zeros(len(weight), bool)
+                touched[word[hits]] = True
+                now = np.cumsum(new == -1) - (new == -1)
+                was, be = touched[word], touched[now]
+                k0, n0 = _keys(at[was], weight[word[was]], singles)
+                k1, n1 = _keys(new[be], weight[now[be]], singles)
+                key, n = np.concatenate([k0, k1]), np.concatenate([-n0, n1])
+            key, n = _summed(key, n)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+        got = self._shards(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        return got["key"].to_numpy(), got["n"].to_numpy()
 
     def merge(self, pairs: list[tuple[str, str]]) -> None:
         """Make each of the pairs, which share no symbol, one symbol."""
-        held = F.lit(False)
+        batch = []
         for a, b in pairs:
-            held = held | F.col("w").contains(a + b)  # only these words can hold the pair
-        met = lambda s, w: _met(s, w, self.singles)
-        change = bound(self._now(F.col("s"), self.since), lambda old: bound(self._now(old, pairs), lambda new: F.when(old != new, F.concat(met(old, -self.weight), met(new, self.weight)))))
-        self._count(self.table.where(held).select(F.explode(change).alias("x")))
-        for p in pairs:
-            self.counts.pop(p, None)
-        self.since += pairs
-        if len(self.since) >= CUT:
-            old, self.table = self.table, written(self.table.withColumn("s", self._now(F.col("s"), self.since)), "words")
-            self.since = []
+            if a + b not in self.number:
+                self.number[a + b] = len(self.names)
+                self.names.append(a + b)
+            batch.append((self.number[a], self.number[b], self.number[a + b]))
+        key, n = self._counted(batch)
+        self.keys, self.counts = _summed(np.concatenate([self.keys, key]), np.concatenate([self.counts, n]))
+        self.pending.append(batch)
+        if len(self.pending) >= CUT:
+            blob = lambda at, weight: pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([weight.tobytes()])], ["at", "weight"])
+            old, self.table = self.table, written(self._shards(blob, "at binary, weight binary"), "shards")
+            self.pending = []
             dropped(old)
 
+    def _pair(self, key: int) -> tuple[str, str]:
+        return self.names[key >> 32], self.names[key & ALONE]
+
+    def frequent(self, most: int) -> dict[tuple[str, str], int]:
+        """The most frequent pairs, at least so many if there are, all of an equal count or none."""
+        if not len(self.counts):
+            return {}
+        least = np.partition(self.counts, -most)[-most] if len(self.counts) > most else self.counts.min()
+        return {self._pair(k): n for k, n in zip(self.keys[self.counts >= least].tolist(), self.counts[self.counts >= least].tolist())}
+
+    def likeliest(self) -> tuple[str, str] | None:
+        """The pair of the highest count over the product of its symbols' counts, ties by symbols."""
+        alone = self.keys & ALONE == ALONE
+        single = np.zeros(len(self.names), np.float64)
+        single[self.keys[alone] >> 32] = self.counts[alone]
+        key, n = self.keys[~alone], self.counts[~alone]
+        if not len(key):
+            return None
+        score = n / (single[key >> 32] * single[key & ALONE])
+        return min(self._pair(k) for k in key[score == score.max()].tolist())
+
 
 def next_merges(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str, str]]:
     """The most frequent pairs in the order of single merges, as far as these can't change it: they share no symbol with
@@ -187,48 +218,35 @@ def next_merges(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str,
     return out
 
 
-def _few(words: DataFrame, most: int) -> tuple[DataFrame, dict[str, int] | None]:
-    """(words written, the same as a dictionary where they are no more than most)."""
-    table = written(words.select("word", "n"), "words")
-    return table, {r["word"]: r["n"] for r in table.collect()} if table.count() <= most else None
-
-
-def learnt_bpe(words: DataFrame, merges: int, held: int = HELD) -> list[tuple[str, str]]:
-    """train_bpe over all (word, n), on the driver up to that many words."""
-    words, few = _few(words, held)
-    if few is not None:
-        dropped(words)
-        return train_bpe(few, merges)
-    state, out = _Training(words, True, END), []
+def learnt_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """Up to that many merges over all different (word, n): the most frequent pair first, ties by the pair's symbols."""
+    state, out = _Training(words, False, END), []
     while len(out) < merges:
-        best = next_merges(state.counts, min(merges - len(out), CUT))
+        best = next_merges(state.frequent(512), merges - len(out))
+        for k, (a, b) in enumerate(best):
+            if a + b in state.number or a + b in {x + y for x, y in best[:k]}:
+                best = best[: k + 1]  # its symbol has counts already: what follows has to see them
+                break
         if not best:
             break
         out += best
         state.merge(best)
     dropped(state.table)
-    dropped(words)
     return out
 
 
-def learnt_wordpiece(words: DataFrame, size: int, held: int = HELD) -> set[str]:
-    """train_wordpiece over all different (word, n), on the driver up to that many; the base vocabulary is every character of them."""
-    words, few = _few(words, held)
-    if few is not None:
-        dropped(words)
-        return train_wordpiece(list(few), size)
-    state = _Training(words, False)
-    vocab = {l for (l, r), n in state.counts.items() if r is None and n > 0}
+def learnt_wordpiece(words: DataFrame, size: int) -> set[str]:
+    """All characters of the different words of (word, n), then joins by count of the pair over the product of its parts' counts,
+    ties by symbols, up to size. A join changes the score of all that its symbols are in, so each is a batch of its own."""
+    state = _Training(words, True)
+    vocab = set(state.names)
     while len(vocab) < size:
-        single = {l: n for (l, r), n in state.counts.items() if r is None}
-        pairs = {p: n for p, n in state.counts.items() if p[1] is not None and n > 0}
-        if not pairs:
+        best = state.likeliest()
+        if not best:
             break
-        best = min(pairs, key=lambda p: (-pairs[p] / (single[p[0]] * single[p[1]]), p))
         vocab.add(best[0] + best[1])
         state.merge([best])
     dropped(state.table)
-    dropped(words)
     return vocab
 
 
@@ -242,35 +260,43 @@ def bpe_symbols(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return list(s)
 
 
-def train_wordpiece(words: list[str], size: int) -> set[str]:
-    """Characters of different words, then joins by count of the pair over the product of its parts' counts, ties by symbols, up to size."""
-    state = _Held([tuple(w) for w in words], [1] * len(words))
-    vocab = {c for w in words for c in w}
-    while len(vocab) < size:
-        left, right, n = state.pairs()
-        if not len(n):
-            break
-        single = state.singles()
-        best = state.best(left, right, n / (single[left] * single[right]))
-        vocab.add("".join(best))
-        state.merge(best)
-    return vocab
+class Trie:
+    """A set of texts by their characters, for the longest that starts at a place: one step down for each character."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        self.root: dict = {}
+        for t in texts:
+            node = self.root
+            for c in t:
+                node = node.setdefault(c, {})
+            node[None] = True
+
+    def longest(self, text: str, at: int) -> int:
+        """Where the longest of the set that starts at a place ends, the place itself if there is none."""
+        node, end = self.root, at
+        for to in range(at, len(text)):
+            node = node.get(text[to])
+            if node is None:
+                break
+            if None in node:
+                end = to + 1
+        return end
 
 
-def wordpiece(word: str, vocab: set[str]) -> list[str]:
-    """Greedy longest pieces, later ones with ##; the whole word is unknown if a piece is missing.
+def wordpiece_tries(vocab: set[str]) -> tuple[Trie, Trie]:
+    """For the first piece of a word, and for later ones, which may stand with their ## or bare."""
+    return Trie(vocab), Trie({v.removeprefix("##") if len(v) > 2 else v for v in vocab} | vocab)
 
-    A later piece is looked up with its ## first, then bare."""
+
+def wordpiece(word: str, tries: tuple[Trie, Trie]) -> list[str]:
+    """Greedy longest pieces, later ones with ##; the whole word is unknown if a piece is missing."""
     out, at = [], 0
     while at < len(word):
-        for to in range(len(word), at, -1):
-            piece = word[at:to]
-            if (at and "##" + piece in vocab) or piece in vocab:
-                out.append(("##" if at else "") + piece)
-                at = to
-                break
-        else:
+        to = tries[at > 0].longest(word, at)
+        if to == at:
             return [UNKNOWN]
+        out.append("##" * (at > 0) + word[at:to])
+        at = to
     return out
 
 
@@ -279,11 +305,11 @@ def wordpiece_text(tokens: Column) -> Column:
     return F.ltrim(F.aggregate(tokens, F.lit(""), lambda a, t: F.when(t.startswith("##"), F.concat(a, F.substring(t, 3, 1_000_000))).otherwise(F.concat(a, F.lit(" "), t))))
 
 
-def longest_match(word: str, vocab: set[str]) -> list[str]:
+def longest_match(word: str, trie: Trie) -> list[str]:
     """Greedy longest vocabulary entries; a character without one stands for itself."""
-    out, at, most = [], 0, max(map(len, vocab), default=1)
+    out, at = [], 0
     while at < len(word):
-        to = next((t for t in range(min(len(word), at + most), at, -1) if word[at:t] in vocab), at + 1)
+        to = max(trie.longest(word, at), at + 1)
         out.append(word[at:to])
         at = to
     return out
@@ -317,26 +343,39 @@ def bpe_encoder(merges: list[tuple[str, str]]):
 
 
 def wordpiece_encoder(vocab: set[str]):
-    return encoder(lambda w: wordpiece(w, vocab))
+    tries = wordpiece_tries(vocab)
+    return encoder(lambda w: wordpiece(w, tries))
 
 
 def unigram_encoder(vocab: set[str]):
-    return encoder(lambda w: longest_match(w, vocab))
+    trie = Trie(vocab)
+    return encoder(lambda w: longest_match(w, trie))
+
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ranks from a file of lines 'base64 rank'."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(n) for t, n in (x.split() for x in f if x.strip())}
 
-def token_counter(encoding: str | None = None):
-    """A size function for chunkers: tokens of a named tiktoken encoding if it can be loaded, else of words and marks."""
+
+def token_counter(encoding: str | None = None, ranks: str | None = None, pattern: str | None = None):
+    """A size function for chunkers: tokens of a named tiktoken encoding, or of a file of ranks (on every worker) and its pattern; without
+    either, words and marks. Special tokens are ordinary text."""
     from millrace.functions.text import words_and_marks
 
-    if encoding is None:
+    if encoding is None and ranks is None:
         return lambda c: F.size(words_and_marks(c))
     import tiktoken
 
-    tiktoken.get_encoding(encoding)  # fails here rather than in a task
+    def coder():
+        return tiktoken.get_encoding(encoding) if encoding else tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
+
+    coder()  # what can't be loaded fails here rather than in a task
 
     @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        coder = tiktoken.get_encoding(encoding)
-        return texts.map(lambda t: len(coder.encode(t, disallowed_special=())) if t is not None else 0)
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = coder()  # once a task
+        for texts in batches:
+            yield texts.map(lambda t: len(held.encode_ordinary(t)) if t is not None else 0)
 
     return count

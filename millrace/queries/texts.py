@@ -153,6 +153,15 @@ def wordpiece_encode(t, spark):
     return t("documents").select("doc_id", subword.wordpiece_encoder(vocab)(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.md5(F.array_join("ts", "|").cast("binary")).alias("tokens"))
 
 
+@query()
+def rank_token_counts(t, spark):
+    """Tokens of each text by the ranks of a public vocabulary."""
+    import public_tokenizers
+
+    count = subword.token_counter(ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return t("documents").select("doc_id", count(F.col("text")).alias("n"))
+
+
 @query()
 def unigram(t, spark):
     vocab = set(subword.training_words(t("documents"), most=2000))
@@ -181,11 +190,11 @@ def explode_lists(t, spark):
     return literal.select("l_orderkey", F.explode_outer(json_text.int_list(F.col("s"))).alias("x")).groupBy("l_orderkey").agg(F.count("x").alias("n"), F.sum("x").alias("total"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 OR event_id % 3 = 1 AS found FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS found FROM events")
 def json_repair(t, spark):
     k = F.col("event_id") % 3
     said = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here {it} is: "), "props", F.lit(" thanks"))).otherwise(F.lit("no {json} here"))
-    return t("events").select("event_id", json_text.embedded_json(said).isNotNull().alias("found"))
+    return t("events").select("event_id", json_text.embedded_json(said).alias("found"))
 
 
 # Conversations.

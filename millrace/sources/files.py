@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import written
+
 
 def literal(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
@@ -68,10 +70,21 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def _indexed(df: DataFrame, order: Column) -> DataFrame:
+    """df, sorted, with an unnamed row number from 0 before its columns: ranges of the order are numbered apart and shifted by the sums
+    of the rows before, of which there is one for each range."""
+    cut = written(df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("__index_range"), F.monotonically_increasing_id().alias("__index_at")), "csv-ranges")
+    sums = cut.groupBy("__index_range").agg(F.count("*").alias("__index_n"), F.min("__index_at").alias("__index_first")).withColumn("__index_all", F.col("__index_range") * 0)
+    before = F.sum("__index_n").over(W.partitionBy("__index_all").orderBy("__index_range")) - F.col("__index_n")
+    shifts = sums.select(F.col("__index_range").alias("__index_r"), (before - F.col("__index_first")).alias("__index_shift"))
+    placed = cut.join(F.broadcast(shifts), F.col("__index_range") == F.col("__index_r"))
+    return placed.select((F.col("__index_at") + F.col("__index_shift")).alias("Unnamed: 0"), *[F.col(f"`{c}`") for c in df.columns])
+
+
 def write_csv(df: DataFrame, path: str, index: Column | None = None) -> None:
     """CSV with a header; with index (an order) the first column is an unnamed row number from 0."""
     if index is not None:
-        df = df.select((F.row_number().over(W.orderBy(index)) - 1).alias("Unnamed: 0"), "*")
+        df = _indexed(df, index)
     df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 

@@ -151,16 +151,15 @@ def test_tokenizers(spark):
 
 
 def test_subwords(spark):
-    merges = subword.train_bpe({"low": 5, "lower": 2, "newest": 6, "widest": 3}, 10)
+    merges = subword.learnt_bpe(spark.createDataFrame([("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)], "word string, n long"), 10)
     assert merges[0] == ("e", "s") and merges[1] == ("es", "t")
     ranks = {p: i for i, p in enumerate(merges)}
     assert "".join(subword.bpe_symbols("lowest", ranks)) == "lowest" + subword.END
     vocab = {"play", "##ing", "run", "foot", "ball"}
-    assert subword.wordpiece("playing", vocab) == ["play", "##ing"] and subword.wordpiece("runner", vocab) == ["[UNK]"] and subword.wordpiece("football", vocab) == ["foot", "##ball"]
+    assert [subword.wordpiece(w, subword.wordpiece_tries(vocab)) for w in ("playing", "runner", "football")] == [["play", "##ing"], ["[UNK]"], ["foot", "##ball"]]
     df = spark.createDataFrame([(["#", "##hg", "##hf"],)], "t array<string>")
     assert df.select(subword.wordpiece_text(F.col("t"))).first()[0] == "#hghf"
-    assert subword.longest_match("player", {"play", "er"}) == ["play", "er"] and subword.longest_match("xplay", {"play"}) == ["x", "play"]
-    assert subword.train_wordpiece(["ab", "ab", "ac"], 4) >= {"a", "b", "c"}
+    assert subword.longest_match("player", subword.Trie({"play", "er"})) == ["play", "er"] and subword.longest_match("xplay", subword.Trie({"play"})) == ["x", "play"]
     assert col(spark, ["low low"], subword.bpe_encoder(merges))[0] == subword.bpe_symbols("low", ranks) * 2
 
 
@@ -209,15 +208,42 @@ def plain_wordpiece(words, size):
     return vocab
 
 
+def by_slices(word, vocab, later=""):
+    """Longest pieces by trying each length: later ones with their ## first, then bare; None where one is missing."""
+    out, at = [], 0
+    while at < len(word):
+        to = next((t for t in range(len(word), at, -1) if (at and later and later + word[at:t] in vocab) or word[at:t] in vocab), None)
+        if to is None:
+            return None
+        out.append((later if at else "") + word[at:to])
+        at = to
+    return out
+
+
+def test_tries_find_what_slices_find():
+    r = np.random.default_rng(11)
+    text = lambda most: "".join(r.choice(list("ab#é"), r.integers(1, most)))
+    for _ in range(300):
+        vocab = {text(5) for _ in range(12)} | {"##" + text(4) for _ in range(4)}
+        word = text(14)
+        assert subword.wordpiece(word, subword.wordpiece_tries(vocab)) == (by_slices(word, vocab, "##") or [subword.UNKNOWN])
+        all_ = vocab | set(word)
+        assert subword.longest_match(word, subword.Trie(vocab)) == by_slices(word, all_)
+
+
 def test_subwords_learn_from_all_words(spark):
     from millrace.queries import texts
 
     r = np.random.default_rng(6)
     words = {"".join(r.choice(list("aab$\\.*é"), r.integers(1, 6))): int(r.integers(1, 9)) for _ in range(300)}
     df = spark.createDataFrame(list(words.items()), "word string, n long")
-    for held in (0, 299, 300):  # in Spark below 300, else on the driver
-        assert subword.learnt_bpe(df, 12, held) == plain_bpe(words, 12)
-        assert subword.learnt_wordpiece(df, 16, held) == plain_wordpiece(words, 16)
+    for shard in (1 << 20, 50):  # a shard for each partition, or many
+        subword.SHARD, kept = shard, subword.SHARD
+        assert subword.learnt_bpe(df, 45) == plain_bpe(words, 45)  # past a writing of the shards
+        assert subword.learnt_wordpiece(df, 30) == plain_wordpiece(words, 30)
+        subword.SHARD = kept
+    assert subword.learnt_bpe(df.limit(0), 5) == [] and subword.learnt_wordpiece(df.limit(0), 5) == set()
+    assert subword.learnt_bpe(df.limit(2), 500) == plain_bpe({r.word: r.n for r in df.limit(2).collect()}, 500)  # until no pair is left
     # A rare word of characters that no other word has, behind 600 frequent ones.
     common = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"[:24])
     docs = spark.createDataFrame([(1, common), (2, common), (3, "日7")], "doc_id long, text string")

@@ -2,15 +2,18 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from millrace.functions import chunk, metrics, subword
 from millrace.queries import registry
+from tests.test_operators import plain_bpe, plain_wordpiece
 
 
 @pytest.fixture(scope="module")
@@ -97,11 +100,16 @@ def test_encoders_keep_the_text(spark, sf, docs):
     """The encoders' rows over the trained vocabularies: pieces join to the words again."""
     words = {r["word"]: r["n"] for r in subword.word_counts(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert words == Counter(w for t in docs.values() if t for w in space(t))
-    ranks = {p: i for i, p in enumerate(subword.train_bpe(words, 100))}
-    vocab = subword.train_wordpiece(list(words), 160)
+    ranks = {p: i for i, p in enumerate(plain_bpe(words, 100))}
+    tries = subword.wordpiece_tries(plain_wordpiece(words, 160))
     for w in words:
         assert "".join(subword.bpe_symbols(w, ranks)) == w + subword.END
-        assert "".join(x.removeprefix("##") if i else x for i, x in enumerate(subword.wordpiece(w, vocab))) == w or "#" in w
+        assert "".join(x.removeprefix("##") if i else x for i, x in enumerate(subword.wordpiece(w, tries))) == w or "#" in w
+    pieces = {r.doc_id: (r.n, r.tokens) for r in rows(spark, sf, "wordpiece_encode")}
+    for d, t in docs.items():
+        if t is not None:
+            made = [x for w in t.split() for x in subword.wordpiece(w, tries)]
+            assert pieces[d] == (len(made), hashlib.md5("|".join(made).encode()).hexdigest()), d
     counted = {r.doc_id: r.n for r in rows(spark, sf, "bpe_encode")}
     assert all(counted[d] == sum(len(subword.bpe_symbols(w, ranks)) for w in t.split()) for d, t in docs.items() if t is not None)
 
@@ -241,3 +249,26 @@ def test_long_texts_are_chunked_in_linear_time(spark):
     text = " ".join(f"word{i % 977}" + (". Next" if i % 13 == 0 else "") + ("\n\n" if i % 200 == 0 else "") for i in range(150_000))
     got = spark.createDataFrame([(text,)], "text string").select(chunk.chunks(F.col("text"), 600, 150).alias("c")).first().c
     assert got == plain_chunks(text, 600, 150)
+
+
+def test_rank_token_counts(spark, sf, docs):
+    import public_tokenizers
+    import tiktoken
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=subword.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert {r.doc_id: r.n for r in rows(spark, sf, "rank_token_counts")} == {d: len(coder.encode_ordinary(t or "")) for d, t in docs.items()}
+
+
+def test_common_subsequences():
+    r = np.random.default_rng(12)
+    for _ in range(200):
+        a, b = ([str(x) for x in r.integers(0, 4, r.integers(0, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        assert metrics.lcs(a, b) == row[-1]
+    long_ = [[f"w{x}" for x in r.integers(0, 3000, 20_000)] for _ in range(2)]
+    began = time.time()
+    assert metrics.lcs(*long_) > 300 and time.time() - began < 10

@@ -18,6 +18,10 @@ def test_files(spark, tmp_path):
     files.write_csv(df, f"{tmp_path}/a", index=F.col("id"))
     got = files.csv(spark, f"{tmp_path}/a", "n int, id int, q string", ["id", "q"])
     assert sorted(map(tuple, got.collect())) == [(1, "plain"), (2, 'he said "x"\nand, left')]
+    many = spark.range(500).select((999 - F.col("id")).alias("k"), (F.col("id") % 7).alias("_at")).repartition(5)
+    files.write_csv(many, f"{tmp_path}/many", index=F.col("k").desc())
+    numbered = files.csv(spark, f"{tmp_path}/many", "n long, k long, a long").collect()
+    assert sorted(map(tuple, numbered)) == [(i, 999 - i, i % 7) for i in range(500)]
     files.write_json(df, f"{tmp_path}/j")
     assert spark.read.schema("id int, q string").json(f"{tmp_path}/j").count() == 2
     (tmp_path / "d/e").mkdir(parents=True)
