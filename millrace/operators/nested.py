@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import filled_template  # noqa: F401  (part of this surface)
+from millrace.sources.shared import dropped, written
 
 NODE = "struct<parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>"
 TREE = f"map<string,{NODE}>"
@@ -24,23 +25,38 @@ def node_role(node: Column) -> Column:
     return F.coalesce(node["message"]["author"]["role"], F.lit("unknown"))
 
 
-def root_of(mapping: Column) -> Column:
-    """The id of the first node whose parent is the client's root; null without one."""
-    return F.get(F.filter(F.map_entries(mapping), lambda e: e["value"]["parent"] == ROOT), F.lit(0))["key"]
+def tree_nodes(df: DataFrame, mapping: str = "mapping", id_: str = "id") -> DataFrame:
+    """A row for each node of each row's tree, written: (tree, id, at, key, parent, role, text, children); at is its place in the map."""
+    trees = df.select(F.monotonically_increasing_id().alias("tree"), F.col(id_).alias("id"), F.col(mapping).alias("m"))
+    rows = trees.select("tree", "id", F.posexplode("m").alias("at", "key", "node"))
+    n = F.col("node")
+    return written(rows.select("tree", "id", "at", "key", n["parent"].alias("parent"), node_role(n).alias("role"), node_text(n).alias("text"), n["children"].alias("children")), "tree-nodes")
 
 
-def walked(mapping: Column) -> Column:
-    """Node ids from the root along first children, each once."""
-    state = "struct<at:string,path:array<string>>"
-    start = F.struct(root_of(mapping).alias("at"), F.array().cast("array<string>").alias("path")).cast(state)
+def tree_roots(nodes: DataFrame) -> DataFrame:
+    """(tree, key) of the first node whose parent is the client's root; no row for trees without one."""
+    return nodes.where(F.col("parent") == ROOT).groupBy("tree").agg(F.min_by("key", "at").alias("key"))
 
-    def step(a: Column, _: Column) -> Column:
-        node = F.try_element_at(mapping, a["at"])
-        go = a["at"].isNotNull() & node.isNotNull() & ~F.coalesce(F.array_contains(a["path"], a["at"]), F.lit(False))
-        moved = F.struct(F.get(node["children"], F.lit(0)).alias("at"), F.concat(a["path"], F.array(a["at"])).alias("path")).cast(state)
-        return F.when(go, moved).otherwise(F.struct(F.lit(None).cast("string").alias("at"), a["path"].alias("path")).cast(state))
 
-    return F.aggregate(F.map_keys(mapping), start, step, lambda a: a["path"])
+def walked(nodes: DataFrame) -> DataFrame:
+    """(tree, key, place): the nodes from the root along first children, each once; a missing child or a node met before ends the walk.
+
+    By pointers that double: a round reaches twice as far along every walk, so the longest decides by its logarithm, and a
+    tree's nodes are never in one row or task."""
+    reached = written(tree_roots(nodes).withColumn("place", F.lit(0).cast("long")), "tree-walk")
+    there = nodes.select("tree", F.col("key").alias("next"))
+    jump = nodes.select("tree", "key", F.get("children", F.lit(0)).alias("next")).join(reached.select("tree"), "tree", "left_semi").join(there, ["tree", "next"], "left_semi")
+    n, step, jump = reached.count(), 1, written(jump.select("tree", "key", "next"), "tree-jumps")
+    while True:
+        on = reached.join(jump, ["tree", "key"]).select("tree", F.col("next").alias("key"), (F.col("place") + step).alias("place"))
+        old, reached = reached, written(reached.union(on).groupBy("tree", "key").agg(F.min("place").alias("place")), "tree-walk")
+        dropped(old)
+        if (m := reached.count()) == n:
+            return reached
+        n, step = m, 2 * step
+        far = jump.select("tree", F.col("key").alias("next"), F.col("next").alias("far"))
+        old, jump = jump, written(jump.join(far, ["tree", "next"]).select("tree", "key", F.col("far").alias("next")), "tree-jumps")
+        dropped(old)
 
 
 def _blank(c: Column) -> Column:
@@ -51,21 +67,19 @@ def question_answers(df: DataFrame, mapping: str = "mapping", id_: str = "id", k
     """(instruction, output, conversation_id, session_id): each non-blank user node with its first non-blank assistant child.
 
     Rooted conversations are walked along first children; others give all their user nodes, under the id 'unknown'."""
-    m = F.col(mapping)
-    path = F.when(root_of(m).isNotNull(), walked(m)).otherwise(F.map_keys(m))
-
-    def pair(k: Column) -> Column:
-        node = F.try_element_at(m, k)
-        answers = F.filter(
-            F.transform(node["children"], lambda c: F.try_element_at(m, c)),
-            lambda n: n.isNotNull() & (node_role(n) == "assistant") & ~_blank(node_text(n)),
-        )
-        return F.struct(node_role(node).alias("role"), node_text(node).alias("instruction"), node_text(F.get(answers, F.lit(0))).alias("output"), (F.size(answers) > 0).alias("answered"))
-
-    pairs = F.filter(F.transform(path, pair), lambda p: (p["role"] == "user") & ~_blank(p["instruction"]) & p["answered"])
-    given = F.coalesce(F.col(id_), F.lit("unknown"))
-    cid = given if keep_rootless_id else F.when(root_of(m).isNotNull(), given).otherwise(F.lit("unknown"))
-    return df.select(cid.alias("conversation_id"), F.posexplode(pairs).alias("session_id", "p")).select("p.instruction", "p.output", "conversation_id", "session_id")
+    nodes = tree_nodes(df, mapping, id_)
+    path = walked(nodes)
+    rooted = nodes.join(path, ["tree", "key"]).withColumn("rooted", F.lit(True))
+    others = nodes.join(path.select("tree").distinct(), "tree", "left_anti").withColumn("place", F.col("at").cast("long")).withColumn("rooted", F.lit(False))
+    said = rooted.unionByName(others).where((F.col("role") == "user") & ~_blank(F.col("text")))
+    asked = said.select("tree", "id", "rooted", "place", F.col("text").alias("instruction"), F.posexplode("children").alias("nth", "key"))
+    answers = nodes.where((F.col("role") == "assistant") & ~_blank(F.col("text"))).select("tree", "key", F.col("text").alias("output"))
+    first = F.min(F.struct("nth", "output", "instruction", "id", "rooted")).alias("x")
+    pairs = asked.join(answers, ["tree", "key"]).groupBy("tree", "place").agg(first).select("tree", "place", "x.*")
+    given = F.coalesce(F.col("id"), F.lit("unknown"))
+    cid = given if keep_rootless_id else F.when(F.col("rooted"), given).otherwise(F.lit("unknown"))
+    number = F.row_number().over(W.partitionBy("tree").orderBy("place")) - 1
+    return pairs.select("instruction", "output", cid.alias("conversation_id"), number.alias("session_id"))
 
 
 def adjacent_answers(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:

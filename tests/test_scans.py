@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import aggs, windows
+from millrace.operators import aggs, nested, windows
 
 
 def filled(df, how, **more):
@@ -72,3 +72,48 @@ def test_quartiles(spark):
         for g, v in groups.items():
             assert np.allclose(got[g], np.quantile(v, (0, 0.25, 0.5, 0.75, 1)), atol=1e-4, rtol=1e-6), g
     assert aggs.quartiles(df.limit(0), "g", "x").count() == 0
+
+
+def node(parent, children, role="user", text="x"):
+    return (parent, children, ((role,), ([text],)))
+
+
+def plain_pairs(tree):
+    """The question-answer pairs of one export tree."""
+    says = lambda k: (tree[k][2][0][0], tree[k][2][1][0][0]) if k in tree else (None, "")
+    at, path = next((k for k, n in tree.items() if n[0] == nested.ROOT), None), []
+    if at is None:
+        path = list(tree)
+    while at is not None and at in tree and at not in path:
+        path.append(at)
+        at = (tree[at][1] or [None])[0]
+    out = []
+    for k in path:
+        good = [says(c)[1] for c in tree[k][1] or [] if says(c)[0] == "assistant" and says(c)[1].strip()]
+        if says(k)[0] == "user" and says(k)[1].strip() and good:
+            out.append((says(k)[1], good[0]))
+    return [(*x, i) for i, x in enumerate(out)]
+
+
+def test_tree_walks(spark):
+    """Random trees: branches, cycles, children that are missing, no root, blank texts, no children."""
+    r = np.random.default_rng(8)
+    trees = {}
+    for t in range(200):
+        n = int(r.integers(1, 30))
+        kids = lambda i: None if r.random() < 0.05 else [f"n{r.integers(0, n + 2)}" if r.random() < 0.2 else f"n{i + 1 + j}" for j in range(r.integers(0, 3))]  # noqa: B023, E731
+        trees[f"t{t}"] = {f"n{i}": node(nested.ROOT if i in (0, 5) and t % 4 else f"n{i - 1}", kids(i), ("user", "assistant", "system")[r.integers(0, 3)], ("", " ", f"said {i}", f"more {i}")[r.integers(0, 4)]) for i in range(n)}
+    df = spark.createDataFrame([(t, m) for t, m in trees.items()] + [("none", {}), ("null", None)], f"id string, mapping {nested.TREE}")
+    got = {}
+    for x in nested.question_answers(df, keep_rootless_id=True).collect():
+        got.setdefault(x.conversation_id, []).append((x.instruction, x.output, x.session_id))
+    want = {t: plain_pairs(m) for t, m in trees.items()}
+    assert {t: sorted(v, key=lambda x: x[2]) for t, v in got.items()} == {t: v for t, v in want.items() if v} and len(got) > 15
+
+
+def test_a_walk_of_many_nodes(spark):
+    n = 20_000
+    tree = {f"n{i}": node(nested.ROOT if not i else f"n{i - 1}", [f"n{i + 1}"] if i + 1 < n else [], ("user", "assistant")[i % 2], f"said {i}") for i in range(n)}
+    df = spark.createDataFrame([("long", tree)], f"id string, mapping {nested.TREE}")
+    got = nested.question_answers(df).orderBy("session_id").collect()
+    assert [(x.instruction, x.output, x.session_id) for x in got] == [(f"said {i}", f"said {i + 1}", i // 2) for i in range(0, n, 2)]
