@@ -1,5 +1,7 @@
 """Scans over whole tables without a task for all rows: fills, interpolation, exact quartiles."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -103,7 +105,9 @@ def test_tree_walks(spark):
         n = int(r.integers(1, 30))
         kids = lambda i: None if r.random() < 0.05 else [f"n{r.integers(0, n + 2)}" if r.random() < 0.2 else f"n{i + 1 + j}" for j in range(r.integers(0, 3))]  # noqa: B023, E731
         trees[f"t{t}"] = {f"n{i}": node(nested.ROOT if i in (0, 5) and t % 4 else f"n{i - 1}", kids(i), ("user", "assistant", "system")[r.integers(0, 3)], ("", " ", f"said {i}", f"more {i}")[r.integers(0, 4)]) for i in range(n)}
-    df = spark.createDataFrame([(t, m) for t, m in trees.items()] + [("none", {}), ("null", None)], f"id string, mapping {nested.TREE}")
+    keyed = lambda n: {"parent": n[0], "children": n[1], "message": {"author": {"role": n[2][0][0]}, "content": {"parts": n[2][1][0]}}}
+    texts = [json.dumps({"id": t, "mapping": m and {k: keyed(n) for k, n in m.items()}}) for t, m in [*trees.items(), ("none", {}), ("null", None)]]
+    df = spark.createDataFrame([(t,) for t in texts], "j string").select(F.from_json("j", f"id string, mapping {nested.TREE}").alias("x")).select("x.*")  # maps in their order
     got = {}
     for x in nested.question_answers(df, keep_rootless_id=True).collect():
         got.setdefault(x.conversation_id, []).append((x.instruction, x.output, x.session_id))
