@@ -13,7 +13,7 @@
 
 Only sets that a fixed-size Bloom filter of the paired nodes lets through are sent for step 3 (false hits cost bytes, not
 results). Null texts and texts without words have no shingles and are linked with nothing; null doc_ids are carried and
-never the least; repeated rows are copies; an empty table gives no rows; extra columns are ignored."""
+never the least; repeated rows are copies; texts of any length are shingled whole; an empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ back to the executors, where each piece finds its place by its rank among the pi
 of best-fit decreasing over all pieces one by one, at any number of partitions.
 
 Null texts are empty and give one piece with the end id only; a document's own id may be null or repeated (its rows are
-placed one by one); an empty table gives no rows; extra columns are ignored."""
+placed one by one); texts of any length are encoded whole and cut into pieces; an empty table gives no rows; extra columns
+are ignored."""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ Each line has its own features and those of its two neighbours. The field is tra
 a bounded sample of labelled documents (SAMPLE of each label, a documented parameter), each line with its document's
 label. A document's quality is the mean of its lines' forward-backward marginals, weighted by their length.
 
-Null and empty texts have one empty line and are scored by the model; documents whose label is null, and rows of labels
+Null and empty texts have one empty line and are scored by the model; texts of any length are scored whole; documents whose label is null, and rows of labels
 without a document, are not learnt from; of several labels of one document the least counts; without labels of both
 kinds every score is the share of label 1 (0.5 without labels); repeated rows score alike; extra columns are ignored."""
 

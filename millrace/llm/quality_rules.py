@@ -1,6 +1,6 @@
 """Operator 2: quality rules. One threshold table is compiled into one Spark projection; no user functions.
 
-Nulls and empty texts have no words and fail the base rule; repeated rows are judged alike, row by row; extra columns
+Nulls and empty texts have no words and fail the base rule; texts of any length are measured whole, in one row; repeated rows are judged alike, row by row; extra columns
 are carried through (a column named like a measure is replaced in the result of measures())."""
 
 from __future__ import annotations
