@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -79,6 +80,33 @@ def unordered_pairs(df: DataFrame, group: str, by: str, carry: list[str]) -> Dat
     return a.join(b, (a[group] == b["_g"]) & (a[f"{by}_i"] < b[f"{by}_j"])).drop("_g")
 
 
+def pair_totals(df: DataFrame, group: str, by: str, value: str) -> DataFrame:
+    """(group, pairs, spread): how many pairs unordered_pairs() makes of each group, and the sum of the distances of their whole-number
+    values, without making them. A pair without a value on both sides counts, and adds nothing; groups without pairs go.
+
+    In the order of values, each is as far from those before it as it is above their mean; a distance has no side, so which of
+    the two comes first by `by` doesn't matter. Pairs of rows of equal `by` are the same sums within these, and are taken off."""
+    rows = df.where(F.col(group).isNotNull() & F.col(by).isNotNull()).groupBy(group, by, value).agg(F.count("*").alias("_n"))
+
+    def sums(rows: DataFrame, *keys: str) -> DataFrame:
+        before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        there, v, n = F.col(value).isNotNull(), F.col(value).cast("long"), F.col("_n")
+        many = F.coalesce(F.sum(n).over(before), F.lit(0))
+        known = F.coalesce(F.sum(F.when(there, n)).over(before), F.lit(0))
+        total = F.coalesce(F.sum(v * n).over(before), F.lit(0))
+        # n (n - 1) / 2 pairs of the value with itself add none to the spread, but make it 0 where it would be null.
+        same = F.expr("_n * (_n - 1) div 2")
+        each = rows.select(*keys, (n * many + same).alias("_pairs"), F.when(there, n * known + same).alias("_both"), F.when(there, n * (v * known - total)).alias("_far"))
+        return each.groupBy(*keys).agg(F.sum("_pairs").alias("_pairs"), F.coalesce(F.sum("_both"), F.lit(0)).alias("_both"), F.coalesce(F.sum("_far"), F.lit(0)).alias("_far"))
+
+    every = sums(rows.groupBy(group, value).agg(F.sum("_n").alias("_n")), group)
+    # Only rows of a `by` that repeats in its group.
+    again = rows.groupBy(group, by).agg(F.sum("_n").alias("_m")).where("_m > 1").drop("_m")
+    equal = sums(rows.join(again, [group, by], "left_semi"), group, by).groupBy(group).agg(*[(-F.sum(c)).alias(c) for c in ("_pairs", "_both", "_far")])
+    out = every.unionByName(equal).groupBy(group).agg(*[F.sum(c).alias(c) for c in ("_pairs", "_both", "_far")])
+    return out.where("_pairs > 0").select(group, F.col("_pairs").alias("pairs"), F.when(F.col("_both") > 0, F.col("_far")).alias("spread"))
+
+
 def led(df: DataFrame, step: str, agent: str, leader: str, x: str, y: str) -> DataFrame:
     """Each follower with its leader's position at the same step: dx, dy are the offsets."""
     b = df.select(F.col(step).alias("_s"), F.col(agent).alias("_a"), F.col(x).alias("_x"), F.col(y).alias("_y"))

@@ -221,8 +221,7 @@ def date_spine(t, spark):
 
 @query("SELECT a.p_brand, count(*)::BIGINT AS pairs, sum(abs(a.p_size - b.p_size))::BIGINT AS spread FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey GROUP BY 1")
 def pairs_theta(t, spark):
-    p = joins.unordered_pairs(t("part"), "p_brand", "p_partkey", ["p_size"])
-    return p.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.sum(F.abs(F.col("p_size_i") - F.col("p_size_j"))).alias("spread"))
+    return joins.pair_totals(t("part"), "p_brand", "p_partkey", "p_size")
 
 
 @query("""WITH e AS (SELECT DISTINCT event_id % 40 AS target, user_id % 6 AS agent, event_type AS action FROM events)

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -423,3 +424,24 @@ def test_swarm(spark):
     m = sim.swarm_metrics(steps).first()
     assert steps.count() == 800 and m.min_clearance > 0 and m.max_deviation >= m.final_error >= 0
     assert steps.where("step = 159 and agent = 'Drone_A'").first().y == pytest.approx(10 + 160 * 0.25)
+
+
+def test_pair_totals_of_a_large_group(spark):
+    rows = [("a", 1, 5), ("a", 1, 5), ("a", 2, None), ("a", 3, 9), ("a", 3, None), ("a", None, 4), ("b", 1, 3), ("c", 1, None), ("c", 2, 7), (None, 1, 2), (None, 2, 2), ("d", 1, 2), ("d", 1, 4), ("e", 4, 6), ("e", 2, 6)]
+    df = spark.createDataFrame(rows, "g string, k long, v int")
+    made = joins.unordered_pairs(df, "g", "k", ["v"]).groupBy("g").agg(F.count("*").alias("pairs"), F.sum(F.abs(F.col("v_i") - F.col("v_j"))).alias("spread"))
+    got = joins.pair_totals(df, "g", "k", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.collect())) and got.dtypes == made.dtypes
+    # 2e10 pairs, which no test's time would make.
+    n = 200_000
+    big = spark.range(n).select(F.lit("x").alias("g"), F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("v"))
+    assert [tuple(r) for r in joins.pair_totals(big, "g", "k", "v").collect()] == [("x", n * (n - 1) // 2, n * n // 4)]
+
+
+def test_bytes_of_a_long_text(spark):
+    s = "\x00a\né\U0001f600ÿ\r\x85 "
+    assert col(spark, [s, None], text.utf8_bytes) == [list(s.encode()), []]
+    df = spark.range(1).select(F.repeat(F.lit("aé\n"), 500_000).alias("s")).select(text.utf8_bytes(F.col("s")).alias("b"))
+    began = time.monotonic()
+    assert df.select(F.size("b"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)).collect() == [(2_000_000, 500_000 * (97 + 195 + 169 + 10))]
+    assert time.monotonic() - began < 60  # a walk from the start for each byte takes hours
