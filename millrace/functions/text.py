@@ -68,10 +68,10 @@ def char_ngrams(c: Column, n: int) -> Column:
 
 
 def utf8_bytes(c: Column) -> Column:
-    """The byte values of the UTF-8 form."""
-    coded = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(coded, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """The byte values of the UTF-8 form. Read as Latin-1, each byte is one character of its own value; a substring for each would
+    walk there from the start."""
+    chars = F.split(F.decode(c.cast("binary"), "ISO-8859-1"), "")
+    return F.when(F.octet_length(c) > 0, F.transform(F.filter(chars, lambda x: x != ""), lambda x: F.ascii(x))).otherwise(F.array().cast("array<int>"))
 
 
 def word_count(c: Column) -> Column:
