@@ -285,5 +285,5 @@ def resumed_stream(t, spark):
     for part, fail in ((0, None), (1, lambda batch: True), (2, None)):
         files.write_batches(beats.where(F.col("sequence") % 3 == part), f"{at}/in")
         with contextlib.suppress(*[StreamingQueryException] if fail else []):
-            out = heartbeats.run_to_end(heartbeats.latest(heartbeats.source(spark, f"{at}/in")), f"{at}/out", "update", f"{at}/checkpoint", fail)
+            out = heartbeats.run_to_end(heartbeats.latest(heartbeats.source(spark, f"{at}/in", heartbeats.ALL)), f"{at}/out", "update", f"{at}/checkpoint", fail)
     return heartbeats.merged(out, "agent_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -21,6 +21,9 @@ _ACTION = [c.split(" ")[0] for c in ACTION.split(", ")]
 _MEMORY = ("last_seen", "failures", "last_action", "last_action_at", "restarts", "next")
 
 
+ALL = (1 << 31) - 1  # files of a batch: whatever a run finds is one batch, so batches don't grow with the files
+
+
 def source(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
     """A stream of heartbeat Parquet files."""
     return spark.readStream.schema(BEAT).option("maxFilesPerTrigger", files).parquet(folder)
