@@ -94,8 +94,9 @@ def supervisor_stream(t, spark):
     clock = spark.range(1).select(F.lit("clock").alias("agent_id"), F.timestamp_seconds(F.lit(NOW + 86400)).alias("ts"), F.lit(0).cast("long").alias("sequence"), F.lit(True).alias("alive"))
     middle = F.col("ts").cast("double") < NOW - 86400 * 6
     for part in (beats.where(middle), beats.where(~middle).unionByName(clock)):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-        stream = heartbeats.supervise_stream(heartbeats.source(spark, f"{at}/in"), NOW - 86400 * 10, 86400.0, NOW - 86400, 90000.0, 40000.0, 2.0, 400000.0)
+        part.write.mode("append").parquet(f"{at}/in")
+        # A run's files are one batch: the watermark of one file would make the heartbeats of the next one late.
+        stream = heartbeats.supervise_stream(heartbeats.source(spark, f"{at}/in", heartbeats.ALL), NOW - 86400 * 10, 86400.0, NOW - 86400, 90000.0, 40000.0, 2.0, 400000.0)
         out = heartbeats.run_to_end(stream, f"{at}/out", "append", f"{at}/checkpoint")
     return out.where("agent_id <> 'clock'").drop("batch")
 

@@ -82,52 +82,56 @@ def supervised(beats: DataFrame, checks: list[float], timeout: float = 8.0, base
 
 
 class _Supervisor(StatefulProcessor):
-    """The state of an agent: its memory, the last heartbeat of each interval between checks that is still to come, and one
-    timer, for the next check."""
+    """The state of an agent, one value: its memory and the last heartbeat of each interval between checks that is still to come;
+    and one timer, for the next check. Each call to the state is a round trip, so there is one read and one write for a batch or timer."""
 
     def __init__(self, start: float, interval: float, last: float | None, timeout: float, waits: tuple[float, float, float]) -> None:
         self.start, self.interval, self.last, self.timeout, self.waits = start, interval, last, timeout, waits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", MEMORY + ", next long")
-        self.ahead = handle.getMapState("ahead", "nth long", "t double")
+        self.memory = handle.getValueState("memory", MEMORY + ", next long, nths array<long>, times array<double>")
 
     def _time(self, nth: int) -> float:
         return self.start + nth * self.interval
 
-    def _remembered(self) -> dict:
-        if self.memory.exists():
-            return dict(zip(_MEMORY, self.memory.get()))
-        return dict(zip(_MEMORY, (None, 0, "none", 0.0, 0, 0)))
+    def _remembered(self) -> tuple[dict, dict[int, float], bool]:
+        """(memory, last heartbeat of each interval to come, whether the agent is known)."""
+        held = self.memory.get()
+        if held is None:
+            return dict(zip(_MEMORY, (None, 0, "none", 0.0, 0, 0))), {}, False
+        return dict(zip(_MEMORY, held)), dict(zip(*held[len(_MEMORY) :])), True
+
+    def _remember(self, memory: dict, ahead: dict[int, float]) -> None:
+        self.memory.update((*memory.values(), list(ahead), list(ahead.values())))
 
     def _timed(self, nth: int) -> None:
         if self.last is None or self._time(nth) <= self.last:
             self.handle.registerTimer(int(self._time(nth) * 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if not self.memory.exists():
-            memory = self._remembered()
-            self.memory.update(tuple(memory.values()))
-            self._timed(0)
+        memory, ahead, known = self._remembered()
         for pdf in rows:
-            nth = np.maximum(np.ceil((pdf["t"] - self.start) / self.interval), 0).astype(int)  # the first check that sees it
-            for n, t in pdf["t"].groupby(nth).max().items():
-                held = self.ahead.getValue((int(n),))[0] if self.ahead.containsKey((int(n),)) else t
-                self.ahead.updateValue((int(n),), (max(float(t), held),))
-        yield pd.DataFrame([], columns=_ACTION)
+            t = np.sort(pdf["t"].to_numpy())
+            nth = np.maximum(np.ceil((t - self.start) / self.interval), 0).astype(int)  # the first check that sees it
+            last = np.flatnonzero(np.append(nth[1:] != nth[:-1], True))
+            for n, seen in zip(nth[last].tolist(), t[last].tolist()):
+                ahead[n] = max(seen, ahead.get(n, seen))
+        self._remember(memory, ahead)
+        if not known:
+            self._timed(0)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        memory, now, out = self._remembered(), timerValues.getCurrentWatermarkInMs() / 1000.0, []
+        (memory, ahead, _), now, out = self._remembered(), timerValues.getCurrentWatermarkInMs() / 1000.0, []
         while self._time(memory["next"]) <= now and (self.last is None or self._time(memory["next"]) <= self.last):
             at, nth = self._time(memory["next"]), memory["next"]
-            if self.ahead.containsKey((nth,)):
-                memory["last_seen"] = max(self.ahead.getValue((nth,))[0], memory["last_seen"] or 0.0)
-                self.ahead.removeKey((nth,))
+            if nth in ahead:
+                memory["last_seen"] = max(ahead.pop(nth), memory["last_seen"] or 0.0)
             action, wait = _checked(memory, memory["last_seen"], at, self.timeout, self.waits)
             out.append((key[0], at, action, memory["failures"], wait, memory["restarts"]))
             memory["next"] = nth + 1
-        self.memory.update(tuple(memory.values()))
+        self._remember(memory, ahead)
         self._timed(memory["next"])
         yield pd.DataFrame(out, columns=_ACTION)
 

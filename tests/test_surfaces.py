@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -166,3 +167,24 @@ def test_expiry_by_the_state_store(spark, tmp_path):
     time.sleep(16)
     got = beat("a", 3)
     assert [(r.event, r.beats) for r in got.orderBy("batch").collect()] == [("joined", 1), ("seen", 2), ("joined", 1)]
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, sf, tmp_path_factory):
+    at = tmp_path_factory.mktemp("events")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(f"{at}/events.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name, folder, most", [("resumed_stream", "beats", 3), ("supervisor_stream", "supervised", 4)])
+def test_batches_of_a_stream_follow_its_runs(spark, sf, many_files, name, folder, most):
+    """Input of many files, which several tasks write, is one batch a run (and one without data where timers are due)."""
+    from millrace.queries import registry
+    from millrace.sources.shared import shared_dir
+
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.rglob(f"{folder}-*"))
+    got = sorted(registry.queries()[name](spark, many_files).collect())
+    (at,) = set(root.rglob(f"{folder}-*")) - before
+    assert len(list((at / "out").glob("batch=*"))) <= most < len(list((at / "in").glob("*.parquet")))
+    assert got == sorted(registry.queries()[name](spark, sf).collect())
