@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.pieces import by_pieces
 from millrace.functions.text import by_space, paragraphs, sentences, word_count
 
 Counter = Callable[[Column], Column]
@@ -161,13 +162,9 @@ def section_rows(df: DataFrame, text: str = "text") -> DataFrame:
     return df.lateralJoin(F.udtf(_Sections, returnType="place int, title string, content string", useArrow=True)(F.col(text).outer()))
 
 
-def _all_sections(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"title": a, "content": b} for a, b in _sections(t)])
-
-
 def markdown_sections(text: Column) -> Column:
     """array<struct<title,content>> of a Markdown text."""
-    return F.pandas_udf(_all_sections, f"array<{SECTION}>")(text)
+    return by_pieces(lambda: lambda t: list(_sections(t)), f"array<{SECTION}>", pa.list_(pa.struct([("title", pa.string()), ("content", pa.string())])))(text)
 
 
 def merge_short_sections(sections: Column, least: int = 100) -> Column:
@@ -253,10 +250,5 @@ def recursive_pieces(text: str, size: int, separators: tuple[str, ...] = ("\n\n"
 
 
 def recursive_chunks(size: int = 1000):
-    """A pandas UDF text -> array<string> for the given size."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: recursive_pieces(t or "", size))
-
-    return run
+    """An Arrow function text -> array<string> for the given size."""
+    return by_pieces(lambda: lambda t: recursive_pieces(t or "", size), "array<string>", pa.list_(pa.string()))

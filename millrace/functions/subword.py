@@ -5,7 +5,7 @@ shards of a bounded number of symbols, and written. A job makes a batch of merge
 whole batch, and counts again only the words that hold one of its pairs: what comes back are the changes of pair counts,
 summed in Spark. The driver keeps the counts of pairs of neighbouring symbols, no words: a table that the alphabet and the
 merges bound, whatever the corpus. It chooses as many merges for the next batch as can't change each other's order.
-Encoding runs in pandas UDFs over distinct words' caches; longest matches are found by descent in a trie."""
+Encoding runs in Arrow functions over pieces of a batch, with a bounded cache of words; longest matches are found by descent in a trie."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.pieces import by_pieces
 from millrace.functions.text import adjacent_pairs, by_space
 from millrace.sources.shared import dropped, written
 
@@ -315,11 +316,13 @@ def longest_match(word: str, trie: Trie) -> list[str]:
     return out
 
 
-def encoder(encode_word, returns: str = "array<string>"):
-    """A pandas UDF text -> tokens that encodes each different word of a batch once."""
+KEPT = 1 << 15  # words whose tokens a task keeps
 
-    @F.pandas_udf(returns)
-    def run(texts: pd.Series) -> pd.Series:
+
+def encoder(encode_word):
+    """An Arrow function text -> tokens, over pieces of a batch; the words last met are encoded once a task."""
+
+    def work():
         cache: dict[str, list[str]] = {}
 
         def tokens(t: str | None) -> list[str] | None:
@@ -327,14 +330,17 @@ def encoder(encode_word, returns: str = "array<string>"):
                 return None
             out = []
             for w in t.split():
-                if w not in cache:
-                    cache[w] = encode_word(w)
-                out += cache[w]
+                got = cache.get(w)
+                if got is None:
+                    if len(cache) >= KEPT:
+                        cache.clear()
+                    got = cache[w] = encode_word(w)
+                out += got
             return out
 
-        return texts.map(tokens)
+        return tokens
 
-    return run
+    return by_pieces(work, "array<string>", pa.list_(pa.string()))
 
 
 def bpe_encoder(merges: list[tuple[str, str]]):

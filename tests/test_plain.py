@@ -7,6 +7,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -272,3 +273,28 @@ def test_common_subsequences():
     long_ = [[f"w{x}" for x in r.integers(0, 3000, 20_000)] for _ in range(2)]
     began = time.time()
     assert metrics.lcs(*long_) > 300 and time.time() - began < 10
+
+
+def test_pieces_of_a_batch():
+    """Slices in order that are together the batch, each of bounded size unless one text is longer."""
+    from millrace.functions.pieces import pieces
+
+    texts = ["é" * 30, None, "", "x" * 500, *["ab c"] * 200]
+    some = [p.to_pylist() for p in pieces(pa.array(texts).slice(1), 100)]
+    assert sum(some, []) == texts[1:] and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100 for p in some)
+    assert [p.to_pylist() for p in pieces(pa.array(texts[3:4]), 10)] == [texts[3:4]] and list(pieces(pa.array([], pa.string()))) == []
+
+
+def test_encoders_hold_a_piece_of_a_batch():
+    """What leaves an encoder for one large batch are many small arrays."""
+    out = list(subword.unigram_encoder({"word", "oth"}).func(iter([pa.array(["word other " * 5_000] * 60)])))
+    assert sum(map(len, out)) == 60 and max(map(len, out)) <= 20
+    assert all(x == ["word", "oth", "e", "r"] * 5_000 for a in out for x in a.to_pylist())
+
+
+def test_word_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(subword, "KEPT", 3)
+    asked = []
+    run = subword.encoder(lambda w: asked.append(w) or [w])
+    (out,) = run.func(iter([pa.array(["a a b", None, "c a d a"])]))
+    assert out.to_pylist() == [["a", "a", "b"], None, ["c", "a", "d", "a"]] and asked == ["a", "b", "c", "d", "a"]
