@@ -6,7 +6,7 @@ which the k least of each query leave the task. So at most k rows for each query
 Multi-index hashing cuts codes into parts of about log2(codes) bits. Two codes that differ in fewer than parts * (r + 1) bits
 differ in at most r bits of some part. So the codes that share a part with a query up to r flipped bits, an equi-join, hold
 all that are nearer than that; r grows until a query's k-th distance is within the bound, and only the other queries go on.
-Those that would ask for more buckets than a scan of the codes is worth are searched in blocks. Equal codes are one code with its k
+Those that would ask for more buckets than a scan of the codes is worth, or than a fixed number, are searched in blocks of codes. Equal codes are one code with its k
 least rows, and buckets with more than hot codes are split. Both ways are exact, ties by the row's id.
 
 Rows and queries with null vectors take no part; a vector of zeros has no direction, and its cosine is 0. All vectors are of
@@ -30,6 +30,8 @@ ROW_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
 CELLS = 1 << 22  # distances in memory together
 PROBE = 4  # what asking a bucket costs, in rows of a scan
 FIRST_ASKS = 512  # buckets that a query asks for in the first round
+MOST_ASKS = 4096  # and in all, whatever the number of codes: so what is asked grows with the queries, not with their product
+TASK_ROWS = 1 << 18  # asks that meet the index in one task
 FOUND = "query_id long, row_id long, distance double"
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -161,8 +163,10 @@ def _salted(table: DataFrame, hot: DataFrame | None, each: bool) -> DataFrame:
 
 
 def multi_index_top(rows: DataFrame, queries: DataFrame, k: int, bits: int, hot: int = 4096) -> DataFrame:
-    """(query_id, row_id, distance, rank) of the k nearest rows (row_id, v) of each of queries (query_id, v), v the words of codes of so many bits."""
-    rows, queries = rows.where("v is not null"), written(queries.where("v is not null").select(F.col("query_id").cast("long"), "v"), "hamming-queries")
+    """(query_id, row_id, distance, rank) of the k nearest rows (row_id, v), ids unique, of each of queries (query_id, v), v the words of codes of so many bits."""
+    rows, each = rows.where("v is not null"), written(queries.where("v is not null").select(F.col("query_id").cast("long"), "v"), "hamming-queries")
+    # Queries of one code have one answer.
+    queries = written(each.groupBy("v").agg(F.min("query_id").alias("query_id")).select("query_id", "v"), "hamming-asked")
     w = W.partitionBy("v").orderBy("row_id")
     least = rows.select(F.col("row_id").cast("long"), "v").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
     codes = written(least.groupBy("v").agg(F.sort_array(F.collect_list("row_id")).alias("ids")).withColumn("code", F.element_at("ids", 1)), "hamming-codes")
@@ -172,32 +176,45 @@ def multi_index_top(rows: DataFrame, queries: DataFrame, k: int, bits: int, hot:
     sizes = _hot_buckets(index, hot)
     dealt = _salted(index, sizes, False)
     found, open_, r, asked = None, queries, 0, 0
+
+    def answers(found: DataFrame) -> DataFrame:
+        of = each.join(queries.withColumnRenamed("query_id", "_one"), "v").select("_one", "query_id")
+        return found.withColumnRenamed("query_id", "_one").join(of, "_one").select("query_id", "row_id", "distance", "rank")
+
+    def scanned(open_: DataFrame) -> DataFrame:
+        # The k nearest rows are of the k nearest codes, ties by the least row.
+        near = block_top(codes.select(F.col("code").alias("row_id"), "v"), open_, k, hamming_distance, np.uint64).withColumnRenamed("row_id", "code").drop("rank")
+        return _ranked(near.join(codes.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("row_id"), "distance"), k)
+
     while True:
         # The first radii together, while they ask little; then one at a time.
         radii = [r]
         while r == 0 and len(radii) <= parts.longest and sum(parts.asked(x) for x in [*radii, len(radii)]) <= FIRST_ASKS:
             radii.append(len(radii))
-        asked += sum(parts.asked(x) for x in radii)
-        if asked * PROBE > n or open_.isEmpty():
+        now, n_open = sum(parts.asked(x) for x in radii), open_.count()
+        asked += now
+        if asked * PROBE > n or asked > MOST_ASKS or not n_open:
             break
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-max(n_open * now, n * parts.n) // TASK_ROWS))
+        at = [F.col(c) for c in ("part", "value", "salt")]
         asks = _salted(_bucketed(open_, parts, radii, "query_id", "query_id long"), sizes, True)
-        pairs = asks.withColumnRenamed("v", "asked").join(dealt, ["part", "value", "salt"]).select("query_id", "part", "r", "asked", "code", "v")
+        pairs = asks.withColumnRenamed("v", "asked").repartition(tasks, *at).join(dealt.repartition(tasks, *at), ["part", "value", "salt"]).select("query_id", "part", "r", "asked", "code", "v")
         new = pairs.mapInArrow(_once(parts), "query_id long, code long, distance double")
         new = new.join(codes.select("code", "ids"), "code").select("query_id", F.explode("ids").alias("row_id"), "distance")
         found = written(_ranked(new if found is None else new.unionByName(found.drop("rank")), k), "hamming-found")
         r = radii[-1]
         # All that differ in fewer bits than this have been met.
         if r >= parts.longest:  # every row differs in no more, so every row has been met
-            return found
+            return answers(found)
         sure = found.groupBy("query_id").agg(F.max("distance").alias("_far"), F.count("*").alias("_n")).where((F.col("_n") == k) & (F.col("_far") < parts.n * (r + 1)))
         open_ = written(open_.join(sure, "query_id", "left_anti"), "hamming-open")
         r += 1
     if found is None:
-        return block_top(rows, open_, k, hamming_distance, np.uint64)
+        return answers(scanned(open_))
     done = found.join(open_.select("query_id"), "query_id", "left_anti")
     if open_.isEmpty():
-        return done
-    return done.unionByName(block_top(rows, open_, k, hamming_distance, np.uint64).select(done.columns))
+        return answers(done)
+    return answers(done.unionByName(scanned(open_).select(done.columns)))
 
 
 def _once(parts: Parts):

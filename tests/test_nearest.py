@@ -97,3 +97,23 @@ def test_plans(spark, sf):
     for search in (vectors.hamming_top, vectors.cosine_top):
         plan = search(e, e.where("vec_id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_are_searched_once_and_asks_are_bounded(spark, monkeypatch):
+    """Copies of codes and queries reach no scan and no index; asks in all stay under their number, the rest is scanned."""
+    r = np.random.default_rng(6)
+    codes = np.repeat(codes_of("random", 40, 1, r), 30, 0)[r.permutation(1200)]
+    asked, seen = list(range(0, 1200, 3)), []
+    block = N.block_top
+    monkeypatch.setattr(N, "block_top", lambda rows, queries, *a: seen.append((rows.count(), queries.count())) or block(rows, queries, *a))
+    rows, queries = frames(spark, codes, asked)
+    want = scan(range(1200), asked, N.hamming_distance(codes[asked], codes), 35)
+    assert collected(N.multi_index_top(rows, queries, 35, 64)) == want
+    assert seen and all(a <= 40 and b <= 40 for a, b in seen)
+    codes = codes_of("random", 900, 2, r)
+    rows, queries = frames(spark, codes, [5, 700])
+    monkeypatch.setattr(N, "MOST_ASKS", 0)
+    asks = []
+    monkeypatch.setattr(N, "_once", lambda parts: asks.append(parts))
+    assert collected(N.multi_index_top(rows, queries, 4, 128)) == scan(range(900), [5, 700], N.hamming_distance(codes[[5, 700]], codes), 4)
+    assert not asks and seen[-1] == (900, 2)
