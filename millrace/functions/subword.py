@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.pieces import by_pieces
-from millrace.functions.text import adjacent_pairs, by_space
+from millrace.functions.text import adjacent_pairs, by_space, counted
 from millrace.sources.shared import dropped, written
 
 END = "</w>"
@@ -27,7 +27,7 @@ UNKNOWN = "[UNK]"
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(F.explode(by_space(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counted(df, by_space, "word", text)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:

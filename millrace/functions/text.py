@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_OR_MARK = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
@@ -88,6 +90,22 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
+TASK_BYTES = 1 << 24  # of text whose items a task counts
+
+
+def counted(df: DataFrame, items: Callable[[Column], Column], name: str, text: str = "text") -> DataFrame:
+    """(name, n): how often each of items(text) occurs, in tasks of bounded size whatever the session's number of partitions.
+
+    Texts are dealt out by their hash and counted within their part; then each item's counts meet in one of as many parts.
+    Most n-grams are rare, so what a task holds follows its share of the text."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    place = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(parts)).cast("int")
+    dealt = df.select(place.alias("_part"), text).repartitionById(parts, F.col("_part"))
+    within = dealt.select("_part", F.explode(items(F.col(text))).alias(name)).groupBy("_part", name).agg(F.count("*").alias("n"))
+    return within.select(name, "n").repartition(parts, name).groupBy(name).agg(F.sum("n").alias("n"))
+
+
 def adjacent_pairs(tokens: Column) -> Column:
     """(l, r) of neighbouring tokens."""
     return bound(tokens, lambda ts: F.transform(F.slice(ts, F.lit(1), F.greatest(F.size(ts) - 1, F.lit(0))), lambda t, i: F.struct(t.alias("l"), F.get(ts, i + 1).alias("r"))))

@@ -67,12 +67,12 @@ _SPLIT = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
 @query(f"SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gram FROM (SELECT {_SPLIT} AS ws FROM documents)) GROUP BY 1")
 def word_ngrams(t, spark):
-    return t("documents").select(F.explode(text.ngrams(text.by_space(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return text.counted(t("documents"), lambda c: text.ngrams(text.by_space(c), 2), "gram")
 
 
 @query("SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM documents) GROUP BY 1")
 def char_ngrams(t, spark):
-    return t("documents").select(F.explode(text.char_ngrams(F.col("text"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return text.counted(t("documents"), lambda c: text.char_ngrams(c, 3), "gram")
 
 
 @query(f"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_SPLIT}) AS word FROM documents) GROUP BY 1")

@@ -445,3 +445,15 @@ def test_bytes_of_a_long_text(spark):
     began = time.monotonic()
     assert df.select(F.size("b"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)).collect() == [(2_000_000, 500_000 * (97 + 195 + 169 + 10))]
     assert time.monotonic() - began < 60  # a walk from the start for each byte takes hours
+
+
+def test_counts_in_bounded_tasks(spark, monkeypatch):
+    """As many tasks as the bytes of the texts ask for, with the counts of one plain grouping."""
+    monkeypatch.setattr(text, "TASK_BYTES", 100)
+    texts = ["a b a b", None, "", "a b a b", *[f"w{i} a b w{i % 7}" for i in range(300)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    grams = lambda t: zip(t.split(), t.split()[1:])
+    got = text.counted(df, lambda c: text.ngrams(text.by_space(c), 2), "gram")
+    assert dict(map(tuple, got.collect())) == Counter(" ".join(g) for t in texts if t for g in grams(t))
+    assert got.rdd.getNumPartitions() == -(-sum(len(t or "") for t in texts) // 100)
+    assert text.counted(df.limit(0), text.by_space, "w").count() == 0
