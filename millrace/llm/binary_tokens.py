@@ -38,40 +38,43 @@ MARK = 1024
 MAGIC = b"MRP2"
 
 
-def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, group of each, first of each group): the places at with those of equal pairs together."""
+def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first of each group): the places at with those of equal pairs together."""
     bits, low = symbols.bit_length(), places.bit_length()
     key = (left.astype(np.uint64) << np.uint64(bits)) | right
     if 2 * bits + low <= 64:  # place and pair in one number: a plain sort does it
         key <<= np.uint64(low)
         key |= at.astype(np.uint64)
         key.sort()
-        at = (key & np.uint64((1 << low) - 1)).astype(np.int32)
+        at = (key & np.uint64((1 << low) - 1)).astype(np.intp)
         key >>= np.uint64(low)
     else:
         o = np.argsort(key, kind="stable")
         key, at = key[o], at[o]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return at, np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return at, np.flatnonzero(new)
 
 
 def re_pair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules (n, 2)): the sequence and its rules when no pair occurs least times without overlap.
 
-    The symbols are a linked list over the places of the ids; a round touches only places whose pair is still frequent."""
+    The symbols are a linked list over the places of the ids; a round touches only places whose pair is still frequent. Where
+    a round has joined many, the list is laid out anew."""
     n = len(ids)
     seq = np.append(ids, 0).astype(np.uint32)
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
-    before[0] = n  # the end is its own neighbour and never starts a pair
-    rank, gone = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
-    rules, made, live = [], 0, np.arange(max(n - 1, 0), dtype=np.int32)
+    rules, made, live = [], 0, np.arange(max(n - 1, 0))
+    after = None
     while len(live):
-        at, group, first = _by_pair(seq[live], seq[after[live]], live, base + made, n)
+        if after is None:
+            after, before = np.arange(1, n + 2), np.arange(-1, n)
+            before[0] = n  # the end is its own neighbour and never starts a pair
+            rank, gone, near, joined = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool), np.zeros(n + 1, bool), 0
+        follower = live + 1 if not joined else after[live]
+        at, first = _by_pair(seq[live], seq[follower], live, base + made, n)
         count = np.diff(np.append(first, len(at)))
         often = count >= least
-        keep = often[group]
-        live = at[keep]
+        live = at[np.repeat(often, count)]
         if not len(live):
             break
         some = np.flatnonzero(often & (count > count.max() // SHARE))
@@ -79,25 +82,36 @@ def re_pair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         by = some[np.lexsort((-some, count[some]))]
         rank_of = np.zeros(len(first), np.int32)
         rank_of[by] = np.arange(1, len(by) + 1)
-        mine = rank_of[group]
-        place, mine = at[mine > 0], mine[mine > 0]
+        mine = np.repeat(rank_of, count)
+        ranked = mine > 0
+        place, mine = at[ranked], mine[ranked]
         rank[place] = mine
         # A run of one pair over itself (as in aaaa) is taken at every second place.
         even = np.ones(len(place), bool)
-        twin = np.flatnonzero(seq[place] == seq[after[place]])
-        if len(twin):
+        head = at[first[by]]
+        itself = np.append(False, seq[head] == seq[after[head]])
+        if itself.any():
+            twin = np.flatnonzero(itself[mine])
             twin = twin[np.argsort(place[twin])]
             head = np.append(True, (after[place[twin[:-1]]] != place[twin[1:]]) | (mine[twin[1:]] != mine[twin[:-1]]))
             even[twin] = (np.arange(len(twin)) - np.maximum.accumulate(np.where(head, np.arange(len(twin)), 0))) % 2 == 0
-        pick = even & (rank[before[place]] <= mine) & (rank[after[place]] <= mine)
+        if joined:
+            pick = even & (rank[before[place]] <= mine) & (rank[after[place]] <= mine)
+        else:
+            top = rank[1:] <= rank[:-1]  # of each place's neighbour on its right
+            pick = np.append(True, rank[:-1] <= rank[1:])[place]
+            pick &= top[place]
+            pick &= even
         rank[place] = 0
         taken = np.bincount(mine[pick], minlength=len(by) + 1)
-        pick &= taken[mine] >= least
-        if not pick.any():  # overlaps alone make these so frequent
+        enough = taken >= least
+        pick &= enough[mine]
+        to = place[pick]
+        if not len(to):  # overlaps alone make these so frequent
             alone = np.bincount(mine[even], minlength=len(by) + 1)
             live = live[~np.isin(live, place[alone[mine] < least])]
             continue
-        to, used = place[pick], np.flatnonzero(taken >= least)
+        used = np.flatnonzero(enough)
         used = used[used > 0][::-1]  # most frequent first
         number = np.zeros(len(by) + 1, np.uint32)
         number[used] = base + made + np.arange(len(used))
@@ -107,14 +121,23 @@ def re_pair(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray,
         seq[to] = number[mine[pick]]
         second = after[to]
         gone[second] = True
+        joined += len(to)
+        # The new symbols make pairs with both their neighbours.
+        near[live] = near[to] = near[before[to]] = True
+        if joined * 8 > n:
+            near[:n] &= ~gone[:n]
+            kept = np.flatnonzero(~gone[:n])
+            n, after = len(kept), None
+            live = np.flatnonzero(near[kept[:-1]])
+            seq = np.append(seq[kept], np.uint32(0))
+            continue
         after[to] = third = after[second]
         before[third] = to
-        # The new symbols make pairs with both their neighbours.
-        live = np.concatenate([live, to, before[to]])
-        live.sort()
-        live = live[np.append(True, live[1:] != live[:-1])]
-        live = live[~gone[live] & (live < n) & (after[live] < n)]
-    return seq[:n][~gone[:n]], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        near[second] = False
+        live = np.flatnonzero(near[:n])
+        near[live] = False
+        live = live[~gone[live] & (after[live] < n)]
+    return seq[:n] if after is None else seq[:n][~gone[:n]], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:

@@ -3,7 +3,9 @@
 Texts are cut where the vocabulary's own pattern always cuts: before a space that something else than white space
 follows, around a single line end, and before a lone mark behind an ASCII letter. So the ids of a text are those of its
 pieces in order. A worker keeps the ids of pieces in a table of a fixed number of slots, by a 64-bit hash; the library
-encodes what isn't there. Pieces that come twice in a batch take a slot from others; others only take empty ones."""
+encodes what isn't there. Pieces that come twice in a batch take a slot from others; others only take empty ones. A piece
+that begins with a space and something else is cut off wherever it stands, so the library gets many such in one text, and
+the bytes of the ids tell them apart again."""
 
 from __future__ import annotations
 
@@ -16,6 +18,8 @@ from millrace.llm import kernel as K
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 SLOT_BITS = 21
+#: Pieces that the library encodes as one text.
+JOINED = 64
 #: Ids that the table holds at most; then it starts anew.
 ARENA = 1 << 23
 _SPACE = np.zeros(256, bool)
@@ -70,6 +74,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # of each id: a character of a token stands for a byte
+        self.bytes[[*vocab.values()]] = [len(t) for t in vocab]
         self._clear()
 
     def _clear(self) -> None:
@@ -77,11 +84,40 @@ class Encoder:
         self.hash, self.at, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.arena, self.used = np.zeros(ARENA, self.kind), 0
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        out = []
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's)."""
+        got = []
         for i in range(0, len(texts), 4096):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-        return out
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return np.frombuffer(b"".join([array("I", g).tobytes() for g in got]), "<u4"), np.array([len(g) for g in got], np.int64)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same of pieces that may stand together, or None if their ids don't part at their ends, as of broken UTF-8."""
+        try:
+            flat, _ = self._library([b"".join(pieces[i : i + JOINED]).decode("utf-8") for i in range(0, len(pieces), JOINED)])
+        except UnicodeDecodeError:
+            return None
+        upto = np.concatenate([[0], np.cumsum(self.bytes[flat])])
+        ends = np.cumsum([len(p) for p in pieces])
+        at = np.searchsorted(upto, ends)
+        if upto[-1] != ends[-1] or (upto[at] != ends).any():
+            return None
+        return flat, np.diff(at, prepend=0)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, first and number of each piece's)."""
+        free = np.array([len(p) > 1 and p[0] == 32 and not _MAY_BE_SPACE[p[1]] for p in pieces], bool)
+        some = np.flatnonzero(free)
+        got = self._together([pieces[i] for i in some.tolist()]) if len(some) else None
+        if got is None:
+            some, got = some[:0], (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+            free[:] = False
+        rest = np.flatnonzero(~free)
+        more = self._library([pieces[i].decode("utf-8", "replace") for i in rest.tolist()])
+        order, size = np.concatenate([some, rest]), np.concatenate([got[1], more[1]])
+        first, n = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int32)
+        first[order], n[order] = np.cumsum(size) - size, size
+        return np.concatenate([got[0], more[0]]), first, n
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         blobs = [t.encode("utf-8") for t in texts]
@@ -103,19 +139,17 @@ class Encoder:
             new, first, back, count = np.unique(h[miss], return_index=True, return_inverse=True, return_counts=True)
             some = miss[first]
             joined = buf.tobytes()
-            got = self._encoded([joined[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), stop[some].tolist())])
-            size = np.array([len(g) for g in got], np.int32)
-            flat = np.frombuffer(b"".join([array("I", g).tobytes() for g in got]), "<u4").astype(self.kind)
-            ends = np.cumsum(size)
+            flat, begin, size = self._encoded([joined[a:b] for a, b in zip(start[some].tolist(), stop[some].tolist())])
+            flat = flat.astype(self.kind)
             if self.used + len(flat) > ARENA:  # what was found in this batch goes with its own arena
                 old, held = arena[: self.used], len(flat)
                 arena = np.concatenate([flat, old])
                 at += held
-                at[miss], n[miss] = (ends - size)[back], size[back]
+                at[miss], n[miss] = begin[back], size[back]
                 self._clear()
             else:
                 arena[self.used : self.used + len(flat)] = flat
-                place = (ends - size + self.used).astype(np.int32)
+                place = (begin + self.used).astype(np.int32)
                 self.used += len(flat)
                 at[miss], n[miss] = place[back], size[back]
                 s = (new >> np.uint64(64 - SLOT_BITS)).astype(np.intp)

@@ -44,6 +44,36 @@ def test_encoder_when_its_table_is_full(monkeypatch):
         assert [x.tolist() for x in coder.ids(texts)] == [whole(t) for t in texts]
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_new_pieces_go_to_the_library_together():
+    coder = Encoder(default_path())
+    coder.tokenizer = Counting(coder.tokenizer)
+    texts = [" ".join(f"w{i}{chr(97 + k % 26)}ö$ 7{k}  x" for k in range(50)) + end for i, end in enumerate(["", " ", "  ", "\n", " \u2003", ",", "\n\n x", " é"] * 10)]
+    assert [x.tolist() for x in coder.ids(texts)] == [whole(t) for t in texts]
+    assert coder.tokenizer.texts < 500  # of 5,000 pieces that are new
+    for odd in (b"\xff\xfe", b"\xe3\x81", b"\x80", b"\xc3"):  # broken UTF-8, at the end of a piece or within
+        raw = [b"some new" + odd + b" words" + odd + b"x here" + odd, b" and odd" + odd]
+        got = coder.ids_of(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
+        assert [x.tolist() for x in got] == [whole(t.decode("utf-8", "replace")) for t in raw]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t.,!ab'1\u00e9\u2003\u00a0\x85\u65e5\x1c\u00bb", max_size=40), min_size=1, max_size=6))
+def test_encoder_without_a_table(texts):
+    CODER._clear()
+    assert [x.tolist() for x in CODER.ids(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def brute_best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
