@@ -17,7 +17,7 @@ reversibly: a backslash becomes \\e, the first character of a control string bec
 inside a role becomes \\c.
 
 Null texts are empty; a null role is 'user'; rows of a null conversation form one conversation of their own; ties of seq
-are ordered by role, then text, and repeated rows stay repeated; events of a target that isn't open are ignored, as is an unknown op;
+are ordered by role, then text, messages then by id, and repeated rows stay repeated; events of a target that isn't open are ignored, as is an unknown op;
 a null seq comes first; a conversation without a message left gives no row; very long texts are kept whole; extra columns are
 ignored; an empty log gives no rows."""
 
@@ -77,7 +77,7 @@ def folded(events: DataFrame) -> DataFrame:
     last = F.size("log") - F.coalesce(F.array_position(F.transform(F.reverse("log"), lambda x: x["op"].isin("edit", "regenerate")), True), F.lit(0))
     of = of.withColumn("last", F.when(F.exists("log", lambda x: x["op"].isin("edit", "regenerate")), last).otherwise(F.lit(-1)).cast("int"))
     of = of.withColumn("reset", F.get("log", F.col("last")))
-    opened = F.transform("log", lambda e, i: F.when((e["op"] == "message") & (e["kept"].isNull() | F.col("id").isNull() | (F.col("id") <= e["kept"])), F.struct(*[e[c].alias(c) for c in _ORDER[:3]], text(e, i).alias("final"))))
+    opened = F.transform("log", lambda e, i: F.when((e["op"] == "message") & (e["kept"].isNull() | F.col("id").isNull() | (F.col("id") <= e["kept"])), F.struct(*[e[c].alias(c) for c in _ORDER[:3]], F.col("id"), text(e, i).alias("final"))))
     messages = of.select("conv_id", F.explode(F.filter(opened, lambda x: x.isNotNull())).alias("m"))
     turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("l"))
     return turns.select("conv_id", F.transform("l", lambda m: F.struct(m["role"].alias("role"), m["final"].alias("text"))).alias("turns"))

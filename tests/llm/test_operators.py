@@ -161,6 +161,13 @@ def test_fold_of_random_logs(spark, logs):
     assert got == {c: x for c, log in enumerate(logs) if (x := plain_fold(log))}
 
 
+def test_equal_messages_stand_in_the_order_of_their_ids(spark):
+    log = [(1, 3, "message", 0, "assistant", "b"), (1, 3, "message", 3, "assistant", "b"), (1, 6, "delta", 0, "user", "a")]
+    for some in (log, log[::-1]):
+        events = spark.createDataFrame(some, "conv_id long, seq long, op string, target long, role string, text string")
+        assert [tuple(t) for t in chat_format.folded(events).first().turns] == [("assistant", "ba"), ("assistant", "b")]
+
+
 # 5
 
 
