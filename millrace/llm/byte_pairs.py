@@ -206,11 +206,14 @@ class RankEncoder(Encoder):
             raise ValueError("the ranks lack single bytes")
         self._clear()
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        matches = [self.split(t) for t in texts]
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces, first and number of each piece's)."""
+        matches = [self.split(p.decode("utf-8", "replace")) for p in pieces]
         known = {p: k for k, p in enumerate(dict.fromkeys(p for m in matches for p in m))}
         ids = self.ranks.merged([p.encode("utf-8") for p in known])
-        return [[i for p in m for i in ids[known[p]]] for m in matches]
+        got = [[i for p in m for i in ids[known[p]]] for m in matches]
+        n = np.array([len(g) for g in got], np.int32)
+        return np.fromiter((i for g in got for i in g), "<u4", int(n.sum())), np.cumsum(n) - n, n
 
 
 def encoder(path: str) -> RankEncoder:

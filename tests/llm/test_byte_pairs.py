@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import byte_pairs as B
+from millrace.llm import tokens as T
 
 PATH = B.default_path()
 CODER = B.RankEncoder(PATH)
@@ -31,6 +32,32 @@ def test_equals_the_library_on_any_text(texts):
     assert [x.tolist() for x in CODER.ids(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
+def test_pieces_are_bytes_and_may_be_broken():
+    """What Encoder hands over and takes back, and the texts of it."""
+    pieces = [b"don't", b" 1st", b"\n", b" a \xff\xfe", b" \xe3\x81", b"\xf0\x9f\x98\x80"]
+    flat, first, n = CODER._encoded(pieces)
+    assert [flat[a : a + k].tolist() for a, k in zip(first, n)] == [LIBRARY.encode_ordinary(p.decode("utf-8", "replace")) for p in pieces]
+    for odd in (b"\xff\xfe", b"\xe3\x81", b"\x80", b"\xc3"):
+        raw = [b"some new" + odd + b" words" + odd + b"x here" + odd, b"", b" and odd" + odd]
+        got = CODER.ids_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        assert [x.tolist() for x in got] == [LIBRARY.encode_ordinary(r.decode("utf-8", "replace")) for r in raw]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t.,!ab'1stlé  \x85日\x1c»​　٣½😀́", max_size=40), min_size=1, max_size=6))
+def test_without_a_table(texts):
+    CODER._clear()
+    assert [x.tolist() for x in CODER.ids(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
+def test_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(T, "ARENA", 60)
+    coder = B.RankEncoder(PATH)
+    for i in range(12):
+        texts = [f"word{i}x other{i} stuff, more{k} stuff" for k in range(3)]
+        assert [x.tolist() for x in coder.ids(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+
+
 def plain(piece, ranks):
     """Merges the leftmost of the least ranks until no pair is a token."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
